@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framewise.functions import boxes as B
 from framewise.functions.boxes import Box
 from framewise.operators.neighbours import components
-from framewise.operators.scale import join_on
+from framewise.operators.scale import join_on, map_groups
 from framewise.operators.spatial import box_cells
 from framewise.session import cut_lineage
 
@@ -57,14 +57,15 @@ def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    ai, a_names = pd.factorize(pdf["_a"])
-    bi, b_names = pd.factorize(pdf["_b"])
+    a_names, ai = np.unique(pdf["_a"].to_numpy(), return_inverse=True)
+    b_names, bi = np.unique(pdf["_b"].to_numpy(), return_inverse=True)
+    value = pdf["_gain"].to_numpy()
     gain = np.zeros((len(a_names), len(b_names)))
-    gain[ai, bi] = pdf["_gain"].to_numpy()
-    pairs = [(i, j) for i, j in best_matching(gain) if gain[i, j] > 0]
-    out = pd.DataFrame(pairs, columns=["i", "j"])
-    out["_a"], out["_b"] = a_names[out["i"]], b_names[out["j"]]
-    return out[["_a", "_b"]].merge(pdf, on=["_a", "_b"])[list(pdf.columns)]
+    gain[ai, bi] = value
+    chosen = np.zeros(gain.shape, dtype=bool)
+    for i, j in best_matching(gain):
+        chosen[i, j] = gain[i, j] > 0
+    return pdf[chosen[ai, bi]]
 
 
 def solve_pairs(pairs: DataFrame, on: Sequence[str], limit: int = 64) -> DataFrame:
@@ -96,7 +97,7 @@ def solve_pairs(pairs: DataFrame, on: Sequence[str], limit: int = 64) -> DataFra
         )
         cut = join_on(many.withColumn("_v", F.concat(F.lit("a"), "_a")), part, [*on, "_v"])
         work = few.unionByName(cut.drop("_v"))
-    solved = work.groupBy(*on, "_part").applyInPandas(_solve, work.schema).drop("_part")
+    solved = map_groups(work, [*on, "_part"], _solve, work.schema).drop("_part")
     return plain.unionByName(solved)
 
 

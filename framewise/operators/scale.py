@@ -9,8 +9,10 @@ of the table; a task never sees more than one bucket of it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,3 +178,43 @@ def row_at(
     """The row at a zero-based sorted position, given as an expression of the group size ``n``."""
     sized = with_group_size(ranked(df, keys, order, "_rn"), keys, "n")
     return sized.filter(F.col("_rn") == index + 1).drop("_rn")
+
+
+def map_groups(
+    df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema
+) -> DataFrame:
+    """``fn`` on each of very many small groups, several groups to an Arrow batch.
+
+    Rows are hashed on ``keys`` and sorted, so a group is a run of rows; a run cut by
+    the end of a batch is carried into the next. The caller bounds the group size.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            starts = _run_starts(pdf, keys)
+            if len(starts) == 0:
+                continue
+            held = pdf.iloc[starts[-1] :]
+            out = [fn(pdf.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            out = [o for o in out if len(o)]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held is not None and len(held):
+            yield fn(held)
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = df.repartition(n, *keys).sortWithinPartitions(*keys)
+    return placed.mapInPandas(run, schema)
+
+
+def _run_starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    if not len(pdf):
+        return np.array([], dtype=int)
+    fresh = np.zeros(len(pdf), dtype=bool)
+    fresh[0] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        fresh[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(fresh)

@@ -1,6 +1,6 @@
 """All queries; importing the modules registers them."""
 
-from framewise.plans.catalog import boxes, columns, matching
+from framewise.plans.catalog import aggregates, boxes, columns, matching, time_text
 from framewise.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "boxes", "columns", "matching"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "boxes", "columns", "matching", "time_text"]

@@ -58,7 +58,7 @@ _CALIB_FROM = "v_depth JOIN cams USING (camera) JOIN moves USING (camera)"
 _X, _Y, _Z = "((u - cx) / fx * (d / 1000e0))", "((v - cy) / fy * (d / 1000e0))", "(d / 1000e0)"
 _MX, _MY, _MZ = f"(r00 * {_X} + r01 * {_Y} + t0)", f"(r10 * {_X} + r11 * {_Y} + t1)", f"({_Z} + t2)"
 POINT_SQL = {"x": _X, "y": _Y, "z": _Z}
-PIXEL_SQL = {"pu": f"fx * {_MX} / {_MZ} + cx", "pv": f"fy * {_MY} / {_MZ} + cy"}
+PIXEL_SQL = {"pu": f"(fx * {_MX} + cx * {_MZ}) / {_MZ}", "pv": f"(fy * {_MY} + cy * {_MZ}) / {_MZ}"}
 _KEYS = ("frame", "pt_id", "camera")
 
 

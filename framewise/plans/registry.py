@@ -13,6 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 DIGITS = 6
+# no short decimal number lies this far from a tie
+SHIFT = 1.23456789e-4
 
 
 def r(c: Column, digits: int = DIGITS) -> Column:
@@ -22,12 +24,12 @@ def r(c: Column, digits: int = DIGITS) -> Column:
     common in made-up data, away from the tie.
     """
     scale = 10.0**digits
-    return F.rint(c.cast("double") * scale - 1e-4) / scale + F.lit(0.0)
+    return F.rint(c.cast("double") * scale - SHIFT) / scale + F.lit(0.0)
 
 
 def rs(expr: str, digits: int = DIGITS) -> str:
     """The same in SQL."""
-    return f"round(cast({expr} as double) * 1e{digits} - 1e-4) / 1e{digits} + 0e0"
+    return f"round(cast({expr} as double) * 1e{digits} - {SHIFT}) / 1e{digits} + 0e0"
 
 
 def query(name: str, sql: str | None = None, views: Sequence[str] = ()):
