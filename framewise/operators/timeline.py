@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.operators.scale import join_on, ranked, running
+from framewise.operators.scale import join_on, map_groups, ranked, running
 
 MICROS = 1_000_000
 
@@ -214,12 +214,13 @@ def _chain_pieces(spacing: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_chunk", "_in"])
+        chunks, t, leave = (pdf[c].to_numpy() for c in ("_chunk", "_in", "_out"))
+        starts = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
         entries, last = [], None
-        for chunk, piece in pdf.groupby("_chunk", sort=True):
-            t, leave = piece["_in"].to_numpy(), piece["_out"].to_numpy()
-            i = 0 if last is None else int(np.searchsorted(t, last + spacing, side="right"))
-            if i < len(t):
-                entries.append((pdf["_key"].iloc[0], pdf["_seg"].iloc[0], chunk, t[i]))
+        for a, b in zip(starts, np.r_[starts[1:], len(t)]):
+            i = a if last is None else a + int(np.searchsorted(t[a:b], last + spacing, "right"))
+            if i < b:
+                entries.append((pdf["_key"].iloc[0], pdf["_seg"].iloc[0], chunks[a], t[i]))
                 last = leave[i]
         return pd.DataFrame(entries, columns=["_key", "_seg", "_chunk", "_entry"])
 
@@ -282,12 +283,11 @@ def keep_spaced(
     piece = ["_key", "_seg", "_chunk"]
     # the first row of a stamp stands for the stamp
     stamps = many.groupBy(*piece, "_us").agg(F.max("_anchor").alias("_anchor"))
-    exits = stamps.groupBy(*piece).applyInPandas(
-        _chain_exits(us),
-        "_key string, _seg long, _chunk long, _in long, _out long",
+    exits = map_groups(
+        stamps, piece, _chain_exits(us), "_key string, _seg long, _chunk long, _in long, _out long"
     )
-    entries = exits.groupBy("_key", "_seg").applyInPandas(
-        _chain_pieces(us), "_key string, _seg long, _chunk long, _entry long"
+    entries = map_groups(
+        exits, ["_key", "_seg"], _chain_pieces(us), "_key string, _seg long, _chunk long, _entry long"
     )
     walked = (
         join_on(stamps, entries, piece, "inner")

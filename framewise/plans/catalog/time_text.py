@@ -27,12 +27,12 @@ _LAGGED = "g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us,
       max(CASE WHEN fresh THEN us END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old
       FROM n WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
     SELECT event_id, CAST(sequence AS BIGINT) AS sequence, CAST(round_even((us - start) / 1e6 * (1e0 / 6000e0), 0) AS BIGINT) AS step,
-      CASE WHEN fresh THEN CAST(round_even((us - old) / 1e6 * (1e0 / 6000e0), 0) AS BIGINT) < 10 END AS ended_short FROM s""",
+      CASE WHEN fresh AND old IS NOT NULL THEN CASE WHEN round_even((us - old) / 1e6 * (1e0 / 6000e0), 0) < 10 THEN 1e0 ELSE 0e0 END END AS ended_short FROM s""",
     ("v_events",),
 )
 def _(t: Tables) -> DataFrame:
     out = tl.split_sequences(t.v_events, "user_id", "ts", _GAP, _RATE, 10, tie="event_id")
-    return out.select("event_id", "sequence", "step", "ended_short")
+    return out.select("event_id", "sequence", "step", F.col("ended_short").cast("double").alias("ended_short"))
 
 
 @query(
@@ -127,7 +127,7 @@ def vocabulary(t: Tables) -> tuple[DataFrame, DataFrame]:
     from framewise.session import cut_lineage
 
     counted = (
-        tokens(t).select(F.lower(F.explode("l")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        tokens(t).select(F.explode("l").alias("w")).select(F.lower("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
     counted = cut_lineage(counted)
     words = counted.select("word")
@@ -145,8 +145,9 @@ def vocabulary(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query(
     "p49_wordpiece",
     f"""WITH RECURSIVE {TOKENS_SQL}, {_WORDS}, {_VOCAB},
-    subs AS (SELECT word, s, e FROM (SELECT word, unnest(range(1, least(len(word), 200) + 1)) AS s FROM words WHERE len(word) <= 200), range(1, 201) x(e)
-      WHERE e >= s AND e <= len(word) AND (CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, e - s + 1)) IN (SELECT token FROM vocab)),
+    subs AS (SELECT word, s, e FROM (SELECT word, s, unnest(range(s, len(word) + 1)) AS e FROM
+        (SELECT word, unnest(range(1, len(word) + 1)) AS s FROM words WHERE len(word) <= 200))
+      WHERE (CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, e - s + 1)) IN (SELECT token FROM vocab)),
     longest AS (SELECT word, s, max(e) AS e FROM subs GROUP BY 1, 2),
     walk AS (SELECT word, CAST(1 AS BIGINT) AS at_, '' AS out FROM words
       UNION ALL SELECT w.word, l.e + 1, w.out || ' ' || CASE WHEN l.s > 1 THEN '##' ELSE '' END || substr(w.word, l.s, l.e - l.s + 1)
@@ -217,13 +218,14 @@ def _(t: Tables) -> DataFrame:
 
 
 _PUNCT = tx.PUNCTUATION.replace("'", "''")
-_NORM = (
-    "array_to_string([w for w in regexp_split_to_array(translate(lower({}), '" + _PUNCT + "', ''), '\\s+') "
-    "if w <> '' AND w NOT IN ('a', 'an', 'the')], ' ')"
-)
+def norm_sql(text: str) -> str:
+    """Normalised answer; words are split first, as texts hold only letters and ASCII marks."""
+    bare = f"translate(lower({text}), '{_PUNCT}', '')"
+    kept = f"[w for w in regexp_split_to_array({bare}, '\\s+') if w <> '' AND w NOT IN ('a', 'an', 'the')]"
+    return f"array_to_string({kept}, ' ')"
 
 
-@query("p50_normalize_answer", f"SELECT conv_id, turn, {_NORM.format('text')} AS norm FROM conversations")
+@query("p50_normalize_answer", f"SELECT conv_id, turn, {norm_sql('text')} AS norm FROM conversations")
 def _(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", tx.normalize_answer(F.col("text")).alias("norm"))
 
@@ -240,32 +242,32 @@ def _(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------------------- windows
 _LEN, _STRIDE = 100, 40
-_WIN = f"""win AS (SELECT doc_id, l, i AS window, i * {_STRIDE} AS start, least({_LEN}, len(l) - i * {_STRIDE}) AS length
+_WIN = f"""win AS (SELECT doc_id, l, i AS win_no, i * {_STRIDE} AS start, least({_LEN}, len(l) - i * {_STRIDE}) AS length
     FROM (SELECT doc_id, l, unnest(range(1 + CAST(ceil(greatest(len(l) - {_LEN}, 0) / {_STRIDE}e0) AS BIGINT))) AS i FROM toks WHERE len(l) > 0))"""
 
 
 @query(
     "w6_doc_windows",
-    f"""WITH {TOKENS_SQL}, {_WIN} SELECT doc_id, window, start, length, md5(array_to_string(l[start + 1:start + length], '|')) AS digest FROM win""",
+    f"""WITH {TOKENS_SQL}, {_WIN} SELECT doc_id, win_no, start, length, md5(array_to_string(l[start + 1:start + length], '|')) AS digest FROM win""",
 )
 def _(t: Tables) -> DataFrame:
     out = tp.doc_windows(tokens(t), "l", _LEN, _STRIDE)
     return out.select(
-        "doc_id", "window", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"),
+        "doc_id", F.col("window").alias("win_no"), F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"),
         F.md5(F.array_join("piece", "|")).alias("digest"),
     )
 
 
 @query(
     "w7_max_context",
-    f"""WITH {TOKENS_SQL}, {_WIN}, c AS (SELECT doc_id, start + p AS pos, window,
-        row_number() OVER (PARTITION BY doc_id, start + p ORDER BY least(p, length - 1 - p) + length * 0.01e0 DESC, window) AS k
-      FROM (SELECT doc_id, window, start, length, unnest(range(length)) AS p FROM win))
-    SELECT doc_id, window, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM c WHERE k = 1 GROUP BY 1, 2""",
+    f"""WITH {TOKENS_SQL}, {_WIN}, c AS (SELECT doc_id, start + p AS pos, win_no,
+        row_number() OVER (PARTITION BY doc_id, start + p ORDER BY least(p, length - 1 - p) + length * 0.01e0 DESC, win_no) AS k
+      FROM (SELECT doc_id, win_no, start, length, unnest(range(length)) AS p FROM win))
+    SELECT doc_id, win_no, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM c WHERE k = 1 GROUP BY 1, 2""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = tokens(t).select("doc_id", F.posexplode(tp.max_context(F.size("l"), _LEN, _STRIDE)).alias("pos", "window"))
-    return rows.groupBy("doc_id", F.col("window").cast("long").alias("window")).agg(
+    rows = tokens(t).select("doc_id", F.posexplode(tp.max_context(F.size("l"), _LEN, _STRIDE)).alias("pos", "win_no"))
+    return rows.groupBy("doc_id", F.col("win_no").cast("long").alias("win_no")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("positions")
     )
 
@@ -273,9 +275,9 @@ def _(t: Tables) -> DataFrame:
 @query(
     "w8_build_features",
     f"""WITH {TOKENS_SQL}, {_VOCAB_IDS}, {_WIN},
-    f AS (SELECT doc_id, window, ['[CLS]'] || l[1:6] || ['[SEP]'] || l[start + 1:start + length] || ['[SEP]'] AS toks_, len(l[1:6]) AS q FROM win),
-    e AS (SELECT doc_id, window, q, len(toks_) AS n, unnest(range(len(toks_))) AS pos, unnest(toks_) AS token FROM f)
-    SELECT doc_id, window, CAST(max(n) AS BIGINT) AS n_mask, CAST(max(n - q - 2) AS BIGINT) AS n_segment, CAST(sum(coalesce(id, 0) * (pos + 1)) AS BIGINT) AS checksum
+    f AS (SELECT doc_id, win_no, ['[CLS]'] || l[1:6] || ['[SEP]'] || l[start + 1:start + length] || ['[SEP]'] AS toks_, len(l[1:6]) AS q FROM win),
+    e AS (SELECT doc_id, win_no, q, len(toks_) AS n, unnest(range(len(toks_))) AS pos, unnest(toks_) AS token FROM f)
+    SELECT doc_id, win_no, CAST(max(n) AS BIGINT) AS n_mask, CAST(max(n - q - 2) AS BIGINT) AS n_segment, CAST(sum(coalesce(id, 0) * (pos + 1)) AS BIGINT) AS checksum
     FROM e LEFT JOIN ids USING (token) GROUP BY 1, 2""",
 )
 def _(t: Tables) -> DataFrame:
@@ -287,7 +289,7 @@ def _(t: Tables) -> DataFrame:
         return F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
     return out.select(
-        "doc_id", "window", total("input_mask").alias("n_mask"), total("segment_ids").alias("n_segment"),
+        "doc_id", F.col("window").alias("win_no"), total("input_mask").alias("n_mask"), total("segment_ids").alias("n_segment"),
         total(weighted).alias("checksum"),
     )
 
@@ -341,8 +343,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "a30_qa_scores",
-    f"""WITH truth AS (SELECT conv_id, turn AS answer, {_NORM.format('text')} AS t FROM conversations WHERE turn < 4),
-    pred AS (SELECT conv_id, {_NORM.format('text')} AS p FROM conversations WHERE turn = 0 AND conv_id % 7 <> 3),
+    f"""WITH truth AS (SELECT conv_id, turn AS answer, {norm_sql('text')} AS t FROM conversations WHERE turn < 4),
+    pred AS (SELECT conv_id, {norm_sql('text')} AS p FROM conversations WHERE turn = 0 AND conv_id % 7 <> 3),
     pairs AS (SELECT truth.conv_id, answer, t, p FROM truth LEFT JOIN pred USING (conv_id)),
     tw AS (SELECT conv_id, answer, w, count(*) AS c FROM (SELECT conv_id, answer, unnest(string_split(t, ' ')) AS w FROM pairs) WHERE w <> '' GROUP BY ALL),
     pw AS (SELECT conv_id, answer, w, count(*) AS c FROM (SELECT conv_id, answer, unnest(string_split(p, ' ')) AS w FROM pairs) WHERE w <> '' GROUP BY ALL),
