@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import boxes as B
@@ -132,15 +132,18 @@ def _scan_by_joins(things: DataFrame, key: Sequence[str], inside: float) -> Data
         done = stayed if done is None else done.unionByName(stayed)
         done = cut_lineage(done)
         if moved.isEmpty():
-            return done.withColumnRenamed("_b", "_b")
+            return done
         cur = moved
 
 
 def bilinear(
     pts: DataFrame, grid: DataFrame, on: Sequence[str], point_id: Sequence[str], value: str = "val",
-    u: str = "u", v: str = "v",
+    u: str = "u", v: str = "v", by: Sequence[str] = (),
 ) -> DataFrame:
-    """Value of a grid (rows ``on, gu, gv, value``) at real coordinates, from four neighbours."""
+    """Value of a grid (rows ``on, gu, gv, value``) at real coordinates, from four neighbours.
+
+    ``by`` names channels of the grid; each is looked up on its own.
+    """
     def corners(c: Column) -> Column:
         low, high = F.floor(c), F.ceil(c)
         a = high - c
@@ -156,8 +159,8 @@ def bilinear(
             (F.col("_cu.w") * F.col("_cv.w")).alias("_w"),
         )
     )
-    hit = spread.join(grid.select(*on, "gu", "gv", value), [*on, "gu", "gv"])
-    return hit.groupBy(*on, *point_id).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
+    hit = spread.join(grid.select(*on, "gu", "gv", *by, value), [*on, "gu", "gv"])
+    return hit.groupBy(*on, *point_id, *by).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
 
 
 def neighbourhood(

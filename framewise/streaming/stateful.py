@@ -7,6 +7,7 @@ holds is bounded by the batch size the source is given.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,11 @@ def with_latest(
             out.append((int(k[0]), int(us), int(rid), *seen))
         if last is not None:
             state.update(last)
+        if not out:
+            return
         names = ["key", "us", "id", "other_id", "other_value", "age"]
+        # frames of only missing values are meant here
+        warnings.simplefilter("ignore", FutureWarning)
         frame = pd.DataFrame(out, columns=names)
         frame["other_id"] = frame["other_id"].astype("Int64")
         yield frame.astype({"other_value": "float64", "age": "float64"})

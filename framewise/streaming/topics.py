@@ -60,23 +60,31 @@ def drain_batches(
 
 
 def replay_stream(
-    spark: SparkSession, log: DataFrame, schema_of: DataFrame | None = None, ts: str = "ts",
-    slices: int = 8, files_per_batch: int = 1,
+    spark: SparkSession, log: DataFrame, ts: str = "ts", slices: int = 8, files_per_batch: int = 1
 ) -> DataFrame:
     """A recorded log fed in bounded batches in event-time order.
 
-    The log is written as ``slices`` files of consecutive time ranges; the file source
-    takes them oldest first, ``files_per_batch`` at a time.
+    The log is cut into ``slices`` time ranges of about equal size. Each is written on
+    its own, so that the file source, which goes by modification time, takes them
+    oldest first; a slice has ``files_per_batch`` files and makes one micro-batch.
     """
     path = scratch_path(spark, "replay")
-    rows = log.repartitionByRange(slices, ts).sortWithinPartitions(ts)
-    # files of one write may share a modification time, so each range is its own write
-    marked = rows.withColumn("_slice", F.spark_partition_id())
-    marked.write.partitionBy("_slice").parquet(path)
-    reader = spark.readStream.schema((schema_of or log).schema).option(
-        "maxFilesPerTrigger", files_per_batch
-    )
-    return reader.parquet(f"{path}/_slice=*")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    # a handful of stamps
+    cuts = log.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)])).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    zone = log.schema[ts].dataType
+
+    def stamp(value: int):
+        return F.timestamp_micros(F.lit(value)).cast(zone)
+
+    for n, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        # a range of the stamp column, which parquet prunes by
+        part = log if low is None else log.filter(F.col(ts) >= stamp(low))
+        part = part if high is None else part.filter(F.col(ts) < stamp(high))
+        part.repartition(files_per_batch).write.parquet(f"{path}/slice-{n:05d}")
+    reader = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path}/slice-*")
 
 
 def latest_only(batch: DataFrame, key: Sequence[str], ts: str, tie: str) -> DataFrame:
