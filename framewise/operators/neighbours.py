@@ -158,7 +158,7 @@ def components(
     to the smallest of them (Kiveris et al., 2014). The number of edges never grows
     and the number of rounds is about the square of the logarithm of a diameter.
     """
-    loops = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v"))
+    loops = cut_lineage(edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v")).distinct())
     vertices = (
         loops.select(*keys, F.col("u").alias("v")).unionByName(loops.select(*keys, "v")).distinct()
     )
@@ -167,8 +167,6 @@ def components(
         .select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    vertices = cut_lineage(vertices)
-
     def signature(df: DataFrame):
         mix = F.xxhash64(*keys, "u", "v")
         return tuple(
@@ -215,7 +213,7 @@ def cluster_from_seed(
     """
     # the diagonal of a cell, sqrt(3) / 2, stays below the tolerance
     df = with_cell(pts.withColumn("_tol", tolerance).withColumn("_seed", seed), F.col("_tol") / 2)
-    df = df.withColumn("_cell", F.struct(*_CELL))
+    df = cut_lineage(df.withColumn("_cell", F.struct(*_CELL)))
     left = _around(df.select(*on, "_tol", "_cell", *_CELL, *AXES), 2)
     right = df.select(
         *(F.col(c).alias(f"_r_{c}") for c in on), F.col("_cell").alias("_other"),
@@ -232,9 +230,8 @@ def cluster_from_seed(
     )
     edges = near.select(*on, F.col("_cell").alias("a"), F.col("_to").alias("b")).distinct()
     own = df.select(*on, F.col("_cell").alias("a"), F.col("_cell").alias("b")).distinct()
-    comp = cut_lineage(components(edges.unionByName(own), on))
-    labelled = join_on(df, comp.withColumnRenamed("vertex", "_cell"), [*on, "_cell"])
-    labelled = cut_lineage(labelled)
+    comp = components(edges.unionByName(own), on)
+    labelled = cut_lineage(join_on(df, comp.withColumnRenamed("vertex", "_cell"), [*on, "_cell"]))
     seeds = labelled.filter("_seed").groupBy(*on).agg(F.min("component").alias("_start"))
     out = join_on(labelled, seeds, on)
     return out.withColumn(
