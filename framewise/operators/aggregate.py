@@ -41,6 +41,18 @@ def index_quantile(
     return row_at(df, keys, order, quantile_index(F.col("n"), rule))
 
 
+def index_quantiles(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rules: Sequence[str]
+) -> DataFrame:
+    """`index_quantile` for several rules at once: one ranking, the rule named in ``rule``."""
+    sized = with_group_size(ranked(df, keys, order, "_rn"), keys, "n")
+    wanted = F.array(
+        *(F.struct(F.lit(x).alias("rule"), quantile_index(F.col("n"), x).alias("at")) for x in rules)
+    )
+    hit = F.filter(wanted, lambda w: w["at"] == F.col("_rn") - 1)
+    return sized.withColumn("_hit", F.explode(hit)).withColumn("rule", F.col("_hit.rule")).drop("_rn", "_hit")
+
+
 def quantile_index(n: Column, rule: str) -> Column:
     rules = {
         "third": F.floor(n / 3),

@@ -174,16 +174,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_suppkey", F.col("l_extendedprice").alias("v"), "l_orderkey", "l_partkey", "l_linenumber")
     order = ["v", "l_orderkey", "l_partkey", "l_linenumber"]
-    parts = [
-        agg.index_quantile(rows, ["l_suppkey"], order, rule).select(
-            "l_suppkey", F.lit(rule).alias("rule"), r(F.col("v")).alias("v")
-        )
-        for rule in ("third", "far", "quarter", "half")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = agg.index_quantiles(rows, ["l_suppkey"], order, ("third", "far", "quarter", "half"))
+    return out.select("l_suppkey", "rule", r(F.col("v")).alias("v"))
 
 
 @query(

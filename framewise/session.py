@@ -45,13 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    Used between the rounds of iterative operators: the plan stays short and a
-    lost executor costs one re-read, not all earlier rounds.
+    Used between the rounds of iterative operators: the plan stays short and a lost
+    executor costs one re-read, not all earlier rounds. A checkpoint would carry the
+    planner's size estimate along, which multiplies with every join of every round; a
+    table has its real size, so small results of a round are broadcast by themselves.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
