@@ -47,7 +47,7 @@ def _(t: Tables) -> DataFrame:
     p = G.back_project(F.col("u"), F.col("v"), F.col("d"), Intrinsics.of())
     pu, pv = G.project(p, Intrinsics.of(), Rigid.of())
     px = rows.select("camera", "d", G.lround(pu).alias("gu"), G.lround(pv).alias("gv"))
-    inside = px.filter(F.col("gu").between(0, 847) & F.col("gv").between(0, 479))
+    inside = px.filter(G.on_axis(F.col("gu"), 848) & G.on_axis(F.col("gv"), 480))
     return spatial.zbuffer(inside, ["camera", "gu", "gv"])
 
 
