@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from framewise.llm import link_trust, quality_rules
+from pyspark.sql import functions as F
+
+from framewise.llm import (
+    line_templates,
+    link_trust,
+    mixing,
+    quality_rules,
+    simhash_anchors,
+    topk_threshold,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +74,80 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, folder, "documents"))
 
 
+OP2_SQL = """
+WITH e AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT vec_id AS query_id, min(v) AS v FROM e WHERE vec_id % 100 = 0 GROUP BY vec_id),
+s AS (
+  SELECT query_id, vec_id, list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM q JOIN e ON vec_id <> query_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+WHERE rank <= 10
+"""
+
+
+@_query("op2_topk_threshold", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_threshold.top_k(_table(spark, folder, "embeddings"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents
+), s AS (
+  SELECT *, CASE k WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS w FROM (
+    SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k
+    FROM d GROUP BY source)
+), l AS (
+  SELECT *, row_number() OVER o AS i, (1.5e0 * sum(source_size) OVER () - 2e0 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING
+    AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW o AS (ORDER BY 2e0 * source_size / w, source NULLS LAST)
+), t AS (
+  SELECT source, source_size, k, w, least(2e0 * source_size,
+    w * coalesce((SELECT arg_min(level, i) FROM l WHERE level * w <= 2e0 * source_size), 1e300)) AS target FROM s
+), p AS (
+  SELECT doc_id, size, source_size, target, k, floor(target)::BIGINT AS want,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT *, greatest(0, least(want - start, size)) AS a, greatest(0, least(want - start - source_size, size)) AS b
+  FROM p
+), x AS (
+  SELECT *, (CASE WHEN a > 0 THEN start ELSE start + source_size END)::DOUBLE / greatest(want, 1)
+    * CASE k WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS need FROM u
+)
+SELECT doc_id, size, source_size, target, (a + b)::BIGINT AS taken,
+  CASE WHEN a + b > 0 THEN round(CASE
+    WHEN need <= 0 THEN 0e0
+    WHEN k = 0 THEN 2 * need / (4.5e0 + sqrt(4.5e0 * 4.5e0 - 6e0 * need))
+    WHEN k = 1 THEN need
+    WHEN need < 0.75e0 THEN 2 * need / (1e0 + sqrt(1e0 + 4e0 * need))
+    ELSE 0.5e0 + 2 * (need - 0.75e0) / (2e0 + sqrt(4e0 + 4e0 * (need - 0.75e0))) END, 9) END AS position
+FROM x
+"""
+
+
+@_query("op5_mixing", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, folder, "documents")).drop("uses")
+    return mixed.withColumn("position", F.round("position", 9)).orderBy("position", "doc_id")
+
+
+@_query("op6_line_templates")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return line_templates.deduplicated(_table(spark, folder, "documents"))
+
+
+@_query("op7_simhash_anchors")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_anchors.near_duplicates(_table(spark, folder, "documents"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT row_number() OVER () AS r, page_id, html,
@@ -120,7 +202,5 @@ FROM ruled JOIN last USING (host)
 
 @_query("op9_link_trust", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    import pyspark.sql.functions as F
-
     out = link_trust.judge(_table(spark, folder, "pages"))
     return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("trust", "distrust")})
