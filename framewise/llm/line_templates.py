@@ -25,6 +25,7 @@ from framewise.session import cut_lineage
 
 DEPTH = 4
 FIELD = "<*>"
+BROADCAST_LEAVES = 2_000_000  # 8 bytes each
 
 
 def _lines(df: DataFrame, key: str, text: str, min_tokens: int, depth: int) -> DataFrame:
@@ -54,7 +55,9 @@ def leaf_templates(found: DataFrame, rows: DataFrame, depth: int, similar: float
     ``found`` holds (line, leaf, docs), ``rows`` the same lines with their tokens.
     """
     busy = cut_lineage(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"))
-    lines = rows.filter(F.size("tokens") > depth).join(busy, "leaf", "left_semi")
+    # most lines are alone in their leaf; a known small list spares shuffling all texts to see it
+    small = busy.count() <= BROADCAST_LEAVES
+    lines = rows.filter(F.size("tokens") > depth).join(F.broadcast(busy) if small else busy, "leaf", "left_semi")
     lines = cut_lineage(
         lines.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     )
