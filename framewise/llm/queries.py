@@ -11,9 +11,12 @@ from framewise.llm import (
     line_templates,
     link_trust,
     mixing,
+    nbsvm,
     quality_rules,
     simhash_anchors,
+    sp_tokens,
     topk_threshold,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +98,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return topk_threshold.top_k(_table(spark, folder, "embeddings"))
 
 
+@_query("op4_sentencepiece")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    out = sp_tokens.encode_decode(docs)
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -148,6 +158,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_anchors.near_duplicates(_table(spark, folder, "documents"))
 
 
+@_query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT row_number() OVER () AS r, page_id, html,
@@ -204,3 +219,8 @@ FROM ruled JOIN last USING (host)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     out = link_trust.judge(_table(spark, folder, "pages"))
     return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("trust", "distrust")})
+
+
+@_query("op10_nbsvm")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return nbsvm.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
