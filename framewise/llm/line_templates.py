@@ -102,13 +102,17 @@ def recurring_lines(
 
 
 def without_recurring_lines(
-    df: DataFrame, key: str = "doc_id", text: str = "text", **how: float
+    df: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False, **how: float
 ) -> DataFrame:
-    """``df`` with the repeats of recurring lines taken out of ``text``; adds nothing else.
+    """``df`` with the repeats of recurring lines taken out of ``text``.
 
-    Documents of which nothing is left have the text ''.
+    Documents of which no word is left have a text of white space, or go if ``drop_emptied``;
+    those that had none before stay.
     """
-    return _cut(df, key, text, how).select(*(f"`{c}`" for c in df.columns))
+    cut = _cut(df, key, text, how)
+    if drop_emptied:
+        cut = cut.filter((F.col("_lt_dropped") == 0) | (F.btrim(F.col(text), F.lit(SPACE_CHARS)) != ""))
+    return cut.select(*(f"`{c}`" for c in df.columns))
 
 
 def _cut(df: DataFrame, key: str, text: str, how: dict) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.llm.words import count_words
+from framewise.llm.words import SPACE_RUN, count_words, trimmed
 from framewise.session import cut_lineage
 
 BUCKET = 2048
@@ -188,3 +188,30 @@ def training_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
         .select(key, F.col("u.epoch").alias("epoch"), F.col("u.taken").alias("taken"), F.col("u.position").alias("position"))
         .orderBy("position", key, "epoch")
     )
+
+
+def repeated(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how: object
+) -> DataFrame:
+    """The rows of ``df`` as the mix uses them, sorted by training position over ranges.
+
+    A row appears once per use, with all its columns. A use that takes only some of a text's
+    words, as the end of a source's line does, has the first of them, joined by blanks.
+    """
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    named = df.select(row.alias("_row"), F.col(text).alias("_text"), F.col(source).alias("_from"))
+    mixed = mix(named, "_row", "_text", "_from", **how)
+    # equal rows are told apart by a number on both sides
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("position"))
+    uses = mixed.select(F.col("_row").alias("_mx_at"), nth.alias("_mx_n"), "size", "uses").filter(F.size("uses") > 0)
+    uses = cut_lineage(uses.select("_mx_at", "_mx_n", F.col("size").alias("_mx_size"), F.col("uses").alias("_mx_uses")))
+    own = F.row_number().over(Window.partitionBy("_mx_row").orderBy("_mx_row"))
+    rows = df.withColumn("_mx_row", row).withColumn("_mx_own", own)
+    joined = rows.join(uses, (F.col("_mx_row") == F.col("_mx_at")) & (F.col("_mx_own") == F.col("_mx_n")))
+    each = joined.withColumn("_mx_use", F.explode("_mx_uses"))
+    words = F.split(trimmed(F.col(text)), SPACE_RUN)
+    part = F.array_join(F.slice(words, F.lit(1), F.col("_mx_use.taken").cast("int")), " ")
+    cut = F.when(F.col("_mx_use.taken") < F.col("_mx_size"), part).otherwise(F.col(text))
+    ordered = each.withColumn(text, cut).withColumn("_mx_at", F.col("_mx_use.position"))
+    ordered = ordered.repartitionByRange("_mx_at", "_mx_row").sortWithinPartitions("_mx_at", "_mx_row", "_mx_own")
+    return ordered.select(*(f"`{c}`" for c in df.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import (
+    html_extract,
     line_templates,
     link_trust,
     mixing,
@@ -98,6 +99,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return topk_threshold.top_k(_table(spark, folder, "embeddings"))
 
 
+@_query("op3_crf_html")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, folder, "pages"))
+
+
 @_query("op4_sentencepiece")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -224,3 +230,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_nbsvm")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return nbsvm.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
