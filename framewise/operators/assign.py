@@ -123,23 +123,36 @@ def _pairs(
     return left.join(right, [*on, "_cx", "_cy"]).filter(home).select(*on, "_a", "_b", "_ra", "_rb")
 
 
+# what a pair's tie value, from 0 to 1, adds to its gain
+TIE = 1e-7
+
+
+def tie_by_hash(a: Column, b: Column) -> Column:
+    """A number from 0 to 1 that depends on nothing but the two ids."""
+    return F.pmod(F.xxhash64(a, b), F.lit(1021)) / 1021.0
+
+
 def assign(
     a: DataFrame, b: DataFrame, on: Sequence[str], a_id: str = "a_id", b_id: str = "b_id",
-    min_iou: float = 0.40, cell: float = 64.0,
+    min_iou: float = 0.40, cell: float = 64.0, tie: Callable[[Column, Column], Column] = tie_by_hash,
 ) -> DataFrame:
     """Least-cost pairing of boxes with cost 1 - IoU; pairs with IoU <= ``min_iou`` go afterwards.
 
     Boxes that do not overlap cost 1 and are dropped by the gate anyway, so only
-    overlapping pairs are candidates. Rows: on, a_id, b_id, iou.
+    overlapping pairs are candidates. Rows: on, a_id, b_id, iou. Pairings whose total
+    IoU is equal to within ``TIE`` per pair are ties: of them the one with the largest
+    sum of ``tie`` values is taken, whatever the order or the parts they are solved in.
     """
     pairs = _pairs(a, b, on, a_id, b_id, cell)
     pairs = pairs.withColumn(
-        "_gain", B.iou(Box.field(F.col("_ra")), Box.field(F.col("_rb")))
-    ).filter("_gain > 0").select(*on, "_a", "_b", "_gain")
+        "_iou", B.iou(Box.field(F.col("_ra")), Box.field(F.col("_rb")))
+    ).filter("_iou > 0").select(
+        *on, "_a", "_b", "_iou", (F.col("_iou") + tie(F.col("_a"), F.col("_b")) * TIE).alias("_gain")
+    )
     matched = solve_pairs(pairs, on)
     # the cost must stay below the gate
-    return matched.filter((1.0 - F.col("_gain")) < 1.0 - min_iou).select(
-        *on, F.col("_a").alias(a_id), F.col("_b").alias(b_id), F.col("_gain").alias("iou")
+    return matched.filter((1.0 - F.col("_iou")) < 1.0 - min_iou).select(
+        *on, F.col("_a").alias(a_id), F.col("_b").alias(b_id), F.col("_iou").alias("iou")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.operators.scale import join_on
-from framewise.session import cut_lineage
+from framewise.session import cut_lineage, discard
 
 AXES = ("x", "y", "z")
 _CELL = ("_cx", "_cy", "_cz")
@@ -189,7 +189,8 @@ def components(
 
     before = signature(cur)
     while True:
-        cur = cut_lineage(star(star(cur, True), False))
+        old, cur = cur, cut_lineage(star(star(cur, True), False))
+        discard(old)
         after = signature(cur)
         if after == before:
             break

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.session import cut_lineage
+
 
 def order_columns(order: Sequence[str]) -> list[Column]:
     """``-name`` means descending."""
@@ -66,17 +68,20 @@ def with_buckets(
 ) -> DataFrame:
     """Add a bucket number that rises with ``order``, about equally filled.
 
-    The bounds are approximate quantiles of the first numeric order column; a
-    value so frequent that it is a bound itself gets a bucket of its own, which
-    the second order column splits further. Buckets only balance the work, the
-    result of an operator does not depend on where the bounds fall.
+    The bounds are approximate quantiles of the first order column if that is a
+    number or a time; a value so frequent that it is a bound itself gets a bucket of
+    its own, which the second order column splits further. Orders with other types
+    are dealt into ranges over all order columns and written once, as ranges come
+    from a sample. Buckets only balance the work, the result of an operator does not
+    depend on where the bounds fall.
     """
     conf = df.sparkSession.conf
     n = buckets or max(64, int(conf.get("spark.sql.shuffle.partitions", "200")))
     first = _sort_value(df, order[0])
-    if first is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
     second = _sort_value(df, order[1]) if len(order) > 1 else None
+    if first is None or (len(order) > 1 and second is None):
+        ranges = df.repartitionByRange(n, *order_columns(order))
+        return cut_lineage(ranges.withColumn(name, F.spark_partition_id().cast("long")))
     cuts = [i / n for i in range(1, n)]
     bounds = df.agg(
         F.array_sort(F.array_distinct(F.percentile_approx(first, cuts))).alias("_b1"),
@@ -187,34 +192,35 @@ def map_groups(
 
     Rows are hashed on ``keys`` and sorted, so a group is a run of rows; a run cut by
     the end of a batch is carried into the next. The caller bounds the group size.
+    Groups are told apart by the text of their keys, in which NULL is a value and long
+    numbers keep all digits.
     """
+    columns = df.columns
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for pdf in batches:
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
-            starts = _run_starts(pdf, keys)
+            starts = _run_starts(pdf["_group"])
             if len(starts) == 0:
                 continue
             held = pdf.iloc[starts[-1] :]
-            out = [fn(pdf.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            out = [fn(pdf.iloc[a:b][columns]) for a, b in zip(starts[:-1], starts[1:])]
             out = [o for o in out if len(o)]
             if out:
                 yield pd.concat(out, ignore_index=True)
         if held is not None and len(held):
-            yield fn(held)
+            yield fn(held[columns])
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    placed = df.repartition(n, *keys).sortWithinPartitions(*keys)
+    named = df.withColumn("_group", F.to_json(F.struct(*keys)))
+    placed = named.repartition(n, "_group").sortWithinPartitions("_group")
     return placed.mapInPandas(run, schema)
 
 
-def _run_starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
-    if not len(pdf):
+def _run_starts(group: pd.Series) -> np.ndarray:
+    if not len(group):
         return np.array([], dtype=int)
-    fresh = np.zeros(len(pdf), dtype=bool)
-    fresh[0] = True
-    for k in keys:
-        v = pdf[k].to_numpy()
-        fresh[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(fresh)
+    v = group.to_numpy()
+    return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))

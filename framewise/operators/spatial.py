@@ -138,11 +138,12 @@ def _scan_by_joins(things: DataFrame, key: Sequence[str], inside: float) -> Data
 
 def bilinear(
     pts: DataFrame, grid: DataFrame, on: Sequence[str], point_id: Sequence[str], value: str = "val",
-    u: str = "u", v: str = "v", by: Sequence[str] = (),
+    u: str = "u", v: str = "v", by: Sequence[str] = (), whole: bool = False,
 ) -> DataFrame:
     """Value of a grid (rows ``on, gu, gv, value``) at real coordinates, from four neighbours.
 
-    ``by`` names channels of the grid; each is looked up on its own.
+    ``by`` names channels of the grid; each is looked up on its own. With ``whole``, points
+    that lack a neighbour, as those outside the grid do, give no row.
     """
     def corners(c: Column) -> Column:
         low, high = F.floor(c), F.ceil(c)
@@ -160,7 +161,10 @@ def bilinear(
         )
     )
     hit = spread.join(grid.select(*on, "gu", "gv", *by, value), [*on, "gu", "gv"])
-    return hit.groupBy(*on, *point_id, *by).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
+    out = hit.groupBy(*on, *point_id, *by).agg(
+        F.sum(F.col("_w") * F.col(value)).alias(value), F.count(F.lit(1)).alias("_n")
+    )
+    return (out.filter("_n = 4") if whole else out).drop("_n")
 
 
 def neighbourhood(

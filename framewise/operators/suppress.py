@@ -5,6 +5,10 @@ groups never meet in one task: they are settled by rounds over grid cells. In a
 round every cell names its best undecided box; a box that is best in all its cells
 has no better overlapping rival and is kept, and boxes it overlaps too much go.
 Both ways give the same result as the sequential scan.
+
+A NULL frame or class is a group like any other. A box with a NULL side overlaps
+nothing: it is kept and takes no other box away. A NULL score comes before all
+others and NaN after them, as the sort of the scan has it.
 """
 
 from __future__ import annotations
@@ -16,9 +20,9 @@ from pyspark.sql import functions as F
 
 from framewise.functions import boxes as B
 from framewise.functions.boxes import Box
-from framewise.operators.scale import max_group, order_columns, split_by_size
+from framewise.operators.scale import max_group, split_by_size
 from framewise.operators.spatial import box_cells, overlapping
-from framewise.session import cut_lineage
+from framewise.session import cut_lineage, discard
 
 # overlap(kept, candidate); positive only when the boxes touch within one pixel
 Overlap = Callable[[Box, Box], Column]
@@ -62,6 +66,10 @@ def _fold(df: DataFrame, keys: Sequence[str], order, overlap: Overlap, t: float)
 
 def _rounds(df: DataFrame, keys: Sequence[str], order, overlap: Overlap, t: float) -> DataFrame:
     """The same for groups of any size, cell by cell."""
+    columns = df.columns
+    # one text per group, so that joins pair NULL keys too
+    df = df.withColumn("_group", F.to_json(F.struct(*keys)))
+    keys = ["_group"]
     size = df.agg(
         F.avg(F.greatest(F.abs(F.col("xmax") - F.col("xmin")), F.abs(F.col("ymax") - F.col("ymin"))))
     ).first()[0]
@@ -81,15 +89,18 @@ def _rounds(df: DataFrame, keys: Sequence[str], order, overlap: Overlap, t: floa
             .drop("_best")
         )
         won = cut_lineage(open_rows.join(winners, [*keys, "_rank"], "left_semi"))
+        if won.isEmpty():
+            raise RuntimeError("no box of the round is best in its cells; is the order unique?")
         kept = won if kept is None else kept.unionByName(won)
         rest = open_rows.join(won.select(*keys, "_rank"), [*keys, "_rank"], "left_anti")
         # one winner per cell at most, so this join does not multiply rows
         hit = overlapping(
             won, rest, keys, lambda a, b: overlap(a, b) > t, cell=cell, pad=1.0
         ).select(*keys, "_rank")
-        open_rows = cut_lineage(rest.join(hit, [*keys, "_rank"], "left_anti"))
+        old, open_rows = open_rows, cut_lineage(rest.join(hit, [*keys, "_rank"], "left_anti"))
+        discard(old)
         if open_rows.isEmpty():
-            return kept.drop("_rank")
+            return kept.select(*columns)
 
 
 def greedy_keep(
@@ -98,13 +109,20 @@ def greedy_keep(
 ) -> DataFrame:
     """Boxes kept by a scan in ``order``; ``order`` must be unique within ``keys``.
 
+    Boxes with a NULL side are kept whatever their group's size.
+
     ``known_size`` is a bound on the group size the caller already guarantees.
     """
+    whole = F.lit(True)
+    for side in Box._fields:
+        whole = whole & F.col(side).isNotNull()
+    odd, df = df.filter(~whole), df.filter(whole)
     size = known_size if known_size is not None else max_group(df, keys)
     if size <= limit:
-        return _fold(df, keys, order, overlap, t)
+        return _fold(df, keys, order, overlap, t).unionByName(odd)
     few, many = split_by_size(df, keys, limit)
-    return _fold(few, keys, order, overlap, t).unionByName(_rounds(many, keys, order, overlap, t))
+    kept = _fold(few, keys, order, overlap, t).unionByName(_rounds(many, keys, order, overlap, t))
+    return kept.unionByName(odd)
 
 
 def nms(
@@ -206,7 +224,3 @@ def union_detections(objects: DataFrame, persons: DataFrame, cap: float = 0.99)
     return objects.unionByName(
         persons.withColumn("score", F.least(F.col("score"), F.lit(cap)))
     )
-
-
-def sorted_by(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return df.orderBy(*order_columns(order))

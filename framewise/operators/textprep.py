@@ -14,10 +14,6 @@ from framewise.operators.scale import ranked
 UNKNOWN = "[UNK]"
 
 
-def distinct_words(df: DataFrame, tokens: str) -> DataFrame:
-    return df.select(F.explode(tokens).alias("word")).distinct()
-
-
 def wordpiece(
     words: DataFrame, vocab: DataFrame, unknown: str = UNKNOWN, max_chars: int = 200
 ) -> DataFrame:

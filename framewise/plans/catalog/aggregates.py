@@ -610,14 +610,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "a37_merge_person_parts",
-    """WITH RECURSIVE e AS (SELECT l_suppkey AS frame, l_partkey % 200 AS a, 1000 + l_orderkey % 300 AS b FROM lineitem WHERE l_linenumber = 1),
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey // 64 AS frame, l_partkey % 20 AS a, 1000 + l_suppkey % 30 AS b FROM lineitem),
     n AS (SELECT frame, a AS u, b AS v FROM e UNION SELECT frame, b, a FROM e),
     reach AS (SELECT frame, u AS part, u AS seen FROM n UNION SELECT r.frame, r.part, n.v FROM reach r JOIN n ON n.frame = r.frame AND n.u = r.seen)
     SELECT frame, part, min(seen) AS person FROM reach GROUP BY 1, 2""",
 )
 def _(t: Tables) -> DataFrame:
-    pairs = t.lineitem.filter("l_linenumber = 1").selectExpr(
-        "l_suppkey AS frame", "l_partkey % 200 AS part_a", "1000 + l_orderkey % 300 AS part_b"
+    pairs = t.lineitem.selectExpr(
+        "floor(l_orderkey / 64) AS frame", "l_partkey % 20 AS part_a", "1000 + l_suppkey % 30 AS part_b"
     )
     return sk.merge_parts(pairs)
 

@@ -207,9 +207,9 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-project(
-    "p31_sigmoid", "v_logits", ("vec_id",),
-    lambda: {"p": R.sigmoid(F.get("logits", F.lit(0)) * 10)}, {"p": "1 / (1 + exp(-10 * logits[1]))"},
+array_query(
+    "p31_sigmoid", lambda: F.transform("logits", lambda x: R.sigmoid(x * 10)),
+    "[1 / (1 + exp(-10 * logits[i])) for i in range(1, 33)]",
 )
 _PA, _PB = softmax_sql("logits"), softmax_sql("other")
 array_query(
@@ -232,10 +232,12 @@ array_query(
     "[20 * p / sqrt(list_sum([q * q for q in logits]) + 1e-10) for p in logits]",
 )
 array_query(
-    "p39_rescale_pixels", lambda: R.channel_major(R.rescale(F.slice("logits", 1, 30)), 3, True),
-    "[2e0 / 255 * logits[i * 3 + 3] - 1 for i in range(0, 10)] || "
-    "[2e0 / 255 * logits[i * 3 + 2] - 1 for i in range(0, 10)] || "
-    "[2e0 / 255 * logits[i * 3 + 1] - 1 for i in range(0, 10)]",
+    "p39_rescale_pixels",
+    # 32 values and the first again are 11 pixels
+    lambda: R.channel_major(R.rescale(F.concat("logits", F.slice("logits", 1, 1))), 3, True),
+    "[2e0 / 255 * (logits || logits[1:1])[i * 3 + 3] - 1 for i in range(0, 11)] || "
+    "[2e0 / 255 * (logits || logits[1:1])[i * 3 + 2] - 1 for i in range(0, 11)] || "
+    "[2e0 / 255 * (logits || logits[1:1])[i * 3 + 1] - 1 for i in range(0, 11)]",
 )
 array_query(
     "k4_topk_indices", lambda: R.topk_indices(F.col("logits"), 5),

@@ -94,23 +94,23 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "s9_write_persons",
-    f"""WITH p AS (SELECT person, person % 8 AS camera, count(*) AS n, avg(conf) AS score FROM v_kp GROUP BY 1)
-    SELECT camera, count(*) AS n_people, {rs('sum(score)')} AS score, CAST(sum(n) AS BIGINT) AS n_kps, min(person) AS first_id FROM p GROUP BY 1""",
+    f"""WITH p AS (SELECT person, person % 2 AS camera, person // 6 AS stamp, count(*) AS n, avg(conf) AS score FROM v_kp GROUP BY 1)
+    SELECT camera, stamp, count(*) AS n_people, {rs('sum(score)')} AS score, CAST(sum(n) AS BIGINT) AS n_kps, min(person) AS first_id FROM p GROUP BY 1, 2""",
     ("v_kp",),
 )
 def _(t: Tables) -> DataFrame:
     rows = t.persons.select(
-        (F.col("person") % 8).alias("camera"), F.col("person").alias("id"),
+        (F.col("person") % 2).alias("camera"), F.floor(F.col("person") / 6).alias("stamp"), F.col("person").alias("id"),
         F.transform("kps", lambda k: F.array(k["x"], k["y"], k["conf"])).alias("keypoints"),
         (F.aggregate("kps", F.lit(0.0), lambda a, k: a + k["conf"]) / F.size("kps")).alias("score"),
         F.array(F.lit(0.0)).alias("bbox"),
     )
-    out = writers.persons_to_json(rows, ["camera"], F.col("id"), F.array(F.lit(0.0), F.lit(0.0)))
+    out = writers.persons_to_json(rows, ["camera", "stamp"], F.col("stamp"), F.array(F.lit(0.0), F.lit(0.0)))
     # the JSON text is read back, so the check sees what was written
     shape = "timestamp long, crop_info array<double>, people array<struct<id:long,keypoints:array<array<double>>,score:double,bbox:array<double>>>"
-    back = out.select("camera", F.from_json("json", shape).alias("j"))
+    back = out.select("camera", "stamp", F.from_json("json", shape).alias("j"))
     return back.select(
-        "camera", F.size("j.people").cast("long").alias("n_people"),
+        "camera", "stamp", F.size("j.people").cast("long").alias("n_people"),
         r(F.aggregate("j.people", F.lit(0.0), lambda a, p: a + p["score"])).alias("score"),
         F.aggregate("j.people", F.lit(0).cast("long"), lambda a, p: a + F.size(p["keypoints"])).alias("n_kps"),
         F.get("j.people", F.lit(0))["id"].alias("first_id"),

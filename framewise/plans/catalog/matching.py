@@ -312,13 +312,15 @@ def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 # every way to give the a-boxes of a frame, one after the other, a free overlapping b-box or none
 _ASSIGN_SQL = f"""WITH RECURSIVE a AS (SELECT * FROM v_det WHERE label < 7), b AS (SELECT * FROM v_det WHERE label >= 7),
-    p AS (SELECT a.frame, a.det_id AS a_id, b.det_id AS b_id, {iou_sql('a', 'b')} AS iou FROM a JOIN b ON a.frame = b.frame
-      AND {iou_sql('a', 'b')} > 0),
+    p AS (SELECT *, iou + ((a_id % 1009 * 31 + b_id % 1013 * 17) % 1021) / 1021e0 * 1e-7 AS gain FROM (
+      SELECT a.frame, a.det_id AS a_id, b.det_id AS b_id, {iou_sql('a', 'b')} AS iou FROM a JOIN b ON a.frame = b.frame
+      AND {iou_sql('a', 'b')} > 0)),
     turn AS (SELECT frame, a_id, row_number() OVER (PARTITION BY frame ORDER BY a_id) AS k FROM (SELECT DISTINCT frame, a_id FROM p)),
-    options AS (SELECT frame, k, a_id, b_id, iou FROM turn JOIN p USING (frame, a_id) UNION ALL SELECT frame, k, a_id, NULL, 0e0 FROM turn),
+    options AS (SELECT frame, k, a_id, b_id, iou, gain FROM turn JOIN p USING (frame, a_id)
+      UNION ALL SELECT frame, k, a_id, NULL, 0e0, 0e0 FROM turn),
     state AS (SELECT frame, 0 AS k, []::BIGINT[] AS used, 0e0 AS total, []::STRUCT(a BIGINT, b BIGINT, iou DOUBLE)[] AS chosen
         FROM (SELECT DISTINCT frame FROM turn)
-      UNION ALL SELECT s.frame, s.k + 1, CASE WHEN b_id IS NULL THEN used ELSE list_append(used, b_id) END, total + iou,
+      UNION ALL SELECT s.frame, s.k + 1, CASE WHEN b_id IS NULL THEN used ELSE list_append(used, b_id) END, total + gain,
         CASE WHEN b_id IS NULL THEN chosen ELSE list_append(chosen, {{'a': a_id, 'b': b_id, 'iou': iou}}) END
       FROM state s JOIN options o ON o.frame = s.frame AND o.k = s.k + 1 WHERE b_id IS NULL OR NOT list_contains(used, b_id)),
     done AS (SELECT s.frame, unnest(arg_max(chosen, total)) AS c FROM state s
@@ -329,7 +331,10 @@ _ASSIGN_SQL = f"""WITH RECURSIVE a AS (SELECT * FROM v_det WHERE label < 7), b A
 @query("j11_assign_one_to_one", _ASSIGN_SQL, ("v_det",))
 def _(t: Tables) -> DataFrame:
     a, b = _sides(t)
-    out = asg.assign(a, b, ["frame"], min_iou=0.2)
+    def tie(x, y):
+        return (x % 1009 * 31 + y % 1013 * 17) % 1021 / 1021.0
+
+    out = asg.assign(a, b, ["frame"], min_iou=0.2, tie=tie)
     return out.select("frame", "a_id", "b_id", r(F.col("iou")).alias("iou"))
 
 

@@ -343,7 +343,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "a30_qa_scores",
-    f"""WITH truth AS (SELECT conv_id, turn AS answer, {norm_sql('text')} AS t FROM conversations WHERE turn < 4),
+    f"""WITH truth AS (SELECT conv_id, turn AS answer, {norm_sql('text')} AS t FROM conversations),
     pred AS (SELECT conv_id, {norm_sql('text')} AS p FROM conversations WHERE turn = 0 AND conv_id % 7 <> 3),
     pairs AS (SELECT truth.conv_id, answer, t, p FROM truth LEFT JOIN pred USING (conv_id)),
     tw AS (SELECT conv_id, answer, w, count(*) AS c FROM (SELECT conv_id, answer, unnest(string_split(t, ' ')) AS w FROM pairs) WHERE w <> '' GROUP BY ALL),
@@ -357,7 +357,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     c = t.conversations
-    truth = c.filter("turn < 4").select("conv_id", F.col("turn").alias("answer"), "text")
+    truth = c.select("conv_id", F.col("turn").alias("answer"), "text")
     pred = c.filter("turn = 0 and conv_id % 7 <> 3").select("conv_id", "text")
     out = ev.qa_scores(pred, truth, "conv_id", "answer")
     return out.select(r(F.col("exact_match")).alias("exact_match"), r(F.col("f1")).alias("f1"), "n")

@@ -10,28 +10,20 @@ from pyspark.sql import functions as F
 
 def persons_to_json(
     df: DataFrame, frame: Sequence[str], timestamp: Column, crop_info: Column | None = None,
-    columns: Sequence[str] = ("keypoints", "score", "id", "bbox"), limit: int = 4096,
+    columns: Sequence[str] = ("keypoints", "score", "id", "bbox"),
 ) -> DataFrame:
     """One JSON text per frame: timestamp, crop_info and the list of persons by id.
 
-    A frame is one document, so its persons meet in one row; a frame with more than
-    ``limit`` persons comes as several documents, numbered in ``part``.
+    ``frame`` names one moment of one camera; a frame is one document, so its persons
+    meet in one row.
     """
-    from framewise.operators.scale import ranked, max_group
-
-    rows = df
-    if max_group(df, list(frame)) > limit:
-        rows = ranked(df, list(frame), ["id"], "_rn")
-        rows = rows.withColumn("part", F.floor((F.col("_rn") - 1) / limit)).drop("_rn")
-    else:
-        rows = rows.withColumn("part", F.lit(0).cast("long"))
     person = F.struct("id", *(c for c in columns if c != "id"))
-    listed = rows.groupBy(*frame, "part").agg(
+    listed = df.groupBy(*frame).agg(
         F.max(timestamp).alias("timestamp"),
         F.max(crop_info if crop_info is not None else F.lit(None).cast("array<double>")).alias("crop_info"),
         F.array_sort(F.collect_list(person)).alias("people"),
     )
-    return listed.select(*frame, "part", F.to_json(F.struct("timestamp", "crop_info", "people")).alias("json"))
+    return listed.select(*frame, F.to_json(F.struct("timestamp", "crop_info", "people")).alias("json"))
 
 
 def write_topic(df: DataFrame, path: str, topic: str | None = None, active: bool = True) -> bool:

@@ -31,7 +31,8 @@ def with_latest(
     """Each row of ``stream`` with the last row of ``other`` of its key seen before it.
 
     Rows out: key, ts, row_id, other_id, other_value, age (s). With ``max_age`` an
-    older (or later) row of ``other`` is not attached.
+    older row of ``other`` is not attached. A row of ``other`` that comes late never
+    replaces a newer one, and a later row is never attached to an earlier one.
     """
     def tagged(df: DataFrame, side: int) -> DataFrame:
         return df.select(
@@ -45,10 +46,11 @@ def with_latest(
         rows = _ordered(pdfs, ["us", "side", "id"])
         for us, rid, val, side in zip(rows["us"], rows["id"], rows["value"], rows["side"]):
             if side == 0:
-                last = (int(us), int(rid), float(val))
+                if last is None or (us, rid) >= last[:2]:
+                    last = (int(us), int(rid), float(val))
                 continue
             age = None if last is None else (us - last[0]) / 1e6
-            fresh = age is not None and (max_age is None or 0 <= age < max_age)
+            fresh = age is not None and age >= 0 and (max_age is None or age < max_age)
             seen = (last[1], last[2], age) if fresh else (None, None, None)
             out.append((int(k[0]), int(us), int(rid), *seen))
         if last is not None:
@@ -70,7 +72,11 @@ def with_latest(
 
 
 def throttle_stream(stream: DataFrame, key: str, ts: str, row_id: str, spacing: float) -> DataFrame:
-    """At most one row per key within ``spacing`` seconds of the last kept row."""
+    """At most one row per key within ``spacing`` seconds of the last kept row.
+
+    Rows older than the last kept one are dropped, as the batch operator would not
+    have kept both.
+    """
     gap = int(round(spacing * 1_000_000))
     rows = stream.select(
         F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("us"), F.col(row_id).alias("id")
@@ -81,7 +87,7 @@ def throttle_stream(stream: DataFrame, key: str, ts: str, row_id: str, spacing:
         part = _ordered(pdfs, ["us", "id"])
         keep = np.zeros(len(part), dtype=bool)
         for i, us in enumerate(part["us"]):
-            if last is None or us - last > gap or us < last:
+            if last is None or us - last > gap:
                 keep[i], last = True, int(us)
         state.update((last,))
         yield part[keep][["key", "us", "id"]]
