@@ -625,13 +625,15 @@ def _(t: Tables) -> DataFrame:
 # -------------------------------------------------------------------- sampling
 @query(
     "s4_strided_sample",
-    """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+    """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY source || '/' || md5(doc_id::VARCHAR)) - 1 AS i, count(*) OVER () AS n FROM documents),
     k AS (SELECT doc_id, (i // 3) // 8 AS batch, (i // 3) % 8 AS slot, n // 3 // 8 AS batches FROM o WHERE i % 3 = 0)
     SELECT doc_id, batch, slot FROM k WHERE batch < batches""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "n_chars")
-    return agg.strided_sample(rows, ["n_chars", "doc_id"], 3, 8).select("doc_id", "batch", "slot")
+    # in the order of a path, as files come
+    path = F.concat("source", F.lit("/"), F.md5(F.col("doc_id").cast("string")))
+    rows = t.documents.select("doc_id", path.alias("path"))
+    return agg.strided_sample(rows, ["path"], 3, 8).select("doc_id", "batch", "slot")
 
 
 @query("k9_limit_rows", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 96")

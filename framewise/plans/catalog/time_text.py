@@ -108,7 +108,13 @@ def _(t: Tables) -> DataFrame:
     return tokens(t).select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "|")).alias("digest"))
 
 
-@query("p48_basic_tokenize")
+@query(
+    "p48_basic_tokenize",
+    r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^\P{C}\t\n\r]|\x{FFFD}', '', 'g'), '[\t\n\r\p{Zs}]', ' ', 'g') AS t FROM documents),
+    l AS (SELECT doc_id, regexp_extract_all(regexp_replace(strip_accents(lower(t)), '\p{Mn}', '', 'g'),
+      '[!-/:-@\[-`{-~\p{P}]|[^!-/:-@\[-`{-~\p{P}\s\x{2028}\x{2029}]+') AS l FROM c)
+    SELECT doc_id, len(l) AS n, md5(array_to_string(l, '|')) AS digest FROM l""",
+)
 def _(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", tx.basic_tokenize(F.col("text")).alias("l"))
     return rows.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "|")).alias("digest"))
