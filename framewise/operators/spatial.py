@@ -191,9 +191,17 @@ def match_truth(
     Each detection looks at its best-overlapping truth only; the best-scored one
     that reaches it is true, later ones are false, difficult truths do not count.
     Detections without such a truth are false.
+
+    From an IoU of one half on, the overlap covers more than half of each side, so the
+    centre of a detection lies in its truth: the detection needs one cell only.
     """
-    left = box_cells(det, Box.of(), cell).select(*on, det_id, "_cx", "_cy", *Box.of())
-    right = box_cells(gt, Box.of(), cell).select(
+    if min_iou >= 0.5:
+        middle = [(F.col(f"{a}min") + F.col(f"{a}max")) / 2 for a in "xy"]
+        left, pad = point_cell(det, *middle, cell), 1e-6
+    else:
+        left, pad = box_cells(det, Box.of(), cell), 0.0
+    left = left.select(*on, det_id, "_cx", "_cy", *Box.of())
+    right = box_cells(gt, Box.of(), cell, pad).select(
         *on, gt_id, "difficult", "_cx", "_cy", *Box.of().columns("g_")
     )
     pairs = left.join(right, [*on, "_cx", "_cy"])
