@@ -383,7 +383,56 @@ def parts_of(t: Tables) -> DataFrame:
     )
 
 
-@query("p17_person_boxes")
+def _person_boxes_sql(w: str = "640e0", h: str = "480e0") -> str:
+    """The three boxes by CASE arithmetic; slot 17 has no keypoint here."""
+    slots = range(18)
+    seen = ", ".join(
+        f"max({c}) FILTER (kp_idx = {s} AND score > 0.{t}e0) AS {c}{t}_{s}" for s in slots for t in (2, 3) for c in "xy"
+    )
+
+    def fit(x: str, y: str, x2: str, y2: str) -> str:
+        return (
+            f"greatest({x}, 0e0) AS fx, greatest({y}, 0e0) AS fy, least({w} - greatest({x}, 0e0), {x2} - greatest({x}, 0e0)) + greatest({x}, 0e0) AS gx, "
+            f"least({h} - greatest({y}, 0e0), {y2} - greatest({y}, 0e0)) + greatest({y}, 0e0) AS gy"
+        )
+
+    def boxed(name: str, centred: bool) -> str:
+        good = "ok AND round_even(gx - fx, 0) <> 0 AND round_even(gy - fy, 0) <> 0"
+        at = {"x": "(fx + gx) / 2" if centred else "fx", "y": "(fy + gy) / 2" if centred else "fy", "w": "gx - fx", "h": "gy - fy"}
+        return ", ".join(f"CASE WHEN {good} THEN round_even({e}, 0) END AS {name}_{f}" for f, e in at.items())
+
+    face = f"""SELECT *, x2_14 - x2_15 AS dx, y2_14 - y2_15 AS dy FROM m"""
+    size = f"greatest(0e0, (y2_1 - y2_0) * {h} * 0.8e0, dx * {w} * 2, sqrt(dx * dx + dy * dy) * {w} * 2, (x2_16 - x2_17) * {w} * 1.6e0)"
+    shift = """CASE WHEN x2_14 IS NULL AND x2_15 IS NOT NULL THEN floor(size / 3) * 2
+      WHEN x2_14 IS NOT NULL AND x2_15 IS NULL THEN floor(size / 3) ELSE floor(size / 2) END"""
+    parts = []
+    for name, up, extra in (
+        ("face", "floor(size / 3)", ""), ("head", "round_even(size / 2 * 1.2e0, 0)", " AND (x2_14 IS NOT NULL OR x2_15 IS NOT NULL)")
+    ):
+        parts.append(
+            f"{name} AS (SELECT person, {boxed(name, name == 'face')} FROM (SELECT person, x2_0 IS NOT NULL AND size > 0{extra} AS ok, "
+            f"{fit('x', 'y', '(x + size)', '(y + size)')} FROM (SELECT *, x2_0 * {w} - {shift} AS x, y2_0 * {h} - {up} AS y FROM "
+            f"(SELECT *, {size} AS size FROM ({face})))))"
+        )
+    listed = {c: "[" + ", ".join(f"{c}3_{s}" for s in (0, 1, 2, 5, 8, 11, 14, 15, 16, 17)) + "]" for c in "xy"}
+    one = f"coalesce(CASE WHEN x3_2 IS NULL THEN abs(x3_5 - x3_1) END, CASE WHEN x3_5 IS NULL THEN abs(x3_2 - x3_1) END) * ({w} * 1.15e0)"
+    both = "x3_2 IS NOT NULL AND x3_5 IS NOT NULL"
+    parts.append(
+        f"upper_box AS (SELECT person, {boxed('upper', True)} FROM (SELECT person, n >= 5 AS ok, {fit('l', 't', 'r', 'y1')} FROM "
+        f"(SELECT *, CASE WHEN {both} THEN x0 - (x1 - x0) * 0.15e0 ELSE least(x0, x3_1 * {w} - {one}) END AS l, "
+        f"CASE WHEN {both} THEN x1 + (x1 - x0) * 0.15e0 ELSE greatest(x1, x3_1 * {w} + {one}) END AS r, "
+        f"CASE WHEN x3_0 IS NOT NULL AND x3_1 IS NOT NULL THEN y0 - (y3_1 * {h} - y0) * 0.8e0 ELSE y0 END AS t FROM "
+        f"(SELECT *, list_min({listed['x']}) * {w} AS x0, list_max({listed['x']}) * {w} AS x1, list_min({listed['y']}) * {h} AS y0, "
+        f"list_max({listed['y']}) * {h} AS y1, list_count({listed['x']}) AS n FROM m))))"
+    )
+    return (
+        "WITH p AS (SELECT person, kp_idx, (x + 60e0) / 120e0 AS x, (y + 60e0) / 120e0 AS y, conf * 3e0 AS score FROM v_kp), "
+        f"m AS (SELECT person, {seen} FROM p GROUP BY person), {', '.join(parts)} "
+        "SELECT * FROM face JOIN head USING (person) JOIN upper_box USING (person)"
+    )
+
+
+@query("p17_person_boxes", _person_boxes_sql(), ("v_kp",))
 def _(t: Tables) -> DataFrame:
     parts = parts_of(t)
     boxes = {

@@ -41,9 +41,18 @@ def _(t: Tables) -> DataFrame:
     return topics.drain(stream.select("event_id", "value"), "s2").select("event_id", r(F.col("value")).alias("value"))
 
 
-@query("t1_latest_only")
+_WEEK = 7 * 86_400
+
+
+@query(
+    "t1_latest_only",
+    f"""SELECT topic, camera, event_id FROM (SELECT *, row_number() OVER (PARTITION BY topic, camera, epoch_us(ts) // {_WEEK * 1_000_000}
+      ORDER BY ts DESC, event_id DESC) AS k FROM v_events) WHERE k = 1""",
+    ("v_events",),
+)
 def _(t: Tables) -> DataFrame:
-    stream = by_time(t, t.v_events)
+    # a micro-batch for each week, so that what waits together is known
+    stream = topics.replay_stream(t.spark, t.v_events, every=_WEEK).withColumn("ts", F.col("ts").cast("timestamp"))
     out = topics.drain_batches(
         stream, "t1", lambda b: topics.latest_only(b, ["topic", "camera"], "ts", "event_id"), stream.schema
     )

@@ -60,18 +60,29 @@ def drain_batches(
 
 
 def replay_stream(
-    spark: SparkSession, log: DataFrame, ts: str = "ts", slices: int = 8, files_per_batch: int = 1
+    spark: SparkSession, log: DataFrame, ts: str = "ts", slices: int = 8, every: float | None = None,
+    rows_per_file: int = 1_000_000,
 ) -> DataFrame:
     """A recorded log fed in bounded batches in event-time order.
 
-    The log is cut into ``slices`` time ranges of about equal size. Each is written on
-    its own, so that the file source, which goes by modification time, takes them
-    oldest first; a slice has ``files_per_batch`` files and makes one micro-batch.
+    The log is cut into ``slices`` time ranges of about equal size, or at all multiples of
+    ``every`` seconds. Each is written on its own, so that the file source, which goes by
+    modification time, takes them oldest first. Every slice has the same number of files,
+    which many tasks write, and makes one micro-batch; the number is such that the smallest
+    slice fills them all.
     """
     path = scratch_path(spark, "replay")
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    # a handful of stamps
-    cuts = log.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)])).first()[0] or []
+    if every is None:
+        # a handful of stamps
+        cuts = log.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)])).first()[0] or []
+        smallest = log.count() // (2 * slices)
+    else:
+        step = int(every * 1_000_000)
+        sizes = {r["s"]: r["count"] for r in log.groupBy(F.floor(us / step).alias("s")).count().collect()}
+        cuts = [s * step for s in sorted(sizes)[1:]]
+        smallest = min(sizes.values(), default=0)
+    files_per_batch = max(1, smallest // rows_per_file)
     edges = [None, *sorted(set(cuts)), None]
     zone = log.schema[ts].dataType
 
