@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.boxes import Box
-from framewise.functions.skeletons import oks, skeleton_box
+from framewise.functions.skeletons import KAPPAS_17, oks, skeleton_box
 from framewise.operators import assign as asg
 from framewise.operators import spatial, suppress
 from framewise.operators import timeline as tl
@@ -358,7 +358,37 @@ def _similar(p, q):
     return oks(p["kps"], q["kps"], area)
 
 
-@query("j12_associate_tracks")
+KAPPA_SQL = "[" + ", ".join(f"{k}e0" for k in KAPPAS_17) + "]"
+# as for one-to-one pairing: every way to give the persons of a frame a free track or none
+_TRACKS_SQL = f"""WITH RECURSIVE a AS (SELECT person // 3 AS frame, person, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax
+      FROM v_kp WHERE conf > 0 GROUP BY 1, 2),
+    b AS (SELECT person // 3 AS frame, person + 1000 AS track, min(x2) FILTER (conf2 > 0) AS xmin, max(x2) FILTER (conf2 > 0) AS xmax,
+      min(y2) FILTER (conf2 > 0) AS ymin, max(y2) FILTER (conf2 > 0) AS ymax, count(*) FILTER (conf2 > 0) AS n_parts,
+      CAST(person % 7 AS INTEGER) AS num_obs FROM v_kp GROUP BY 1, 2, person),
+    same AS (SELECT a.person, b.track, avg(exp(-((k.x - q.x2) * (k.x - q.x2) + (k.y - q.y2) * (k.y - q.y2))
+        / ((a.xmax - a.xmin) * (a.ymax - a.ymin) * 2 * {KAPPA_SQL}[k.kp_idx + 1]))) AS oks
+      FROM a JOIN b USING (frame) JOIN v_kp k ON k.person = a.person JOIN v_kp q ON q.person + 1000 = b.track AND q.kp_idx = k.kp_idx
+      WHERE k.conf > 0 AND q.conf2 > 0 GROUP BY 1, 2),
+    p AS (SELECT * FROM (SELECT a.frame, a.person, b.track, 0.5e0 * ({iou_sql('a', 'b')}) + 0.5e0 * coalesce(oks, 0e0) AS gain
+      FROM a JOIN b USING (frame) LEFT JOIN same ON same.person = a.person AND same.track = b.track) WHERE gain > 0),
+    turn AS (SELECT frame, person, row_number() OVER (PARTITION BY frame ORDER BY person) AS k FROM (SELECT DISTINCT frame, person FROM p)),
+    options AS (SELECT frame, k, person, track, gain FROM turn JOIN p USING (frame, person) UNION ALL SELECT frame, k, person, NULL, 0e0 FROM turn),
+    state AS (SELECT frame, 0 AS k, []::BIGINT[] AS used, 0e0 AS total, []::STRUCT(a BIGINT, b BIGINT, g DOUBLE)[] AS chosen
+        FROM (SELECT DISTINCT frame FROM turn)
+      UNION ALL SELECT s.frame, s.k + 1, CASE WHEN track IS NULL THEN used ELSE list_append(used, track) END, total + gain,
+        CASE WHEN track IS NULL THEN chosen ELSE list_append(chosen, {{'a': person, 'b': track, 'g': gain}}) END
+      FROM state s JOIN options o ON o.frame = s.frame AND o.k = s.k + 1 WHERE track IS NULL OR NOT list_contains(used, track)),
+    done AS (SELECT s.frame, unnest(arg_max(chosen, total)) AS c FROM state s
+      JOIN (SELECT frame, max(k) AS n FROM turn GROUP BY 1) m ON m.frame = s.frame AND s.k = m.n GROUP BY s.frame),
+    pairs AS (SELECT frame, c.a AS person, c.b AS track FROM done WHERE c.g > 0.25e0),
+    whole AS (SELECT DISTINCT person // 3 AS frame, person FROM v_kp)
+    SELECT w.frame, w.person, pairs.track, CAST(coalesce(b.num_obs, -1) + 1 AS INTEGER) AS num_obs, false AS placeholder
+      FROM whole w LEFT JOIN pairs ON pairs.person = w.person LEFT JOIN b ON b.track = pairs.track
+    UNION ALL SELECT frame, NULL, track, num_obs, true FROM b
+      WHERE num_obs > 3 AND n_parts > 5 AND track NOT IN (SELECT track FROM pairs)"""
+
+
+@query("j12_associate_tracks", _TRACKS_SQL, ("v_kp",))
 def _(t: Tables) -> DataFrame:
     cur, prev = tracks(t)
     return asg.associate_tracks(cur, prev, ["frame"], _similar)
