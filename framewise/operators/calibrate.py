@@ -58,11 +58,19 @@ def histogram(
     )
 
 
+MOST_BINS = 1 << 20
+
+
 def _dense(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per tensor with the counts of all bins, empty ones included.
 
-    The array is as long as the histogram, a few thousand bins.
+    The array is as long as the histogram. Outliers after the first batch lengthen it by whole
+    bins; over ``MOST_BINS`` the job ends with an error instead of filling memory.
     """
+    within = F.when(F.col("n_bins") <= MOST_BINS, F.col("n_bins")).otherwise(
+        F.raise_error(F.lit(f"a histogram of over {MOST_BINS} bins; take a larger first range"))
+    )
+    hist = hist.withColumn("n_bins", within.cast("long"))
     filled = hist.groupBy(*keys, "low", "width", "n_bins").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_m")
     )

@@ -260,12 +260,12 @@ def channels(t: Tables) -> DataFrame:
 _BINS = 128
 
 
-def _hist(by: str, batches: bool) -> str:
+def _hist(by: str, batches: bool, bins: int = _BINS) -> str:
     batch = "iteration // 50" if batches else "0"
     return f"""data AS (SELECT {by} AS channel, {batch} AS batch, abs(val) AS v FROM v_tensor),
     per AS (SELECT channel, batch, min(v) AS lo, max(v) AS hi FROM data GROUP BY 1, 2),
     frame AS (SELECT channel, arg_min(lo, batch) AS low, arg_min(hi, batch) AS first, max(hi) AS top FROM per GROUP BY 1),
-    fr AS (SELECT *, (first - low) / {_BINS} AS width, {_BINS} + greatest(CAST(ceil((top - first) / ((first - low) / {_BINS})) AS BIGINT), 0) AS n_bins FROM frame),
+    fr AS (SELECT *, (first - low) / {bins} AS width, {bins} + greatest(CAST(ceil((top - first) / ((first - low) / {bins})) AS BIGINT), 0) AS n_bins FROM frame),
     hist AS (SELECT channel, low, width, n_bins, least(CAST(floor((v - low) / width) AS BIGINT), n_bins - 1) AS bin, count(*) AS count
       FROM data JOIN fr USING (channel) WHERE v >= low GROUP BY ALL)"""
 
@@ -309,7 +309,25 @@ def _(t: Tables) -> DataFrame:
     return out.select("channel", r(F.col("amax")).alias("amax"))
 
 
-@query("a26_amax_entropy")
+# clipping at each stop: the part before it, the rest added to its last bin, against 128 levels of it
+_ENTROPY_SQL = f"""WITH {_hist('idx % 4', False, 512)},
+    raw AS (SELECT f.channel, i AS bin, coalesce(h.count, 0) * 1e0 AS c, f.low, f.width FROM fr f, range(512) x(i)
+      LEFT JOIN hist h ON h.channel = f.channel AND h.bin = i),
+    full_ AS (SELECT channel, bin, low, width, CASE WHEN bin = 0 THEN lead(c) OVER w ELSE c END AS c FROM raw
+      WINDOW w AS (PARTITION BY channel ORDER BY bin)),
+    part AS (SELECT channel, stop, bin, c, least(bin * 128 // stop, 127) AS level,
+        CASE WHEN bin = stop - 1 THEN c + coalesce(sum(CASE WHEN bin >= stop THEN c END) OVER (PARTITION BY channel, stop), 0) ELSE c END AS target
+      FROM full_, range(128, 513) s(stop)),
+    spread AS (SELECT *, CASE WHEN c > 0 THEN sum(c) OVER v / count(*) FILTER (c > 0) OVER v ELSE 0e0 END AS q FROM part WHERE bin < stop
+      WINDOW v AS (PARTITION BY channel, stop, level)),
+    shares AS (SELECT *, target / sum(target) OVER u AS p, q / sum(q) OVER u AS r FROM spread WINDOW u AS (PARTITION BY channel, stop)),
+    costs AS (SELECT channel, stop, sum(CASE WHEN p > 0 THEN CASE WHEN r > 0 THEN p * ln(p / r) ELSE 1e300 END ELSE 0e0 END) AS d
+      FROM shares GROUP BY 1, 2)
+    SELECT channel, {rs('any_value(low) + any_value(width) * arg_min(stop, (round(d, 12), -stop))')} AS amax
+    FROM costs JOIN fr USING (channel) GROUP BY 1"""
+
+
+@query("a26_amax_entropy", _ENTROPY_SQL, ("v_tensor",))
 def _(t: Tables) -> DataFrame:
     hist = cal.histogram(channels(t), ["channel"], bins=512)
     return cal.amax(hist, ["channel"], "entropy").select("channel", r(F.col("amax")).alias("amax"))
