@@ -26,9 +26,12 @@ def wordpiece(
     """
     n = F.char_length("word")
     short = words.filter(n <= max_chars)
+    # no piece is longer than the longest token
+    longest_token = vocab.agg(F.max(F.char_length(F.regexp_replace("token", "^##", "")))).first()[0] or 1
+    end = F.least(n, F.col("start") + (longest_token - 1))
     spans = (
         short.withColumn("start", F.explode(F.sequence(F.lit(1), n)))
-        .withColumn("stop", F.explode(F.sequence(F.col("start"), n)))
+        .withColumn("stop", F.explode(F.sequence(F.col("start"), end)))
         .withColumn(
             "token",
             F.concat(
@@ -115,15 +118,28 @@ def decode(
     return listed.select(doc_id, F.rtrim(whole).alias("text"))
 
 
-def window_count(n: Column, max_len: int, stride: int) -> Column:
-    step = min(max_len, stride)
+def _step(max_len: int | Column, stride: int) -> Column:
+    limit = max_len if isinstance(max_len, Column) else F.lit(max_len)
+    return F.least(limit, F.lit(stride))
+
+
+def window_count(n: Column, max_len: int | Column, stride: int) -> Column:
+    step = _step(max_len, stride)
     more = F.ceil(F.greatest(n - max_len, F.lit(0)) / step)
     return F.when(n == 0, F.lit(0)).otherwise(more + 1).cast("long")
 
 
-def doc_windows(df: DataFrame, tokens: str, max_len: int, stride: int) -> DataFrame:
-    """Windows over each document's tokens: ``window``, ``start``, ``length``, ``piece``."""
-    step = min(max_len, stride)
+def doc_windows(df: DataFrame, tokens: str, max_len: int | Column, stride: int) -> DataFrame:
+    """Windows over each document's tokens: ``window``, ``start``, ``length``, ``piece``.
+
+    ``max_len`` may be a column, as the room beside a question depends on the question; a
+    row without room for one token fails the job.
+    """
+    if isinstance(max_len, Column):
+        max_len = F.when(max_len >= 1, max_len).otherwise(
+            F.raise_error(F.lit("no room for a window beside the question")).cast("int")
+        )
+    step = _step(max_len, stride)
     n = F.size(tokens)
     count = window_count(n, max_len, stride)
     rows = df.filter(n > 0).withColumn(
@@ -131,7 +147,8 @@ def doc_windows(df: DataFrame, tokens: str, max_len: int, stride: int) -> DataFr
     )
     start = (F.col("window") * step).cast("int")
     rows = rows.withColumn("start", start)
-    rows = rows.withColumn("length", F.least(F.lit(max_len), F.size(tokens) - F.col("start")))
+    limit = max_len if isinstance(max_len, Column) else F.lit(max_len)
+    rows = rows.withColumn("length", F.least(limit, F.size(tokens) - F.col("start")))
     return rows.withColumn("piece", F.slice(tokens, F.col("start") + 1, F.col("length")))
 
 
@@ -165,7 +182,10 @@ def build_features(
     windows: DataFrame, query: Column, piece: Column, vocab: DataFrame, max_len: int,
     keys: Sequence[str], max_query: int = 64,
 ) -> DataFrame:
-    """[CLS] query [SEP] window [SEP] as tokens, ids, mask and segments, padded with zeros."""
+    """[CLS] query [SEP] window [SEP] as tokens, ids, mask and segments, padded with zeros.
+
+    Windows of at most ``max_len`` - query - 3 tokens fit; a longer row fails the job.
+    """
     q = F.slice(query, 1, max_query)
     tokens = F.concat(
         F.array(F.lit("[CLS]")), q, F.array(F.lit("[SEP]")), piece, F.array(F.lit("[SEP]"))
@@ -177,7 +197,10 @@ def build_features(
     n = F.size("tokens")
 
     def padded(arr: Column) -> Column:
-        return F.concat(arr, F.array_repeat(F.lit(0).cast("long"), F.lit(max_len) - n))
+        room = F.when(n <= max_len, F.lit(max_len) - n).otherwise(
+            F.raise_error(F.lit(f"query and window are over {max_len} tokens")).cast("int")
+        )
+        return F.concat(arr, F.array_repeat(F.lit(0).cast("long"), room))
 
     one = F.lit(1).cast("long")
     zero = F.lit(0).cast("long")

@@ -280,15 +280,19 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "w8_build_features",
-    f"""WITH {TOKENS_SQL}, {_VOCAB_IDS}, {_WIN},
-    f AS (SELECT doc_id, win_no, ['[CLS]'] || l[1:6] || ['[SEP]'] || l[start + 1:start + length] || ['[SEP]'] AS toks_, len(l[1:6]) AS q FROM win),
+    f"""WITH {TOKENS_SQL}, {_VOCAB_IDS}, asked AS (SELECT doc_id, l, l[1:2 + doc_id % 9] AS q FROM toks WHERE len(l) > 0),
+    win AS (SELECT doc_id, l, q, i AS win_no, i * {_STRIDE} AS start, least(61 - len(q), len(l) - i * {_STRIDE}) AS length FROM (
+      SELECT *, unnest(range(1 + CAST(ceil(greatest(len(l) - (61 - len(q)), 0) / {_STRIDE}e0) AS BIGINT))) AS i FROM asked)),
+    f AS (SELECT doc_id, win_no, ['[CLS]'] || q || ['[SEP]'] || l[start + 1:start + length] || ['[SEP]'] AS toks_, len(q) AS q FROM win),
     e AS (SELECT doc_id, win_no, q, len(toks_) AS n, unnest(range(len(toks_))) AS pos, unnest(toks_) AS token FROM f)
     SELECT doc_id, win_no, CAST(max(n) AS BIGINT) AS n_mask, CAST(max(n - q - 2) AS BIGINT) AS n_segment, CAST(sum(coalesce(id, 0) * (pos + 1)) AS BIGINT) AS checksum
     FROM e LEFT JOIN ids USING (token) GROUP BY 1, 2""",
 )
 def _(t: Tables) -> DataFrame:
-    wins = tp.doc_windows(tokens(t), "l", _LEN, _STRIDE)
-    out = tp.build_features(wins, F.slice("l", 1, 6), F.col("piece"), numbered(t), 128, ["doc_id", "window"])
+    # questions of 2 to 10 tokens leave different room in 64
+    asked = tokens(t).withColumn("q", F.slice("l", F.lit(1), (F.col("doc_id") % 9).cast("int") + 2))
+    wins = tp.doc_windows(asked, "l", F.lit(61) - F.size("q"), _STRIDE)
+    out = tp.build_features(wins, F.col("q"), F.col("piece"), numbered(t), 64, ["doc_id", "window"])
     weighted = F.transform("input_ids", lambda x, i: x * (i + 1))
 
     def total(c):
