@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from framewise.llm.crf import Chain, train
 from framewise.llm.html_blocks import Block, blocks
+from framewise.llm.labelled import smallest
 
 SAMPLE = 300  # labelled pages of the table
 COMPOSED = 400
@@ -219,9 +220,9 @@ def fitted(pages: DataFrame, key: str = "page_id", html: str = "html", sample: i
     reads whole pages.
     """
     some = pages.filter(F.col(html).isNotNull()).select(
-        F.xxhash64(key, html).alias("_h"), F.substring(F.col(html), 1, 100_000).alias("_html")
+        F.xxhash64(key).alias("_h"), F.substring(F.col(html), 1, 100_000).alias("_html")
     )
-    rows = some.orderBy("_h").limit(sample).collect()
+    rows = smallest(some, F.col("_h"), sample, pages.count()).select("_html").collect()
     return train(*labelled_pages([r["_html"] for r in rows]))
 
 
