@@ -215,22 +215,23 @@ def cluster_from_seed(
     # the diagonal of a cell, sqrt(3) / 2, stays below the tolerance
     df = with_cell(pts.withColumn("_tol", tolerance).withColumn("_seed", seed), F.col("_tol") / 2)
     df = cut_lineage(df.withColumn("_cell", F.struct(*_CELL)))
-    left = _around(df.select(*on, "_tol", "_cell", *_CELL, *AXES), 2)
+    # pairs of occupied cells near each other, each once; only then their points
+    cells = cut_lineage(df.select(*on, "_cell", *_CELL).distinct())
+    around = _around(cells, 2).select(*on, "_cell", F.struct(*_CELL).alias("_to"))
+    there = cells.select(*on, F.col("_cell").alias("_to"), F.lit(True).alias("_there"))
+    pairs = join_on(around.filter("_cell < _to"), there, [*on, "_to"], "inner").drop("_there")
+    left = join_on(df.select(*on, "_tol", "_cell", *AXES), pairs, [*on, "_cell"], "inner")
     right = df.select(
         *(F.col(c).alias(f"_r_{c}") for c in on), F.col("_cell").alias("_other"),
-        *(F.col(c).alias(f"_r{c}") for c in _CELL), *(F.col(a).alias(f"_n_{a}") for a in AXES),
+        *(F.col(a).alias(f"_n_{a}") for a in AXES),
     )
-    cond = F.col("_cell") != F.col("_other")
+    cond = F.col("_to") == F.col("_other")
     for c in on:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    for c in _CELL:
-        cond = cond & (F.col(c) == F.col(f"_r{c}"))
     # a semi join: a point leaves one row per near cell however many points are there
-    near = left.withColumn("_to", F.struct(*_CELL)).join(
-        right, cond & (_dist("l2") < F.col("_tol") * F.col("_tol")), "left_semi"
-    )
+    near = left.join(right, cond & (_dist("l2") < F.col("_tol") * F.col("_tol")), "left_semi")
     edges = near.select(*on, F.col("_cell").alias("a"), F.col("_to").alias("b")).distinct()
-    own = df.select(*on, F.col("_cell").alias("a"), F.col("_cell").alias("b")).distinct()
+    own = cells.select(*on, F.col("_cell").alias("a"), F.col("_cell").alias("b"))
     comp = components(edges.unionByName(own), on)
     labelled = cut_lineage(join_on(df, comp.withColumnRenamed("vertex", "_cell"), [*on, "_cell"]))
     seeds = labelled.filter("_seed").groupBy(*on).agg(F.min("component").alias("_start"))
