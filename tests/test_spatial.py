@@ -64,8 +64,11 @@ def test_plans(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_large_frames_come_in_parts(spark):
-    rows = spark.range(10).select(F.lit(1).alias("camera"), "id", F.lit(0.5).alias("score"))
-    out = persons_to_json(rows, ["camera"], F.col("id"), columns=("id", "score"), limit=4)
-    sizes = [len(__import__("json").loads(r.json)["people"]) for r in out.orderBy("part").collect()]
-    assert sizes == [4, 4, 2]
+def test_a_frame_is_one_document(spark):
+    rows = spark.range(6000).select(
+        (F.col("id") % 2).alias("camera"), F.when(F.col("id") < 5990, 1).alias("stamp"), "id", F.lit(0.5).alias("score")
+    )
+    out = persons_to_json(rows, ["camera", "stamp"], F.col("id"), columns=("id", "score"))
+    people = {(r.camera, r.stamp): __import__("json").loads(r.json)["people"] for r in out.collect()}
+    assert {k: len(v) for k, v in people.items()} == {(0, 1): 2995, (1, 1): 2995, (0, None): 5, (1, None): 5}
+    assert [p["id"] for p in people[1, None]] == [5991, 5993, 5995, 5997, 5999]
