@@ -1,12 +1,13 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line is parsed down a tree: number of tokens, then its leading tokens, where a token with a
-digit is the variable field ``<*>``. In the leaf, the commonest token of each place makes the
-leaf's template; lines that agree with it in at least ``similar`` of their places follow it, the
-places where they do not are variable fields too. Any other line is its own template. A template
-that recurs in at least ``min_docs`` documents is dropped from all of them but the first holder,
-so that boilerplate, shared passages and copied documents lose their repeats while every passage
-stays in the corpus once.
+digit is the variable field ``<*>``; a longer line also goes down the branch that takes all
+leading tokens as variable fields and splits by the next ones. In the leaf, the commonest token
+of each place makes the leaf's template; lines that agree with it in at least ``similar`` of their
+places follow it, the places where they do not are variable fields too. Every line is a template
+of its own as well. A template that recurs in at least ``min_docs`` documents is dropped from all
+of them but the first holder, so that boilerplate, shared passages and copied documents lose their
+repeats while every passage stays in the corpus once.
 
 Nothing gathers a leaf's lines in one place: places are counted as rows (leaf, place, token), and
 a template array is as long as one line. Cases: lines with fewer than ``min_tokens`` tokens are
@@ -25,54 +26,75 @@ from framewise.session import cut_lineage
 
 DEPTH = 4
 FIELD = "<*>"
-BROADCAST_LEAVES = 2_000_000  # 8 bytes each
+BROADCAST_ROWS = 1_000_000  # of at most three numbers
+
+
+def _tokens(lines: DataFrame) -> DataFrame:
+    """``lines`` (a column ``_line``) with ``tokens``, variable fields masked."""
+    given = [c for c in lines.columns if c != "_line"]
+    rows = lines.withColumn("_line", F.btrim("_line", F.lit(SPACE_CHARS))).select(
+        *given, F.rlike("_line", F.lit("[0-9]")).alias("_digits"), F.split("_line", SPACE_RUN).alias("_raw")
+    )
+    masked = F.transform("_raw", lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.lit(FIELD)).otherwise(t))
+    return rows.select(*given, F.when(F.col("_digits"), masked).otherwise(F.col("_raw")).alias("tokens"))
 
 
 def _lines(df: DataFrame, key: str, text: str, min_tokens: int, depth: int) -> DataFrame:
-    """Rows (key, row, place, tokens, line, leaf) of the lines to parse."""
+    """Rows (key, row, place, line, leaf, leaf2) of the lines to parse.
+
+    ``leaf2`` is the leaf below the next tokens, which a line falls into as if its leading ones
+    were variable fields; short lines have none.
+    """
     rows = df.select(
         F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_row"),
         F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line"),
     )
-    rows = rows.select("_key", "_row", "_at", F.btrim("_line", F.lit(SPACE_CHARS)).alias("_line"))
-    rows = rows.select(
-        "_key", "_row", "_at", F.rlike("_line", F.lit("[0-9]")).alias("_digits"),
-        F.split("_line", SPACE_RUN).alias("_raw"),
-    )
-    masked = F.transform("_raw", lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.lit(FIELD)).otherwise(t))
-    rows = rows.filter(F.size("_raw") >= min_tokens).select(
-        "_key", "_row", "_at", F.when(F.col("_digits"), masked).otherwise(F.col("_raw")).alias("tokens")
-    )
+    rows = _tokens(rows).filter(F.size("tokens") >= min_tokens)
+    n = F.size("tokens")
+    second = F.when(n > 2 * depth, F.xxhash64(F.lit(FIELD), n, F.slice("tokens", depth + 1, depth)))
     return rows.select(
-        "*", F.xxhash64("tokens").alias("line"),
-        F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
+        "_key", "_row", "_at", F.xxhash64("tokens").alias("line"),
+        F.xxhash64(n, F.slice("tokens", 1, depth)).alias("leaf"), second.alias("leaf2"),
     )
 
 
-def leaf_templates(found: DataFrame, rows: DataFrame, depth: int, similar: float) -> DataFrame:
-    """(line, template) for the lines that follow a leaf's template.
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with a written table, broadcast if its row count is small enough."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
-    ``found`` holds (line, leaf, docs), ``rows`` the same lines with their tokens.
+
+def leaf_templates(df: DataFrame, slim: DataFrame, text: str, similar: float) -> DataFrame:
+    """(line, templates) for the lines that follow the template of a leaf, at most two.
+
+    Only lines that share a leaf with another line are looked at again: one holder of each is
+    picked, and only the picked lines are cut into tokens and counted.
     """
-    busy = cut_lineage(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"))
-    # most lines are alone in their leaf; a known small list spares shuffling all texts to see it
-    small = busy.count() <= BROADCAST_LEAVES
-    lines = rows.filter(F.size("tokens") > depth).join(F.broadcast(busy) if small else busy, "leaf", "left_semi")
-    lines = cut_lineage(
-        lines.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+    found = slim.groupBy("line").agg(
+        F.first("leaf").alias("leaf"), F.first("leaf2").alias("leaf2"), F.count(F.lit(1)).alias("docs"),
+        F.min(F.struct("_row", "_at")).alias("_from"),
+    )
+    found = cut_lineage(
+        found.select("line", "docs", "_from", F.explode(F.array_compact(F.array("leaf", "leaf2"))).alias("leaf"))
     )
-    weighed = lines.join(found.select("line", "docs"), "line")
-    places = weighed.select("leaf", "docs", F.posexplode("tokens").alias("at", "token"))
-    counts = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"))
+    busy = cut_lineage(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"))
+    members = cut_lineage(_joined(found, busy, ["leaf"]))
+    picked = cut_lineage(members.select("_from._row", "_from._at", "line").distinct())
+    holders = cut_lineage(picked.select("_row").distinct())
+    texts = df.select(F.xxhash64(F.col(text)).alias("_row"), F.split(F.col(text), "\n").alias("_lines"))
+    lines = _joined(texts, holders, ["_row"], "left_semi").select("_row", F.posexplode("_lines").alias("_at", "_line"))
+    lines = _tokens(_joined(lines, picked, ["_row", "_at"]).select("line", "_line"))
+    # texts that occur several times give their lines as often
+    lines = cut_lineage(lines.groupBy("line").agg(F.first("tokens").alias("tokens")))
+    placed = members.select("line", "leaf", "docs").join(lines, "line")
+    counts = placed.select("leaf", "docs", F.posexplode("tokens").alias("at", "token"))
+    counts = counts.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"))
     common = counts.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     shapes = common.groupBy("leaf").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("shape")
     )
     same = F.size(F.filter(F.zip_with("tokens", "shape", lambda a, b: a == b), lambda x: x))
-    return cut_lineage(
-        lines.join(shapes, "leaf").filter(same >= F.size("tokens") * F.lit(similar))
-        .select("line", F.col("leaf").alias("template"))
-    )
+    follows = placed.join(shapes, "leaf").filter(same >= F.size("tokens") * F.lit(similar))
+    return cut_lineage(follows.groupBy("line").agg(F.collect_set("leaf").alias("templates")))
 
 
 def recurring_lines(
@@ -80,38 +102,38 @@ def recurring_lines(
     depth: int = DEPTH, similar: float = 0.8,
 ) -> DataFrame:
     """(``_key``, ``_row``, ``_drop``): per document the places (from 0) of the lines to drop."""
-    rows = _lines(df, key, text, min_tokens, depth)
     holder = F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")
-    slim = cut_lineage(rows.select("_key", "_row", "_at", "line", "leaf").distinct())
-    found = cut_lineage(
-        slim.groupBy("line").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("docs"))
-    )
-    follows = leaf_templates(found, rows, depth, similar)
+    slim = cut_lineage(_lines(df, key, text, min_tokens, depth).distinct())
+    follows = leaf_templates(df, slim, text, similar)
+    own = F.array("line")
     parsed = slim.join(follows, "line", "left").select(
-        "_key", "_row", "_at", F.coalesce("template", "line").alias("template")
+        "_key", "_row", "_at",
+        F.explode(F.when(F.col("templates").isNull(), own).otherwise(F.concat(own, "templates"))).alias("template"),
     )
-    stats = (
+    # a written table, so that AQE can split the lines of a very common template in the join
+    stats = cut_lineage(
         parsed.groupBy("template", "_key", "_row").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(holder).alias("first"))
         .filter(F.col("docs") >= min_docs).select("template", "first")
     )
     return (
         parsed.join(stats, "template").filter(holder != F.col("first"))
-        .groupBy("_key", "_row").agg(F.collect_list("_at").alias("_drop"))
+        .groupBy("_key", "_row").agg(F.collect_set("_at").alias("_drop"))
     )
 
 
 def without_recurring_lines(
-    df: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False, **how: float
+    df: DataFrame, key: str = "doc_id", text: str = "text", min_left: float = 0.0, **how: float
 ) -> DataFrame:
     """``df`` with the repeats of recurring lines taken out of ``text``.
 
-    Documents of which no word is left have a text of white space, or go if ``drop_emptied``;
-    those that had none before stay.
+    With ``min_left``, documents that lost lines and have at most that share of their characters
+    left go: nearly all they say stands in earlier documents.
     """
-    cut = _cut(df, key, text, how)
-    if drop_emptied:
-        cut = cut.filter((F.col("_lt_dropped") == 0) | (F.btrim(F.col(text), F.lit(SPACE_CHARS)) != ""))
+    cut = _cut(df.withColumn("_lt_size", F.length(F.col(text))), key, text, how)
+    if min_left:
+        left = F.length(F.btrim(F.col(text), F.lit(SPACE_CHARS)))
+        cut = cut.filter((F.col("_lt_dropped") == 0) | (left > F.col("_lt_size") * F.lit(min_left)))
     return cut.select(*(f"`{c}`" for c in df.columns))
 
 

@@ -116,27 +116,29 @@ def brute_lines(docs, similar=0.8, depth=4, least=3):
         holders.setdefault(tokens, set()).add((key, text))
     leaves = {}
     for tokens in holders:
-        leaves.setdefault((len(tokens), tokens[:depth]), []).append(tokens)
-    template = {t: ("line", t) for t in holders}
+        leaves.setdefault((1, len(tokens), tokens[:depth]), []).append(tokens)
+        if len(tokens) > 2 * depth:
+            leaves.setdefault((2, len(tokens), tokens[depth : 2 * depth]), []).append(tokens)
+    templates = {t: {("line", t)} for t in holders}
     for leaf, lines in leaves.items():
-        if len(lines) < 2 or leaf[0] <= depth:
+        if len(lines) < 2:
             continue
         shape = []
-        for j in range(leaf[0]):
+        for j in range(leaf[1]):
             counts = {}
             for t in lines:
                 counts[t[j]] = counts.get(t[j], 0) + len(holders[t])
             shape.append(max(counts, key=lambda x: (counts[x], x.encode())))
         for t in lines:
             if sum(a == b for a, b in zip(t, shape, strict=True)) >= similar * len(t):
-                template[t] = ("leaf", leaf)
+                templates[t].add(leaf)
     users = {}
     for key, text, _, tokens in parsed:
-        users.setdefault(template[tokens], set()).add((key, text))
+        for template in templates[tokens]:
+            users.setdefault(template, set()).add((key, text))
     drop = {}
     for key, text, at, tokens in parsed:
-        who = users[template[tokens]]
-        if len(who) > 1 and (key, text) != min(who):
+        if any((key, text) != min(users[template]) for template in templates[tokens]):
             drop.setdefault((key, text), set()).add(at)
     return {
         (key, text): "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in drop.get((key, text), ()))
@@ -154,7 +156,7 @@ def test_lines_equal_brute_force(spark):
             lines.append(f"Posted on day {rnd.randint(1, 99)} by user{rnd.randint(1, 9)} in the forum")
         if i % 4 == 0:
             long = "this passage of many words is the same in several documents but for a word".split()
-            long[rnd.randint(4, 14)] = rnd.choice(words)
+            long[rnd.randint(0, 14)] = rnd.choice(words)
             lines.append(" ".join(long))
         docs.append((i, "\n".join(lines)))
     docs += [(100, ""), (101, "a b c d\n\n a b c d"), (102, "lonely words only here"), (103, docs[5][1])]
@@ -165,7 +167,7 @@ def test_lines_equal_brute_force(spark):
     for key, text in docs:
         assert got[key].text == want[key, text], key
         assert got[key].n_lines == len(text.split("\n"))
-    cut = line_templates.without_recurring_lines(df, drop_emptied=True)
+    cut = line_templates.without_recurring_lines(df, min_left=0.2)
     assert cut.columns == df.columns
     ids = {r.doc_id for r in cut.collect()}
     assert {100, 101, 102, 104} <= ids and 105 not in ids
