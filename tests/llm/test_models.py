@@ -198,5 +198,9 @@ def test_cover_prefers_what_is_not_yet_covered():
 
 
 def test_best_cut():
-    assert toxicity.best_cut(np.array([0.0, 0.1, 0.5, 0.9]), np.array([0, 0, 1, 1])) == 0.3
-    assert toxicity.best_cut(np.zeros(3), np.array([0, 1, 1])) == 1.0
+    assert toxicity.best_cut(np.array([0.0, 0.1, 0.5, 0.9]), np.array([0, 0, 1, 1])) == (0.3, 1.0)
+    assert toxicity.best_cut(np.zeros(3), np.array([0, 1, 1])) == (1.0, 0.0)
+    # a heavy ordinary text is left out at the price of a toxic one
+    values, labels = np.array([0.9, 0.5, 0.4]), np.array([1, 0, 1])
+    assert toxicity.best_cut(values, labels)[0] == 0.2
+    assert toxicity.best_cut(values, labels, 9.0)[0] == 0.7
