@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from framewise.llm import crf, html_blocks, html_extract, labelled, nbsvm, toxicity
 
@@ -191,6 +192,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.scored(df, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_recall_of_each_language(spark):
+    # languages whose markers stand in ordinary texts too, where only their share tells
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs, labels).filter("held_out").collect()}
+    truth = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    hits, false, ordinary = {}, 0, 0
+    for r in docs.select("doc_id", "lang").join(truth, "doc_id").collect():
+        if r.doc_id in got and r.toxic == 1:
+            hits.setdefault(r.lang, []).append(got[r.doc_id])
+        elif r.doc_id in got:
+            false, ordinary = false + got[r.doc_id], ordinary + 1
+    assert set(hits) == {"de", "en", "es", "fr"}
+    assert all(sum(h) >= 0.7 * len(h) for h in hits.values()), {k: (sum(h), len(h)) for k, h in hits.items()}
+    assert false <= 0.01 * ordinary, (false, ordinary)
+
+
 def test_cover_prefers_what_is_not_yet_covered():
     owners = [[0, 1], [0, 1], [0, 1], [2], [2]]
     assert toxicity.cover(owners, 3, times=1) == [0, 2]
