@@ -123,15 +123,17 @@ def recurring_lines(
 
 
 def without_recurring_lines(
-    df: DataFrame, key: str = "doc_id", text: str = "text", min_left: float = 0.0, **how: float
+    df: DataFrame, key: str = "doc_id", text: str = "text", min_left: float = 0.0, drop_emptied: bool = False,
+    **how: float,
 ) -> DataFrame:
     """``df`` with the repeats of recurring lines taken out of ``text``.
 
     With ``min_left``, documents that lost lines and have at most that share of their characters
-    left go: nearly all they say stands in earlier documents.
+    left go, with the lines they are the first holder of. With ``drop_emptied``, only documents go
+    that lost lines and have no words left: they hold nothing, so every template keeps its holder.
     """
     cut = _cut(df.withColumn("_lt_size", F.length(F.col(text))), key, text, how)
-    if min_left:
+    if min_left or drop_emptied:
         left = F.length(F.btrim(F.col(text), F.lit(SPACE_CHARS)))
         cut = cut.filter((F.col("_lt_dropped") == 0) | (left > F.col("_lt_size") * F.lit(min_left)))
     return cut.select(*(f"`{c}`" for c in df.columns))

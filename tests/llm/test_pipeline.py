@@ -37,6 +37,17 @@ def test_each_stage_follows_its_operator(spark, tmp_path):
     assert sorted(r.text for r in sp_tokens.decode(after).collect()) == texts
 
 
+def test_lines_stage_keeps_a_holder_of_every_template(spark):
+    shared = "\n".join(f"shared passage {chr(97 + i)} of several words here" for i in range(20))
+    first = "this line is held by the second document first"
+    docs = [(1, shared), (2, shared + "\n" + first), (3, first + "\nwords of the third document only"), (4, shared)]
+    df = spark.createDataFrame([(k, "en", "s", t, len(t)) for k, t in docs], "doc_id long, lang string, source string, text string, n_chars long")
+    out = {r.doc_id: r.text for r in pipeline.lines(spark, df, "").collect()}
+    assert sorted(out) == [1, 2, 3] and out[2] == first
+    kept = {line for text in out.values() for line in text.split("\n")}
+    assert kept == {line for _, text in docs for line in text.split("\n")}
+
+
 def test_run_and_nulls(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, None, None, None, None), (5, "", None, None, 0)], docs.schema)
