@@ -16,6 +16,14 @@ Only different fingerprints are compared: equal ones are one vertex from the sta
 without words, NULL ones too, have fingerprint 0 and are linked like any other; a NULL key takes
 part but never names a component; equal rows are members of one component; an empty table gives
 no rows; further columns are not carried.
+
+``keep_one`` is the stage that drops near copies, with a rule of its own: texts are linked if their
+sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two bits of 64 would find next
+to none of these, as such texts differ in about ten. Candidates share one of ``BANDS`` bands of
+``ROWS`` minimum hashes (a pair of similarity 0.8 does so with probability 0.9998) and are then
+compared by their sets. In a band value with more than ``CROWD`` different texts, each is compared
+only with the smallest one there and with the smallest one that also shares the next band; a pair
+there that is linked by no such path over any band is missed.
 """
 
 from __future__ import annotations
@@ -37,19 +45,32 @@ LOW_BITS = 31
 THRESHOLD = 2
 CROWD = 64
 HIGH_FLAG = 1 << 40
+WORDS = 5  # of a shingle of keep_one
+BANDS, ROWS = 16, 4
+BROADCAST_ROWS = 1_000_000  # of two numbers
+HOT = 256  # pairs of one text that are compared in one place
+_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+MASKS, FACTORS = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """One hash per shingle, a shorter text being one shingle; none for a text without words."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
-    if len(words) <= shingle:
+        parts = []
+    elif len(words) <= shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, SEED) for p in parts], dtype="<u8")
+    return np.array([digest(p, SEED) for p in parts], dtype="<u8")
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -132,20 +153,94 @@ def component_names(docs: DataFrame) -> DataFrame:
     return cut_lineage(members.join(names, "_c").select("fp", "component_id"))
 
 
+def sketch_of(text: str | None) -> tuple[int, list[int]]:
+    """A hash of the set of shingles, and one per band of its minimum hashes."""
+    own = np.unique(shingle_hashes(text, WORDS))
+    if not len(own):
+        return 0, []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(own), 4096):
+        mixed = (own[i : i + 4096, None] ^ MASKS) * FACTORS
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
+    digest = xxhash.xxh64_intdigest
+    bands = [digest(b.tobytes(), n) for n, b in enumerate(least.reshape(BANDS, ROWS))]
+    whole = np.array([digest(own.tobytes(), SEED), *bands], "<u8").view("<i8").tolist()
+    return whole[0], whole[1:]
+
+
+def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        yield pd.DataFrame([sketch_of(t) for t in batch], columns=["set", "bands"])
+
+
+def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([np.unique(shingle_hashes(t, WORDS)).view("<i8") for t in batch], dtype=object)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def candidates(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b), a < b: texts, by ``set``, that share a band."""
+    at = F.posexplode("bands").alias("at", "band")
+    following = F.element_at("bands", (F.col("at") + 1) % BANDS + 1)
+    near = classes.select("set", "bands", at).select("set", "band", following.alias("next"))
+    sizes = cut_lineage(
+        near.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("least")).filter("n > 1")
+    )
+    met = cut_lineage(near.join(sizes, "band"))
+    few = met.filter(F.col("n") <= crowd)
+    a, b = few.select("band", F.col("set").alias("a")), few.select("band", F.col("set").alias("b"))
+    pairs = a.join(b, "band").filter("a < b").select("a", "b")
+    many = met.filter(F.col("n") > crowd)
+    both = many.groupBy("band", "next").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    star = many.select(F.col("least").alias("a"), F.col("set").alias("b"))
+    second = many.join(cut_lineage(both.select("band", "next", "a")), ["band", "next"]).select("a", F.col("set").alias("b"))
+    return pairs.unionByName(star).unionByName(second).filter("a < b").distinct()
+
+
+def similar_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    ``texts`` has ``set`` and ``_text`` of the texts in ``pairs``, a written table. A text of very many pairs is compared in several places.
+    """
+    chosen = texts.groupBy("set").agg(F.first("_text").alias("_text"))
+    sets = cut_lineage(chosen.select("set", F.pandas_udf(_sets, "array<long>")(F.col("_text")).alias("own")))
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    hot = _small(cut_lineage(hot.select("a", F.ceil(F.col("n") / HOT).alias("places"))))
+    places = F.coalesce("places", F.lit(1))
+    pairs = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), places).alias("place"))
+    left = sets.select(F.col("set").alias("a"), F.col("own").alias("x")).join(hot, "a", "left")
+    left = left.select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), places.cast("long") - 1)).alias("place"))
+    right = sets.select(F.col("set").alias("b"), F.col("own").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(left, ["a", "place"]).join(right, "b")
+    return cut_lineage(both.filter(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row with the smallest key.
 
-    Ties, as equal keys with different texts make them, go by a hash of the row; of equal rows
+    Texts are linked from a Jaccard similarity of 0.8 of their five-word shingles; texts without
+    words are one component. Ties, as equal keys with different texts make them, go by a hash of the row; of equal rows
     one stays. Rows keep all their columns.
     """
     ident = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-    slim = df.select(F.col(key).alias("_key"), ident.alias("_row"), F.col(text).alias("_text"))
-    slim = cut_lineage(with_fingerprint(slim, "_text", "fp").select("_key", "_row", "fp"))
+    sketch = F.pandas_udf(_sketches, "set long, bands array<long>")(F.col(text))
+    slim = df.select(F.col(key).alias("_key"), ident.alias("_row"), sketch.alias("_s"))
+    slim = cut_lineage(slim.select("_key", "_row", "_s.set", "_s.bands"))
     order = F.struct(F.col("_key").isNull().alias("n"), "_key", "_row")
-    classes = cut_lineage(slim.groupBy("fp").agg(F.min(order).alias("_first")))
-    found = components(links(classes.select("fp")), [])
-    found = found.select(F.col("vertex").alias("fp"), F.col("component").alias("_c"))
-    members = classes.join(found, "fp", "left").withColumn("_c", F.coalesce("_c", "fp"))
+    classes = cut_lineage(slim.groupBy("set").agg(F.min(order).alias("_first"), F.first("bands").alias("bands")))
+    firsts = cut_lineage(classes.select("set", F.col("_first._row").alias("_row")))
+    pairs = cut_lineage(candidates(classes))
+    needed = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
+    held = cut_lineage(firsts.join(needed, "set", "left_semi"))
+    texts = df.select(ident.alias("_row"), F.col(text).alias("_text")).join(_small(held), "_row").select("set", "_text")
+    found = components(similar_texts(texts, pairs), [])
+    found = found.select(F.col("vertex").alias("set"), F.col("component").alias("_c"))
+    members = classes.join(found, "set", "left").withColumn("_c", F.coalesce("_c", "set"))
     winners = members.groupBy("_c").agg(F.min("_first").alias("w"))
     winners = cut_lineage(winners.select(F.col("w._key").alias("_wkey"), F.col("w._row").alias("_wrow")))
     marked = df.withColumns({"_sh_key": F.col(key), "_sh_row": ident})

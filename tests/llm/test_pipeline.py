@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as pipeline
 
 from framewise.llm import line_templates, mixing, nbsvm, simhash_anchors, sp_tokens
@@ -48,6 +50,29 @@ def test_lines_stage_keeps_a_holder_of_every_template(spark):
     assert kept == {line for _, text in docs for line in text.split("\n")}
 
 
+def test_near_duplicates_stage_finds_scattered_edits(spark):
+    rnd = random.Random(8)
+    docs = []
+    for i in range(60):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        docs.append((2 * i, " ".join(words)))
+        for at in rnd.sample(range(5, 295), 5):
+            words[at] = f"e{rnd.randrange(10**6)}"
+        docs.append((2 * i + 1, " ".join(words)))
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+
+    want = set()
+    for (a, x), (b, y) in zip(docs[::2], docs[1::2], strict=True):
+        x, y = shingles(x), shingles(y)
+        want |= {a} if len(x & y) >= 0.8 * len(x | y) else {a, b}
+    assert 60 <= len(want) < 75
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, df, "").collect()} == want
+
+
 def test_run_and_nulls(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, None, None, None, None), (5, "", None, None, 0)], docs.schema)
