@@ -10,8 +10,10 @@ of them but the first holder, so that boilerplate, shared passages and copied do
 repeats while every passage stays in the corpus once.
 
 Nothing gathers a leaf's lines in one place: places are counted as rows (leaf, place, token), and
-a template array is as long as one line. Cases: lines with fewer than ``min_tokens`` tokens are
-kept and never parsed; a NULL text stays NULL; equal rows are one document; the first holder is
+a template array is as long as one line. Lines of fewer than ``SHORT`` tokens have no variable
+fields and are only compared as a whole: where no blanks divide words, one token is a passage.
+Cases: lines with fewer than ``min_tokens`` tokens, and lines without one, are kept and never
+parsed; a NULL text stays NULL; equal rows are one document; the first holder is
 the one with the smallest key (NULL last), ties go by a hash of the text; an empty table gives no
 rows; other columns are carried, whatever their names.
 """
@@ -26,6 +28,7 @@ from framewise.session import cut_lineage
 
 DEPTH = 4
 FIELD = "<*>"
+SHORT = 3  # tokens
 BROADCAST_ROWS = 1_000_000  # of at most three numbers
 
 
@@ -36,25 +39,26 @@ def _tokens(lines: DataFrame) -> DataFrame:
         *given, F.rlike("_line", F.lit("[0-9]")).alias("_digits"), F.split("_line", SPACE_RUN).alias("_raw")
     )
     masked = F.transform("_raw", lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.lit(FIELD)).otherwise(t))
-    return rows.select(*given, F.when(F.col("_digits"), masked).otherwise(F.col("_raw")).alias("tokens"))
+    variable = F.col("_digits") & (F.size("_raw") >= SHORT)
+    return rows.select(*given, F.when(variable, masked).otherwise(F.col("_raw")).alias("tokens"))
 
 
 def _lines(df: DataFrame, key: str, text: str, min_tokens: int, depth: int) -> DataFrame:
     """Rows (key, row, place, line, leaf, leaf2) of the lines to parse.
 
     ``leaf2`` is the leaf below the next tokens, which a line falls into as if its leading ones
-    were variable fields; short lines have none.
+    were variable fields; short lines have none, and those below ``SHORT`` tokens no leaf at all.
     """
     rows = df.select(
         F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_row"),
         F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line"),
     )
-    rows = _tokens(rows).filter(F.size("tokens") >= min_tokens)
+    rows = _tokens(rows).filter((F.size("tokens") >= min_tokens) & (F.get("tokens", 0) != ""))
     n = F.size("tokens")
     second = F.when(n > 2 * depth, F.xxhash64(F.lit(FIELD), n, F.slice("tokens", depth + 1, depth)))
     return rows.select(
         "_key", "_row", "_at", F.xxhash64("tokens").alias("line"),
-        F.xxhash64(n, F.slice("tokens", 1, depth)).alias("leaf"), second.alias("leaf2"),
+        F.when(n >= SHORT, F.xxhash64(n, F.slice("tokens", 1, depth))).alias("leaf"), second.alias("leaf2"),
     )
 
 

@@ -156,7 +156,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op6_line_templates")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return line_templates.deduplicated(_table(spark, folder, "documents"))
+    return line_templates.deduplicated(_table(spark, folder, "documents"), min_tokens=1)
 
 
 @_query("op7_simhash_anchors")

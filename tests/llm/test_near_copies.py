@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framewise.llm import line_templates, simhash_anchors
+from framewise.llm import line_templates, queries, simhash_anchors
 
 
 def brute_fingerprint(text):
@@ -179,3 +179,13 @@ def test_lines_with_nulls(spark):
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.text, r.n_dropped) for r in line_templates.deduplicated(df).collect())
     assert [g[1:] for g in got] == [("shared line of five", 0)] * 2 + [(None, 0), ("own words stay here", 1)]
     assert line_templates.deduplicated(df.limit(0)).count() == 0
+
+
+def test_short_lines_recur_as_a_whole(spark, tmp_path):
+    passage = "这是一个没有空格的段落因此整行只是一个词" * 3
+    docs = [(1, f"Les.\n{passage}\n\nown words of one"), (2, f"Les.\n{passage}2024\n\nAnd ornd."), (3, f"{passage}\n\nAnd ornd.\n7"), (4, "8\n "), (5, "8\nLes. 1")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in queries.QUERIES["op6_line_templates"](spark, str(tmp_path)).collect()}
+    assert got == {
+        1: docs[0][1], 2: f"{passage}2024\n\nAnd ornd.", 3: "\n7", 4: "8\n ", 5: "Les. 1",
+    }
