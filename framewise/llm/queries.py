@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewise.llm import (
     html_extract,
+    interpolated_lm,
     line_templates,
     link_trust,
     mixing,
@@ -16,8 +17,10 @@ from framewise.llm import (
     quality_rules,
     simhash_anchors,
     sp_tokens,
+    token_alignment,
     topk_threshold,
     toxicity,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,6 +235,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return nbsvm.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@_query("op11_interpolated_lm")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolated_lm.scored(_table(spark, folder, "documents"))
+
+
+@_query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_table(spark, folder, "embeddings"))
+
+
+@_query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.aligned(_table(spark, folder, "documents"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
