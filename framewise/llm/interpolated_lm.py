@@ -39,8 +39,8 @@ from framewise.llm.labelled import fold
 from framewise.session import cut_lineage, discard
 
 SEED = 42
-CHUNK_CHARS = 16 << 20  # of text that one task holds
-RANGE_CHARS = 12 << 20  # of text whose keys make a range, on average
+CHUNK_CHARS = 6 << 20  # of text that one task holds
+RANGE_CHARS = 6 << 20  # of text whose keys make a range, on average
 RETAINED, DELETED, HELD = 0, 1, 2
 DELETED_PARTS = 10  # one in so many training documents is deleted
 BUCKETS = 64  # of context frequency
