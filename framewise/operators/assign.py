@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from framewise.functions import boxes as B
 from framewise.functions.boxes import Box
+from framewise.operators.grid import MEET, at_home, meeting
 from framewise.operators.neighbours import components
 from framewise.operators.scale import join_on, map_groups
-from framewise.operators.spatial import box_cells
 from framewise.session import cut_lineage
 
 
@@ -105,22 +105,24 @@ def _pairs(
     a: DataFrame, b: DataFrame, on, a_id: str, b_id: str, cell: float, reach: Column | None = None
 ) -> DataFrame:
     """Pairs of a group whose boxes meet once ``a`` is grown by ``reach``, once each."""
-    grown = Box.of()
+    grown = B.ordered(Box.of())
     if reach is not None:
         grown = Box(grown.xmin - reach, grown.ymin - reach, grown.xmax + reach, grown.ymax + reach)
-    left = box_cells(a, grown, cell).select(
-        *on, "_cx", "_cy", F.col(a_id).alias("_a"), F.struct(*a.columns).alias("_ra"),
-        grown.xmin.alias("_gx"), grown.ymin.alias("_gy"),
+    left = a.select(
+        *on, F.col(a_id).alias("_a"), *(F.col(c).alias(f"_ra_{c}") for c in a.columns),
+        *(c.alias(f"_g{n}") for n, c in zip(Box._fields, grown)),
     )
-    right = box_cells(b, Box.of(), cell).select(
-        *on, "_cx", "_cy", F.col(b_id).alias("_b"), F.struct(*b.columns).alias("_rb")
+    right = b.select(
+        *on, F.col(b_id).alias("_b"), *(F.col(c).alias(f"_rb_{c}") for c in b.columns), *Box.of().columns("_h")
     )
-    bb = Box.field(F.col("_rb"))
-    # a pair counts in the one cell that holds the corner of the intersection
-    home = (F.floor(F.greatest(F.col("_gx"), bb.xmin) / cell) == F.col("_cx")) & (
-        F.floor(F.greatest(F.col("_gy"), bb.ymin) / cell) == F.col("_cy")
-    )
-    return left.join(right, [*on, "_cx", "_cy"]).filter(home).select(*on, "_a", "_b", "_ra", "_rb")
+    ga, gb = Box.of("_g"), B.ordered(Box.of("_h"))
+    left, right = meeting(left, right, ga, gb, cell)
+    home = at_home((ga.xmin, ga.ymin), (gb.xmin, gb.ymin), cell)
+    rows = [
+        F.struct(*(F.col(f"{name}_{c}").alias(c) for c in side.columns)).alias(name)
+        for name, side in (("_ra", a), ("_rb", b))
+    ]
+    return left.join(right, [*on, *MEET]).filter(home).select(*on, "_a", "_b", *rows)
 
 
 # what a pair's tie value, from 0 to 1, adds to its gain

@@ -2,6 +2,7 @@
 
 All of them are equi joins on (frame, grid cell) with the exact test as residual
 predicate, so a frame that holds a large share of all rows spreads over its cells.
+Cells have a level per size of box (`grid`): a box is at most four rows.
 """
 
 from __future__ import annotations
@@ -13,41 +14,24 @@ from pyspark.sql import functions as F
 
 from framewise.functions import boxes as B
 from framewise.functions.boxes import Box
+from framewise.operators.grid import CELL, MEET, levels_in, meeting, own_cells, probes
 from framewise.operators.scale import join_on, max_group
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
-
-
-def box_cells(df: DataFrame, box: Box, size: float, pad: float = 0.0) -> DataFrame:
-    """One row per grid cell a box touches, in ``_cx``, ``_cy``."""
-    b = B.ordered(box)
-    return df.withColumn("_cx", _cells(b.xmin - pad, b.xmax + pad, size)).withColumn(
-        "_cy", _cells(b.ymin - pad, b.ymax + pad, size)
-    )
-
-
-def point_cell(df: DataFrame, u: Column, v: Column, size: float) -> DataFrame:
-    return df.withColumn("_cx", F.floor(u / size)).withColumn("_cy", F.floor(v / size))
-
-
 def points_in_box(
     pts: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float = 64.0,
     u: str = "u", v: str = "v",
 ) -> DataFrame:
     """Pairs of a point and a box of its frame that strictly contains it.
 
-    A point lies in one cell, so each pair comes out once.
+    A point lies in one cell of the box's level, so each pair comes out once.
     """
-    left = point_cell(pts, F.col(u), F.col(v), cell)
-    right = box_cells(boxes, Box.of(), cell)
-    joined = left.join(right, [*on, "_cx", "_cy"])
+    left = probes(pts, F.col(u), F.col(v), levels_in(boxes, Box.of(), cell), cell)
+    right = own_cells(boxes, Box.of(), cell)
+    joined = left.join(right, [*on, *CELL])
     x, y = F.col(u), F.col(v)
     b = Box.of()
-    return joined.filter((x > b.xmin) & (x < b.xmax) & (y > b.ymin) & (y < b.ymax)).drop(
-        "_cx", "_cy"
-    )
+    return joined.filter((x > b.xmin) & (x < b.xmax) & (y > b.ymin) & (y < b.ymax)).drop(*CELL)
 
 
 def first_box(
@@ -193,18 +177,18 @@ def match_truth(
     Detections without such a truth are false.
 
     From an IoU of one half on, the overlap covers more than half of each side, so the
-    centre of a detection lies in its truth: the detection needs one cell only.
+    centre of a detection lies in its truth: the detection is looked up as that point.
     """
+    left, right = det.select(*on, det_id, *Box.of()), gt.select(*on, gt_id, "difficult", *Box.of().columns("g_"))
+    g = Box.of("g_")
     if min_iou >= 0.5:
         middle = [(F.col(f"{a}min") + F.col(f"{a}max")) / 2 for a in "xy"]
-        left, pad = point_cell(det, *middle, cell), 1e-6
+        pad = 1e-6
+        left, right = probes(left, *middle, levels_in(right, g, cell, pad), cell), own_cells(right, g, cell, pad)
+        pairs = left.join(right, [*on, *CELL])
     else:
-        left, pad = box_cells(det, Box.of(), cell), 0.0
-    left = left.select(*on, det_id, "_cx", "_cy", *Box.of())
-    right = box_cells(gt, Box.of(), cell, pad).select(
-        *on, gt_id, "difficult", "_cx", "_cy", *Box.of().columns("g_")
-    )
-    pairs = left.join(right, [*on, "_cx", "_cy"])
+        left, right = meeting(left, right, Box.of(), g, cell)
+        pairs = left.join(right, [*on, *MEET])
     overlap = _iou_exact(Box.of(), Box.of("g_"))
     pairs = pairs.withColumn("iou", overlap).filter(F.col("iou") > min_iou)
     # the first truth wins a tie, so the smaller id
@@ -244,16 +228,16 @@ def overlapping(
 
     The test may only hold for boxes that touch within ``pad``.
     """
-    right = box_cells(a, Box.of(), cell, pad).select(
-        *(F.col(c).alias(f"_k_{c}") for c in on), F.col("_cx").alias("_ax"),
-        F.col("_cy").alias("_ay"), *Box.of().columns("_a_"),
-    )
-    left = box_cells(b, Box.of(), cell, pad)
-    cond = (F.col("_cx") == F.col("_ax")) & (F.col("_cy") == F.col("_ay"))
+    mine = [F.col(c).alias(f"_k_{c}") for c in on]
+    right, left = meeting(a.select(*mine, *Box.of().columns("_a_")), b, Box.of("_a_"), Box.of(), cell, pad)
+    right = right.withColumnsRenamed({c: f"_a{c}" for c in MEET})
+    cond = F.lit(True)
+    for c in MEET:
+        cond = cond & (F.col(c) == F.col(f"_a{c}"))
     for c in on:
         cond = cond & (F.col(c) == F.col(f"_k_{c}"))
     hit = left.join(right, cond & test(Box.of("_a_"), Box.of()), "left_semi")
-    return hit.drop("_cx", "_cy").distinct()
+    return hit.drop(*MEET).distinct()
 
 
 def zbuffer(df: DataFrame, keys: Sequence[str], depth: str = "d") -> DataFrame:

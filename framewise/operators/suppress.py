@@ -1,10 +1,13 @@
 """Non-maximum suppression and other greedy keeping of boxes.
 
 Groups up to ``limit`` rows are folded in place, one array per group. Larger
-groups never meet in one task: they are settled by rounds over grid cells. In a
-round every cell names its best undecided box; a box that is best in all its cells
-has no better overlapping rival and is kept, and boxes it overlaps too much go.
-Both ways give the same result as the sequential scan.
+groups never meet in one task. Where boxes have few others near them, the pairs that
+exclude each other become a graph, and blocks of ``BLOCK`` boxes are settled at a time:
+a box whose earlier rivals are all gone is kept, one with a kept rival goes, and a
+block follows such a chain to its border in one round. Crowds are thinned first, by
+rounds over the cells of a grid with a level per size: every cell names its best
+undecided box; a box that is best in all its cells is kept, and boxes it overlaps too
+much go. All ways give the same result as the sequential scan.
 
 A NULL frame or class is a group like any other. A box with a NULL side overlaps
 nothing: it is kept and takes no other box away. A NULL score comes before all
@@ -15,15 +18,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import boxes as B
 from framewise.functions.boxes import Box
+from framewise.operators.grid import MEET, at_home, climbing, levels_in, meeting, padded
 from framewise.operators.scale import max_group, split_by_size
-from framewise.operators.spatial import box_cells, overlapping
+from framewise.operators.spatial import overlapping
 from framewise.session import cut_lineage, discard
 
+BLOCK_BITS = 12
+BLOCK = 1 << BLOCK_BITS  # boxes settled in one place
+CROWD = 512  # near boxes of a box, on average, from which on cells are thinned first
+HIT = -1  # in place of an earlier rival: it was kept
+
 # overlap(kept, candidate); positive only when the boxes touch within one pixel
 Overlap = Callable[[Box, Box], Column]
 
@@ -65,42 +76,132 @@ def _fold(df: DataFrame, keys: Sequence[str], order, overlap: Overlap, t: float)
 
 
 def _rounds(df: DataFrame, keys: Sequence[str], order, overlap: Overlap, t: float) -> DataFrame:
-    """The same for groups of any size, cell by cell."""
+    """The same for groups of any size."""
     columns = df.columns
     # one text per group, so that joins pair NULL keys too
-    df = df.withColumn("_group", F.to_json(F.struct(*keys)))
-    keys = ["_group"]
-    size = df.agg(
-        F.avg(F.greatest(F.abs(F.col("xmax") - F.col("xmin")), F.abs(F.col("ymax") - F.col("ymin"))))
-    ).first()[0]
-    cell = max(2.0 * (size or 1.0), 1e-9)
-    rank = F.struct(*_sort_key(order))
-    part = [*keys, "_cx", "_cy"]
-    open_rows = cut_lineage(df.withColumn("_rank", rank))
+    df = df.withColumn("_group", F.to_json(F.struct(*keys))).withColumn("_rank", F.struct(*_sort_key(order)))
+    b = B.ordered(Box.of())
+    side = F.greatest(b.xmax - b.xmin, b.ymax - b.ymin)
+    typical = df.agg(F.exp(F.avg(F.log(F.when((side > 0) & (side < float("inf")), side))))).first()[0] or 1.0
+    cell = max(typical / 4, 1e-9)
+    open_rows = cut_lineage(df)
     kept: DataFrame | None = None
-    while True:
-        cells = box_cells(open_rows, Box.of(), cell, pad=1.0)
-        tops = cells.groupBy(*part).agg(F.min("_rank").alias("_top"))
-        seen = cells.select(*part, "_rank").join(tops, part)
-        winners = (
-            seen.groupBy(*keys, "_rank")
-            .agg(F.bool_and(F.col("_rank") == F.col("_top")).alias("_best"))
-            .filter("_best")
-            .drop("_best")
-        )
-        won = cut_lineage(open_rows.join(winners, [*keys, "_rank"], "left_semi"))
-        if won.isEmpty():
-            raise RuntimeError("no box of the round is best in its cells; is the order unique?")
+    while not open_rows.isEmpty():
+        if _near(open_rows, cell) <= CROWD * open_rows.count():
+            won, open_rows = _settled(open_rows, overlap, t, cell, typical), None
+        else:
+            won, open_rows = _thinned(open_rows, overlap, t, cell)
+        kept = won if kept is None else kept.unionByName(won)
+        if open_rows is None:
+            break
+    return df.limit(0).select(*columns) if kept is None else kept.select(*columns)
+
+
+def _near(rows: DataFrame, cell: float) -> int:
+    """How many pairs of boxes share a cell, each box with itself included."""
+    slim = rows.select("_group", *Box.of())
+    at = ["_group", *MEET]
+    left, right = (
+        x.groupBy(*at).agg(F.count(F.lit(1)).alias(n))
+        for x, n in zip(meeting(slim, slim, Box.of(), Box.of(), cell, 1.0), ("_n", "_m"))
+    )
+    return left.join(right, at).agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+
+
+def _thinned(rows: DataFrame, overlap: Overlap, t: float, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(boxes that are best in all their cells, boxes these do not take away)."""
+    part, key = ["_group", *MEET[:3]], ["_group", "_rank"]
+    box = padded(Box.of(), 1.0)
+    cells = climbing(rows.select(*key, *Box.of()), box, levels_in(rows, Box.of(), cell, 1.0), cell)
+    own = F.col("_role") == 0
+    # smaller boxes that are looked up in a cell are rivals of its own boxes, not of each other
+    tops = cells.groupBy(*part).agg(F.min("_rank").alias("_top"), F.min(F.when(own, F.col("_rank"))).alias("_own"))
+    seen = cells.select(*part, "_rank", "_role").join(tops, part)
+    best = F.when(own, F.col("_rank") == F.col("_top")).otherwise(F.coalesce(F.col("_rank") < F.col("_own"), F.lit(True)))
+    winners = seen.groupBy(*key).agg(F.bool_and(best).alias("_best")).filter("_best").select(*key)
+    won = cut_lineage(rows.join(winners, key, "left_semi"))
+    if won.isEmpty():
+        raise RuntimeError("no box of the round is best in its cells; is the order unique?")
+    rest = rows.join(won.select(*key), key, "left_anti")
+    hit = overlapping(won, rest, ["_group"], lambda a, b: overlap(a, b) > t, cell=cell, pad=1.0)
+    left = cut_lineage(rest.join(hit.select(*key), key, "left_anti"))
+    discard(rows)
+    return won, left
+
+
+def _settled(rows: DataFrame, overlap: Overlap, t: float, cell: float, typical: float) -> DataFrame:
+    """Boxes kept of all in ``rows``, by the graph of pairs that exclude each other."""
+    # neighbours get numbers near each other: the high bits of a number name a block
+    tile = [F.floor((F.col(f"{a}min") + F.col(f"{a}max")) / (typical * 16)).alias(f"_t{a}") for a in "xy"]
+    n = max(1, min(rows.count() // BLOCK, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    placed = rows.select("*", *tile).repartitionByRange(n, "_group", "_tx", "_ty")
+    placed = placed.sortWithinPartitions("_group", "_tx", "_ty", "xmin", "ymin")
+    numbered = cut_lineage(placed.drop("_tx", "_ty").withColumn("_id", F.monotonically_increasing_id()))
+    discard(rows)
+    box = ["_group", "_id", "_rank", *Box._fields]
+    one = numbered.select(*(F.col(c).alias("_group" if c == "_group" else f"_i{c}") for c in box))
+    left, right = meeting(one, numbered.select(*box), Box.of("_i"), Box.of(), cell, 1.0)
+    near = left.join(right, ["_group", *MEET])
+    i, j = padded(Box.of("_i"), 1.0), padded(Box.of(), 1.0)
+    near = near.filter(at_home((i.xmin, i.ymin), (j.xmin, j.ymin), cell) & (F.col("_i_id") != F.col("_id")))
+    first = near.filter((F.col("_i_rank") < F.col("_rank")) & (overlap(Box.of("_i"), Box.of()) > t))
+    rivals = cut_lineage(first.select(F.col("_i_id").alias("src"), F.col("_id").alias("dst")))
+    undecided, kept = cut_lineage(numbered.select(F.col("_id").alias("dst"))), None
+    while not undecided.isEmpty():
+        undecided, rivals, won = _settle_blocks(undecided, rivals)
         kept = won if kept is None else kept.unionByName(won)
-        rest = open_rows.join(won.select(*keys, "_rank"), [*keys, "_rank"], "left_anti")
-        # one winner per cell at most, so this join does not multiply rows
-        hit = overlapping(
-            won, rest, keys, lambda a, b: overlap(a, b) > t, cell=cell, pad=1.0
-        ).select(*keys, "_rank")
-        old, open_rows = open_rows, cut_lineage(rest.join(hit, [*keys, "_rank"], "left_anti"))
-        discard(old)
-        if open_rows.isEmpty():
-            return kept.select(*columns)
+    return cut_lineage(numbered.join(kept, "_id", "left_semi"))
+
+
+def _settle_blocks(undecided: DataFrame, rivals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: (numbers still open, their open earlier rivals, numbers kept)."""
+    rows = undecided.select("dst", F.lit(None).cast("long").alias("src")).unionByName(rivals.select("dst", "src"))
+    block = F.shiftright("dst", BLOCK_BITS).alias("block")
+    said = rows.select(block, "dst", "src").groupBy("block").applyInPandas(_settle, "id long, kept boolean")
+    said = cut_lineage(said)
+    left = cut_lineage(undecided.join(said.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    known = rivals.join(left, "dst", "left_semi").join(said, rivals["src"] == said["id"], "left")
+    # a rival that went is no rival, one that was kept decides
+    now = known.filter(F.coalesce("kept", F.lit(True))).select(
+        "dst", F.when(F.col("kept"), F.lit(HIT).cast("long")).otherwise(F.col("src")).alias("src")
+    )
+    out = left, cut_lineage(now), said.filter("kept").select(F.col("id").alias("_id"))
+    discard(undecided)
+    discard(rivals)
+    return out
+
+
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Decide what can be decided in one block: boxes without open earlier rivals are kept, which
+    takes away the later ones they exclude, and so on."""
+    ids = np.unique(pdf["dst"].to_numpy())
+    edge = pdf[pdf["src"].notna()]
+    dst = np.searchsorted(ids, edge["dst"].to_numpy())
+    src = edge["src"].to_numpy(np.int64)
+    waits = np.bincount(dst, minlength=len(ids))
+    state = np.zeros(len(ids), np.int8)  # 1 kept, -1 gone
+    gone = list(dict.fromkeys(dst[src == HIT].tolist()))
+    state[gone] = -1
+    at = np.minimum(np.searchsorted(ids, src), len(ids) - 1)
+    inside = ids[at] == src
+    by = np.argsort(at[inside], kind="stable")
+    later = dst[inside][by]
+    starts = np.searchsorted(at[inside][by], np.arange(len(ids) + 1))
+    todo = [*gone, *np.flatnonzero((waits == 0) & (state == 0)).tolist()]
+    for v in todo:
+        if state[v] == 0:
+            state[v] = 1
+        for w in later[starts[v] : starts[v + 1]].tolist():
+            if state[w]:
+                continue
+            waits[w] -= 1
+            if state[v] == 1:
+                state[w] = -1
+                todo.append(w)
+            elif waits[w] == 0:
+                todo.append(w)
+    known = state != 0
+    return pd.DataFrame({"id": ids[known], "kept": state[known] == 1})
 
 
 def greedy_keep(
@@ -154,22 +255,15 @@ def nms_persons(
     the flag from an earlier one.
     """
     kept = nms(df, keys, t, score, person_id, limit=limit)
-    a = box_cells(kept, Box.of(), cell)
-    b = box_cells(df, Box.of(), cell)
-    one = a.select(
-        *keys, "_cx", "_cy", F.col(person_id).alias("_i"), F.col(score).alias("_si"),
-        *Box.of().columns("_i_"),
-    )
-    two = b.select(
-        *keys, "_cx", "_cy", F.col(person_id).alias("_j"), F.col(score).alias("_sj"),
-        *Box.of().columns("_j_"),
-    )
+    one = kept.select(*keys, F.col(person_id).alias("_i"), F.col(score).alias("_si"), *Box.of().columns("_i_"))
+    two = df.select(*keys, F.col(person_id).alias("_j"), F.col(score).alias("_sj"), *Box.of().columns("_j_"))
     bi, bj = Box.of("_i_"), Box.of("_j_")
     overlap = B.iou(bi, bj)
     after = (F.col("_si") > F.col("_sj")) | (
         (F.col("_si") == F.col("_sj")) & (F.col("_i") < F.col("_j"))
     )
-    pairs = one.join(two, [*keys, "_cx", "_cy"]).filter(after & (overlap > touch) & (overlap <= t))
+    left, right = meeting(one, two, bi, bj, cell)
+    pairs = left.join(right, [*keys, *MEET]).filter(after & (overlap > touch) & (overlap <= t))
     # when i is compared, j is still listed unless a kept person before i removed it
     remover = _first_remover(kept, df, keys, t, score, person_id, cell)
     pairs = pairs.join(remover, [*keys, "_j"], "left").filter(
@@ -188,19 +282,14 @@ def nms_persons(
 
 def _first_remover(kept, df, keys, t, score, person_id, cell) -> DataFrame:
     """For each removed person the first kept one, in score order, that removes it."""
-    one = box_cells(kept, Box.of(), cell).select(
-        *keys, "_cx", "_cy", F.col(person_id).alias("_r"), F.col(score).alias("_rs"),
-        *Box.of().columns("_r_"),
-    )
+    one = kept.select(*keys, F.col(person_id).alias("_r"), F.col(score).alias("_rs"), *Box.of().columns("_r_"))
     gone = df.join(kept.select(*keys, person_id), [*keys, person_id], "left_anti")
-    two = box_cells(gone, Box.of(), cell).select(
-        *keys, "_cx", "_cy", F.col(person_id).alias("_j"), F.col(score).alias("_js"),
-        *Box.of().columns("_j_"),
-    )
+    two = gone.select(*keys, F.col(person_id).alias("_j"), F.col(score).alias("_js"), *Box.of().columns("_j_"))
     before = (F.col("_rs") > F.col("_js")) | (
         (F.col("_rs") == F.col("_js")) & (F.col("_r") < F.col("_j"))
     )
-    hit = one.join(two, [*keys, "_cx", "_cy"]).filter(
+    left, right = meeting(one, two, Box.of("_r_"), Box.of("_j_"), cell)
+    hit = left.join(right, [*keys, *MEET]).filter(
         before & (B.iou(Box.of("_r_"), Box.of("_j_")) > t)
     )
     first = hit.groupBy(*keys, "_j").agg(
