@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.operators.scale import join_on, ranked, row_at, with_group_size
+from framewise.operators.scale import join_on, order_columns, ranked, row_at, rows_at, with_buckets
 
 _MEAN = ("x", "y", "z")
 
@@ -38,19 +38,14 @@ def index_quantile(
     ``rule``: ``third`` n/3, ``far`` min(0.8 n, n - 1), ``quarter`` n/4, ``half`` n/2
     (all integer parts). ``order`` ends in a unique column.
     """
-    return row_at(df, keys, order, quantile_index(F.col("n"), rule))
+    return row_at(df, keys, order, lambda n: quantile_index(n, rule))
 
 
 def index_quantiles(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rules: Sequence[str]
 ) -> DataFrame:
-    """`index_quantile` for several rules at once: one ranking, the rule named in ``rule``."""
-    sized = with_group_size(ranked(df, keys, order, "_rn"), keys, "n")
-    wanted = F.array(
-        *(F.struct(F.lit(x).alias("rule"), quantile_index(F.col("n"), x).alias("at")) for x in rules)
-    )
-    hit = F.filter(wanted, lambda w: w["at"] == F.col("_rn") - 1)
-    return sized.withColumn("_hit", F.explode(hit)).withColumn("rule", F.col("_hit.rule")).drop("_rn", "_hit")
+    """`index_quantile` for several rules at once: one selection, the rule named in ``rule``."""
+    return rows_at(df, keys, order, {x: lambda n, x=x: quantile_index(n, x) for x in rules})
 
 
 def quantile_index(n: Column, rule: str) -> Column:
@@ -79,8 +74,7 @@ def percentile_floor(
     df: DataFrame, p: float, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """The row at sorted index int(n * p)."""
-    at = F.least(F.floor(F.col("n") * p), F.col("n") - 1).cast("long")
-    return row_at(df, keys, order, at)
+    return row_at(df, keys, order, lambda n: F.least(F.floor(n * p), n - 1))
 
 
 def latency_report(
@@ -90,34 +84,34 @@ def latency_report(
     """Statistics of ``latency``, ``e2e`` and ``compute`` per group, warm-up dropped.
 
     Rows: keys, metric, min, max, mean, median, percentile, count, throughput (per s).
-    The sorted positions of all three metrics are found in one pass.
+    Sums come from one aggregation over the trace; the sorted positions of each metric are
+    selected, so only the buckets that hold them are ranked.
     """
     kept = trace.filter(F.col(start) >= warmup_ms)
     metrics = ("latency", "e2e", "compute")
-    long = kept.select(
-        *keys, tie,
-        F.explode(
-            F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))
-        ).alias("_m"),
-    ).select(*keys, tie, "_m.metric", "_m.v")
-    group = [*keys, "metric"]
-    rows = with_group_size(ranked(long, group, ["v", tie], "_rn"), group, "_n")
-    i, n = F.col("_rn") - 1, F.col("_n")
-    cut = F.greatest(n - 1 - F.floor(n * (1.0 - percentile / 100.0)), F.lit(0))
-    middle = F.floor(n / 2)
-    low = F.when(n % 2 == 1, middle).otherwise(middle - 1)
-    stats = rows.groupBy(*group).agg(
-        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
-        F.avg(F.when((i == middle) | (i == low), F.col("v"))).alias("median"),
-        F.max(F.when(i == cut, F.col("v"))).alias("percentile"),
-        F.count(F.lit(1)).alias("count"),
-    )
-    wall = kept.groupBy(*keys).agg(
-        (F.max(F.col(start) + F.col("latency")) - F.min(start)).alias("_wall")
+    wall = F.max(F.col(start) + F.col("latency")) - F.min(start)
+    sums = kept.groupBy(*keys).agg(
+        wall.alias("_wall"), F.count(F.lit(1)).alias("count"),
+        *(f(m).alias(f"_{n}_{m}") for m in metrics for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))),
     )
-    out = join_on(stats, wall, keys)
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"_{n}_{m}").alias(n) for n in ("min", "max", "mean"))) for m in metrics))
+    stats = sums.select(*keys, "_wall", "count", F.explode(each).alias("_m")).select(*keys, "_wall", "count", "_m.*")
+    wanted = {
+        "low": lambda n: F.when(n % 2 == 1, F.floor(n / 2)).otherwise(F.floor(n / 2) - 1),
+        "middle": lambda n: F.floor(n / 2),
+        "cut": lambda n: F.greatest(n - 1 - F.floor(n * (1.0 - percentile / 100.0)), F.lit(0)),
+    }
+    found = None
+    for m in metrics:
+        own = rows_at(kept.select(*keys, tie, F.col(m).alias("v")), keys, ["v", tie], wanted)
+        own = own.groupBy(*keys).agg(
+            F.avg(F.when(F.col("rule") != "cut", F.col("v"))).alias("median"),
+            F.max(F.when(F.col("rule") == "cut", F.col("v"))).alias("percentile"),
+        ).withColumn("metric", F.lit(m))
+        found = own if found is None else found.unionByName(own)
     rate = F.try_divide(F.col("count") * float(queries) * 1000.0, F.col("_wall"))
-    return out.withColumn("throughput", rate).drop("_wall")
+    out = join_on(stats, found, [*keys, "metric"])
+    return out.select(*keys, "metric", "min", "max", "mean", "median", "percentile", "count", rate.alias("throughput"))
 
 
 def block_means(
@@ -159,16 +153,36 @@ def strided_sample(
 
 
 def limit_rows(
-    df: DataFrame, order: Sequence[str], n: int, batch: int | None = None
+    df: DataFrame, order: Sequence[str], n: int, batch: int | None = None, small: int = 10_000
 ) -> DataFrame:
-    """The first ``n`` rows in ``order``; with ``batch`` only whole batches."""
-    from framewise.operators.scale import order_columns
+    """The first ``n`` rows in ``order``; with ``batch`` only whole batches.
 
-    take = n
-    if batch is not None:
-        have = df.limit(n).count()
-        take = min(n, have) // batch * batch
-    return df.orderBy(*order_columns(order)).limit(take)
+    Up to ``small`` rows every task hands on its first ones. Beyond that the rows are counted per
+    bucket of the order: buckets before the cut are taken whole, and only the one the cut falls
+    into is ranked, so no task sees more than a bucket.
+    """
+    if n <= small:
+        take = n
+        if batch is not None:
+            take = min(n, df.limit(n).count()) // batch * batch
+        return df.orderBy(*order_columns(order)).limit(take)
+    bucketed = with_buckets(df, order)
+    # as many numbers as there are buckets
+    sizes = sorted((r["_bucket"], r["n"]) for r in bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect())
+    take = min(n, sum(m for _, m in sizes))
+    take = take // batch * batch if batch is not None else take
+    before, cut = 0, None
+    for bucket, m in sizes:
+        if before + m > take:
+            cut = bucket
+            break
+        before += m
+    if cut is None:
+        return df.orderBy(*order_columns(order))
+    first = Window.partitionBy("_bucket").orderBy(*order_columns(order))
+    rest = bucketed.filter(F.col("_bucket") == cut).withColumn("_rn", F.row_number().over(first))
+    rows = bucketed.filter(F.col("_bucket") < cut).unionByName(rest.filter(F.col("_rn") <= take - before).drop("_rn"))
+    return rows.drop("_bucket").orderBy(*order_columns(order))
 
 
 def topk(

@@ -177,12 +177,42 @@ def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataF
     )
 
 
+def rows_at(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: dict[str, Callable[[Column], Column]],
+    name: str = "rule",
+) -> DataFrame:
+    """The rows at wanted sorted positions of their group, with the group size ``n`` and the position's name.
+
+    ``wanted`` maps a name to a zero-based position, given as a function of the group size. Rows
+    are only counted per bucket; the totals tell which bucket holds a position, and nothing but
+    these buckets is ranked. A position outside the group has no row.
+    """
+    bucketed = with_buckets(df, order)
+    part = [*keys, "_bucket"]
+    totals = bucketed.groupBy(*part).agg(F.count(F.lit(1)).alias("_m"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.select(
+        *part, "_m", F.sum("_m").over(group).alias("n"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_from")
+    )
+    at = F.array(
+        *(F.struct(F.lit(k).alias("rule"), (f(F.col("n")).cast("long") + 1 - F.col("_from")).alias("pos")) for k, f in wanted.items())
+    )
+    hits = placed.withColumn("_at", F.filter(at, lambda x: x["pos"].between(1, F.col("_m"))))
+    # written, so that its size decides whether the rows need a shuffle to find their buckets
+    hits = cut_lineage(hits.filter(F.size("_at") > 0).select(*part, "n", "_at"))
+    local = Window.partitionBy(*part).orderBy(*order_columns(order))
+    rows = join_on(bucketed, hits, part, "inner").withColumn("_rn", F.row_number().over(local).cast("long"))
+    found = F.filter("_at", lambda x: x["pos"] == F.col("_rn"))
+    out = rows.withColumn("_hit", F.explode(found)).withColumn(name, F.col("_hit.rule"))
+    return out.drop("_hit", "_at", "_rn", "_bucket")
+
+
 def row_at(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], index: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], index: Callable[[Column], Column]
 ) -> DataFrame:
-    """The row at a zero-based sorted position, given as an expression of the group size ``n``."""
-    sized = with_group_size(ranked(df, keys, order, "_rn"), keys, "n")
-    return sized.filter(F.col("_rn") == index + 1).drop("_rn")
+    """The row at a zero-based sorted position, given as a function of the group size."""
+    return rows_at(df, keys, order, {"": index}, "_rule").drop("_rule")
 
 
 def map_groups(

@@ -181,15 +181,27 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "s14_generate_inputs",
-    """SELECT 'f' AS output, count(*) * 64 AS n, true AS in_range, true AS varied FROM embeddings
-    UNION ALL SELECT 'i', count(*) * 8, true, true FROM embeddings""",
+    f"""SELECT vec_id, label, {rs('(SELECT sum(x) FROM (SELECT unnest(embedding)::DOUBLE AS x))')} AS given,
+      true AS repeats, true AS in_range, 64 AS n_float, 8 AS n_int FROM embeddings""",
 )
 def _(t: Tables) -> DataFrame:
-    # as many iterations as the embeddings table has rows
-    n = t.embeddings.count()
-    out = readers.generate_inputs(t.spark, {"f": ("float", 64), "i": ("int", 8)}, n, seed=7)
+    # an iteration of inputs for each vector, generated twice under different partitionings
+    rows = t.embeddings.select("vec_id", "label", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).alias("given"))
+    n = (rows.agg(F.max("vec_id")).first()[0] or 0) + 1
+    schema = {"f": ("float", 64), "i": ("int", 8)}
     low, high = F.when(F.col("output") == "f", -1.0).otherwise(1.0), F.when(F.col("output") == "f", 1.0).otherwise(25.0)
-    return out.groupBy("output").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("val").between(low, high)).alias("in_range"),
-        (F.stddev("val") > 0.3).alias("varied"),
+
+    def digests(parts: int, suffix: str) -> DataFrame:
+        out = readers.generate_inputs(t.spark, schema, n, seed=7).repartition(parts, "idx", "output")
+        return out.groupBy(F.col("iteration").alias("vec_id")).agg(
+            F.bit_xor(F.xxhash64("output", "idx", "val")).alias(f"d{suffix}"),
+            F.bool_and(F.col("val").between(low, high)).alias(f"ok{suffix}"),
+            F.count(F.when(F.col("output") == "f", 1)).cast("int").alias(f"f{suffix}"),
+            F.count(F.when(F.col("output") == "i", 1)).cast("int").alias(f"i{suffix}"),
+        )
+
+    both = rows.join(digests(3, "1"), "vec_id").join(digests(7, "2"), "vec_id")
+    return both.select(
+        "vec_id", "label", r(F.col("given")).alias("given"), (F.col("d1") == F.col("d2")).alias("repeats"),
+        (F.col("ok1") & F.col("ok2")).alias("in_range"), F.col("f1").alias("n_float"), F.col("i2").alias("n_int"),
     )

@@ -30,15 +30,15 @@ def local_session(app: str = "framewise", cores: int | str = "*", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own.
+    Where the session does not name one, the checkpoint folder of its context is taken, and only a
+    local master may get one of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="framewise-")
-        spark.conf.set("spark.checkpoint.dir", named)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
