@@ -51,16 +51,37 @@ def _sort_value(df: DataFrame, spec: str) -> Column | None:
     return -value if spec.startswith("-") else value
 
 
-def _below(bounds: Column, value: Column, n: int, inclusive: bool) -> Column:
-    """How many of the sorted ``bounds`` lie below ``value``: coarse steps, then fine."""
-    step = max(1, int(n**0.5))
+CASES = 1024  # bounds that are compared by code; more are looked up in an array
 
-    def under(b: Column) -> Column:
-        return b <= value if inclusive else b < value
 
-    coarse = F.size(F.filter(bounds, lambda b, i: (i % step == 0) & under(b)))
-    start = F.greatest((coarse - 1) * step, F.lit(0))
-    return start + F.size(F.filter(F.slice(bounds, start + 1, step), under))
+def _literal(value: float | int) -> str:
+    if isinstance(value, int):
+        return f"{value}L"
+    return f"{value!r}D" if np.isfinite(value) else f"double('{value}')"
+
+
+def _below(bounds: list[float | int], name: str, inclusive: bool) -> Column:
+    """How many of the sorted ``bounds`` lie below column ``name``, by halving."""
+    sign = "<=" if inclusive else "<"
+    if len(bounds) > CASES:
+        array = F.array(*map(F.lit, bounds))
+        step = int(len(bounds) ** 0.5)
+
+        def under(b: Column) -> Column:
+            return b <= F.col(name) if inclusive else b < F.col(name)
+
+        coarse = F.size(F.filter(array, lambda b, i: (i % step == 0) & under(b)))
+        start = F.greatest((coarse - 1) * step, F.lit(0))
+        return start + F.size(F.filter(F.slice(array, start + 1, step), under))
+
+    def count(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        test = f"{_literal(bounds[middle])} {sign} {name}"
+        return f"CASE WHEN {test} THEN {count(middle + 1, high)} ELSE {count(low, middle)} END"
+
+    return F.expr(count(0, len(bounds)))
 
 
 def with_buckets(
@@ -83,25 +104,21 @@ def with_buckets(
         ranges = df.repartitionByRange(n, *order_columns(order))
         return cut_lineage(ranges.withColumn(name, F.spark_partition_id().cast("long")))
     cuts = [i / n for i in range(1, n)]
-    bounds = df.agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(first, cuts))).alias("_b1"),
-        (
-            F.array_sort(F.array_distinct(F.percentile_approx(second, cuts)))
-            if second is not None
-            else F.lit(None)
-        ).alias("_b2"),
-    )
-    # bounds is one row of at most 2 n numbers
-    out = df.join(F.broadcast(bounds))
-    hot = F.array_contains("_b1", first)
-    rank = _below(F.col("_b1"), first, n, False) * 2 + hot.cast("int")
+    values = [v for v in (first, second) if v is not None]
+    # at most 2 n numbers; read once, not once for each use of the result
+    found = df.agg(*(F.sort_array(F.array_distinct(F.percentile_approx(v, cuts))) for v in values)).first()
+    bounds = [list(b or []) for b in found]
+    out = df.withColumns({f"_v{i}": v for i, v in enumerate(values)})
+    hot = F.col("_v0").isin(bounds[0]) if bounds[0] else F.lit(False)
+    rank = _below(bounds[0], "_v0", False) * 2 + hot.cast("int")
     inner = F.lit(0)
     if second is not None:
-        inner = F.when(hot, _below(F.col("_b2"), second, n, True)).otherwise(F.lit(0))
+        inner = F.when(hot, _below(bounds[1], "_v1", True)).otherwise(F.lit(0))
     number = rank.cast("long") * (n + 1) + inner
     # NULL sorts first when ascending and last when descending
     missing = (1 << 62) if order[0].startswith("-") else -1
-    return out.withColumn(name, F.coalesce(number, F.lit(missing).cast("long"))).drop("_b1", "_b2")
+    number = F.when(F.col("_v0").isNotNull(), number).otherwise(F.lit(missing).cast("long"))
+    return out.withColumn(name, number).drop("_v0", "_v1")
 
 
 def running(
