@@ -23,24 +23,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.words import SPACE_CHARS, SPACE_RUN
+from framewise.llm.words import SPACE_CHARS, SPACE_RUN, WORD
 from framewise.session import cut_lineage
 
 DEPTH = 4
 FIELD = "<*>"
 SHORT = 3  # tokens
+WITH_DIGIT = WORD[:-1] + "*[0-9]" + WORD[:-1] + "*"
 BROADCAST_ROWS = 1_000_000  # of at most three numbers
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
     """``lines`` (a column ``_line``) with ``tokens``, variable fields masked."""
     given = [c for c in lines.columns if c != "_line"]
-    rows = lines.withColumn("_line", F.btrim("_line", F.lit(SPACE_CHARS))).select(
-        *given, F.rlike("_line", F.lit("[0-9]")).alias("_digits"), F.split("_line", SPACE_RUN).alias("_raw")
+    line = F.btrim("_line", F.lit(SPACE_CHARS))
+    rows = lines.select(*given, line.alias("_line")).select(
+        *given, F.split("_line", SPACE_RUN).alias("_raw"),
+        # cut again only where a digit was seen
+        F.when(F.rlike("_line", F.lit("[0-9]")), F.regexp_replace("_line", WITH_DIGIT, FIELD)).alias("_masked"),
     )
-    masked = F.transform("_raw", lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.lit(FIELD)).otherwise(t))
-    variable = F.col("_digits") & (F.size("_raw") >= SHORT)
-    return rows.select(*given, F.when(variable, masked).otherwise(F.col("_raw")).alias("tokens"))
+    variable = F.col("_masked").isNotNull() & (F.size("_raw") >= SHORT)
+    return rows.select(*given, F.when(variable, F.split("_masked", SPACE_RUN)).otherwise(F.col("_raw")).alias("tokens"))
 
 
 def _lines(df: DataFrame, key: str, text: str, min_tokens: int, depth: int) -> DataFrame:
@@ -73,12 +76,13 @@ def leaf_templates(df: DataFrame, slim: DataFrame, text: str, similar: float) ->
     Only lines that share a leaf with another line are looked at again: one holder of each is
     picked, and only the picked lines are cut into tokens and counted.
     """
-    found = slim.groupBy("line").agg(
+    # plain numbers, which are added up without sorting; a line stands alike in all places of one text
+    found = slim.filter(F.col("leaf").isNotNull()).groupBy("line").agg(
         F.first("leaf").alias("leaf"), F.first("leaf2").alias("leaf2"), F.count(F.lit(1)).alias("docs"),
-        F.min(F.struct("_row", "_at")).alias("_from"),
+        F.min("_row").alias("_row"), F.min_by("_at", "_row").alias("_at"),
     )
     found = cut_lineage(
-        found.select("line", "docs", "_from", F.explode(F.array_compact(F.array("leaf", "leaf2"))).alias("leaf"))
+        found.select("line", "docs", F.struct("_row", "_at").alias("_from"), F.explode(F.array_compact(F.array("leaf", "leaf2"))).alias("leaf"))
     )
     busy = cut_lineage(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"))
     members = cut_lineage(_joined(found, busy, ["leaf"]))
@@ -106,26 +110,46 @@ def recurring_lines(
     depth: int = DEPTH, similar: float = 0.8,
 ) -> DataFrame:
     """(``_key``, ``_row``, ``_drop``): per document the places (from 0) of the lines to drop."""
-    holder = F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")
-    slim = cut_lineage(_lines(df, key, text, min_tokens, depth).distinct())
+    # keys are counted first: where each names one row, rows need no shuffle to be told apart
+    counted = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    unique = counted.filter(F.col("k").isNull() | (F.col("n") > 1)).isEmpty()
+    slim = _lines(df, key, text, min_tokens, depth)
+    slim = cut_lineage(slim if unique else slim.distinct())
     follows = leaf_templates(df, slim, text, similar)
-    own = F.array("line")
-    parsed = slim.join(follows, "line", "left").select(
+    # lines without a leaf are their own template only, and need no look at the leaves
+    short = slim.filter(F.col("leaf").isNull()).select("_key", "_row", "_at", F.col("line").alias("template"))
+    long = slim.filter(F.col("leaf").isNotNull()).join(follows, "line", "left").select(
         "_key", "_row", "_at",
-        F.explode(F.when(F.col("templates").isNull(), own).otherwise(F.concat(own, "templates"))).alias("template"),
+        F.explode(F.when(F.col("templates").isNull(), F.array("line")).otherwise(F.concat(F.array("line"), "templates"))).alias("template"),
     )
+    parsed = short.unionByName(long)
     # a written table, so that AQE can split the lines of a very common template in the join
-    stats = cut_lineage(
-        parsed.groupBy("template", "_key", "_row").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(holder).alias("first"))
-        .filter(F.col("docs") >= min_docs).select("template", "first")
-    )
+    stats = cut_lineage(_recurring(parsed, min_docs, unique))
+    holder = F.col("_key").eqNullSafe(F.col("_first")) & (F.col("_row") == F.col("_first_row"))
     return (
-        parsed.join(stats, "template").filter(holder != F.col("first"))
+        parsed.join(stats, "template").filter(~holder)
         .groupBy("_key", "_row").agg(F.collect_set("_at").alias("_drop"))
     )
 
 
+def _recurring(parsed: DataFrame, min_docs: int, unique: bool) -> DataFrame:
+    """(template, ``_first``, ``_first_row``): templates of ``min_docs`` documents and their first holder.
+
+    Where every row has a key of its own, a template with a smallest and another largest key is in
+    two documents; they need not be listed.
+    """
+    if min_docs == 2 and unique:
+        ends = parsed.groupBy("template").agg(
+            F.min("_key").alias("_first"), F.max("_key").alias("last"), F.min_by("_row", "_key").alias("_first_row")
+        )
+        return ends.filter(F.col("_first") != F.col("last")).drop("last")
+    order = F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")
+    docs = parsed.groupBy("template", "_key", "_row").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(order).alias("f"))
+    found = found.filter(F.col("docs") >= min_docs)
+    return found.select("template", F.col("f._key").alias("_first"), F.col("f._row").alias("_first_row"))
+
+
 def without_recurring_lines(
     df: DataFrame, key: str = "doc_id", text: str = "text", min_left: float = 0.0, drop_emptied: bool = False,
     **how: float,
