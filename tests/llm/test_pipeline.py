@@ -91,6 +91,27 @@ def test_near_duplicates_stage_finds_scattered_edits(spark):
     assert {r.doc_id for r in pipeline.near_duplicates(spark, df, "").collect()} == want
 
 
+def test_near_duplicates_stage_keeps_all_links_of_a_crowd(spark):
+    """Pairs at 0.84 that all share one long passage, other pairs just below 0.8."""
+    rnd = random.Random(3)
+    passage = [f"p{rnd.randrange(10**6)}" for _ in range(270)]
+    docs = []
+    for i in range(150):
+        own = [f"w{rnd.randrange(10**7)}" for _ in range(36)]
+        docs.append((2 * i, " ".join(passage + own)))
+        at = rnd.sample(range(30, 240, 12), 5)
+        words = list(passage)
+        for j in at:
+            words[j] = f"e{rnd.randrange(10**7)}"
+        docs.append((2 * i + 1, " ".join(words + own)))
+    sets = {k: shingles(t) for k, t in docs}
+    cross = [len(sets[0] & sets[k]) / len(sets[0] | sets[k]) for k in range(2, 300)]
+    pair = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(150)]
+    assert max(cross) < 0.8 <= min(pair)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, df, "").collect()) == survivors(dict(docs))
+
+
 def test_run_and_nulls(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, None, None, None, None), (5, "", None, None, 0)], docs.schema)
