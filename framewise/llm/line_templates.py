@@ -23,21 +23,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.words import SPACE_CHARS, SPACE_RUN, WORD
+from framewise.llm.words import SPACE_CHARS, SPACE_RUN
 from framewise.session import cut_lineage
 
 DEPTH = 4
 FIELD = "<*>"
 SHORT = 3  # tokens
-WITH_DIGIT = WORD[:-1] + "*[0-9]" + WORD[:-1] + "*"
+# a token with a digit, from its first character on and without looking back into it
+WITH_DIGIT = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
 BROADCAST_ROWS = 1_000_000  # of at most three numbers
 
 
+def _trimmed_lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)))
+
+
 def _tokens(lines: DataFrame) -> DataFrame:
-    """``lines`` (a column ``_line``) with ``tokens``, variable fields masked."""
+    """``lines`` (a column ``_line``, trimmed) with ``tokens``, variable fields masked."""
     given = [c for c in lines.columns if c != "_line"]
-    line = F.btrim("_line", F.lit(SPACE_CHARS))
-    rows = lines.select(*given, line.alias("_line")).select(
+    rows = lines.select(
         *given, F.split("_line", SPACE_RUN).alias("_raw"),
         # cut again only where a digit was seen
         F.when(F.rlike("_line", F.lit("[0-9]")), F.regexp_replace("_line", WITH_DIGIT, FIELD)).alias("_masked"),
@@ -54,9 +58,11 @@ def _lines(df: DataFrame, key: str, text: str, min_tokens: int, depth: int) -> D
     """
     rows = df.select(
         F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_row"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line"),
+        F.posexplode(_trimmed_lines(F.col(text))).alias("_at", "_line"),
     )
-    rows = _tokens(rows).filter((F.size("tokens") >= min_tokens) & (F.get("tokens", 0) != ""))
+    # a filter on the tokens would cut every line again
+    rows = _tokens(rows.filter("_line <> ''"))
+    rows = rows.filter(F.size("tokens") >= min_tokens) if min_tokens > 1 else rows
     n = F.size("tokens")
     second = F.when(n > 2 * depth, F.xxhash64(F.lit(FIELD), n, F.slice("tokens", depth + 1, depth)))
     return rows.select(
@@ -88,7 +94,7 @@ def leaf_templates(df: DataFrame, slim: DataFrame, text: str, similar: float) ->
     members = cut_lineage(_joined(found, busy, ["leaf"]))
     picked = cut_lineage(members.select("_from._row", "_from._at", "line").distinct())
     holders = cut_lineage(picked.select("_row").distinct())
-    texts = df.select(F.xxhash64(F.col(text)).alias("_row"), F.split(F.col(text), "\n").alias("_lines"))
+    texts = df.select(F.xxhash64(F.col(text)).alias("_row"), _trimmed_lines(F.col(text)).alias("_lines"))
     lines = _joined(texts, holders, ["_row"], "left_semi").select("_row", F.posexplode("_lines").alias("_at", "_line"))
     lines = _tokens(_joined(lines, picked, ["_row", "_at"]).select("line", "_line"))
     # texts that occur several times give their lines as often
