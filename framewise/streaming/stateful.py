@@ -74,8 +74,8 @@ def with_latest(
 def throttle_stream(stream: DataFrame, key: str, ts: str, row_id: str, spacing: float) -> DataFrame:
     """At most one row per key within ``spacing`` seconds of the last kept row.
 
-    Rows older than the last kept one are dropped, as the batch operator would not
-    have kept both.
+    Rows that come in a later micro-batch than a newer kept row are dropped; the batch
+    operator keeps those that lie more than ``spacing`` before it.
     """
     gap = int(round(spacing * 1_000_000))
     rows = stream.select(
