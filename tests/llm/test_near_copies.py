@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framewise.llm import line_templates, queries, simhash_anchors
+from framewise.llm import line_templates, near_copies, queries, simhash_anchors
 
 
 def brute_fingerprint(text):
@@ -96,11 +96,11 @@ def test_components_of_documents(spark):
         if known:
             least[root[v]] = min([least.get(root[v], 10**9), *known])
     assert all(r.component_id == least[root[int(r.fingerprint, 16)]] for r in got)
-    kept = simhash_anchors.keep_one(df)
+    kept = near_copies.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
     assert simhash_anchors.near_duplicates(df.limit(0)).count() == 0
-    assert simhash_anchors.keep_one(df.limit(0)).count() == 0
+    assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
 def brute_lines(docs, similar=0.8, depth=4, least=3):
