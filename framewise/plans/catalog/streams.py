@@ -25,9 +25,9 @@ def live(t: Tables, df: DataFrame, name: str, files: int = 4) -> DataFrame:
     return topics.stream_topic(t.spark, feed(t, df, name, files), df.schema)
 
 
-def by_time(t: Tables, df: DataFrame, slices: int = 4) -> DataFrame:
+def by_time(t: Tables, df: DataFrame, slices: int = 4, close_after: float | None = None) -> DataFrame:
     """``df`` as a stream in event-time order, several micro-batches long."""
-    return topics.replay_stream(t.spark, df, slices=slices).withColumn("ts", F.col("ts").cast("timestamp"))
+    return topics.replay_stream(t.spark, df, slices=slices, close_after=close_after).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def events(t: Tables, name: str) -> DataFrame:
@@ -101,12 +101,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("t4_track_stream")
 def _(t: Tables) -> DataFrame:
+    # frame numbers are the clock
     det = t.v_det.select((F.col("frame") % 16).alias("camera"), "frame", "det_id", *Box._fields)
-    # frame numbers are the clock; a frame stays in one file, so in one micro-batch
-    path = scratch_path(t.spark, "track")
-    det.repartitionByRange(4, "frame").write.parquet(path)
-    stream = t.spark.readStream.schema(det.schema).parquet(path)
-    out = topics.drain(stateful.track(stream, "camera", "frame", "det_id", min_iou=0.1), "t4")
+    det = det.withColumn("ts", F.timestamp_seconds("frame"))
+    stream = topics.replay_stream(t.spark, det, slices=4, close_after=60.0)
+    out = topics.drain(stateful.track(stream, "camera", "frame", "det_id", min_iou=0.1, ts="ts"), "t4")
     return out.select("key", "frame", "det_id", "track", "age")
 
 
@@ -183,5 +182,5 @@ def _(t: Tables) -> DataFrame:
     ("v_events",),
 )
 def _(t: Tables) -> DataFrame:
-    out = stateful.throttle_stream(by_time(t, t.v_events), "user_id", "ts", "event_id", 14400.0)
+    out = stateful.throttle_stream(by_time(t, t.v_events, close_after=60.0), "user_id", "ts", "event_id", 14400.0)
     return topics.drain(out, "throttle").select(F.col("id").alias("event_id"))

@@ -1,8 +1,11 @@
 """Operators that carry a small state per key from row to row.
 
-The state is one row, one stamp or the persons of one frame. The rows of a
-micro-batch are put in event-time order before they meet the state, so what a task
-holds is bounded by the batch size the source is given.
+The state is one row, one stamp or the persons of one frame. Throttling and tracking hold
+rows back until the watermark has passed them and then decide in event-time order, so that
+their results do not depend on how the stream is cut into micro-batches; a key without new
+rows is woken by an event-time timer. Rows behind the watermark are dropped and counted by
+the engine (``numRowsDroppedByWatermark`` of the query's progress). What a key holds back is
+bounded by its rows within the watermark's delay.
 """
 
 from __future__ import annotations
@@ -71,29 +74,54 @@ def with_latest(
     )
 
 
-def throttle_stream(stream: DataFrame, key: str, ts: str, row_id: str, spacing: float) -> DataFrame:
+def _waiting(pdfs: Iterator[pd.DataFrame], columns: list[str], kept: tuple) -> pd.DataFrame:
+    """The rows held back in the state, one array per column, and the new ones; rows with a
+    missing value only move the watermark."""
+    held = pd.DataFrame(dict(zip(columns, kept, strict=True)), columns=columns)
+    parts = [held, *(p[columns] for p in pdfs if len(p))]
+    return pd.concat([p for p in parts if len(p)] or [held], ignore_index=True).dropna()
+
+
+def _wake(state: GroupState, left: pd.Series) -> None:
+    """A timer for the first row (us) that is still held back."""
+    if len(left):
+        state.setTimeoutTimestamp(-(-int(left.min()) // 1000))
+
+
+def throttle_stream(
+    stream: DataFrame, key: str, ts: str, row_id: str, spacing: float, watermark: str = "10 seconds"
+) -> DataFrame:
     """At most one row per key within ``spacing`` seconds of the last kept row.
 
-    Rows that come in a later micro-batch than a newer kept row are dropped; the batch
-    operator keeps those that lie more than ``spacing`` before it.
+    Rows are decided in order of (ts, row_id) once the watermark has passed them, which gives
+    the rows of the batch operator, whatever the order within the delay. The last rows of a
+    stream wait for a later row of any key, or for `closed`. Rows without stamp or id give none.
     """
     gap = int(round(spacing * 1_000_000))
-    rows = stream.select(
-        F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("us"), F.col(row_id).alias("id")
+    names = ["us", "id"]
+    marked = stream.withWatermark(ts, watermark)
+    rows = marked.select(
+        F.col(key).cast("long").alias("key"), F.col(row_id).cast("long").alias("id"), F.unix_micros(ts).alias("us"), ts
     )
 
     def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        part = _ordered(pdfs, ["us", "id"])
-        keep = np.zeros(len(part), dtype=bool)
-        for i, us in enumerate(part["us"]):
+        last, *kept = state.get if state.exists else (None, [], [])
+        part = _waiting(pdfs, names, tuple(kept)).astype("int64").sort_values(names, ignore_index=True)
+        final = part["us"] <= state.getCurrentWatermarkMs() * 1000
+        now, left = part[final], part[~final]
+        keep = np.zeros(len(now), dtype=bool)
+        for i, us in enumerate(now["us"]):
             if last is None or us - last > gap:
                 keep[i], last = True, int(us)
-        state.update((last,))
-        yield part[keep][["key", "us", "id"]]
+        if last is not None or len(left):
+            state.update((last, left["us"].tolist(), left["id"].tolist()))
+        _wake(state, left["us"])
+        out = now[keep].assign(key=k[0]).astype({"key": "Int64"})
+        yield out[["key", *names]]
 
     return rows.groupBy("key").applyInPandasWithState(
-        step, "key long, us long, id long", "us long", "append", GroupStateTimeout.NoTimeout
+        step, "key long, us long, id long", "last long, us array<long>, id array<long>", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -119,59 +147,79 @@ def _iou_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def track(
     stream: DataFrame, key: str, frame: str, det_id: str, min_iou: float = 0.0,
-    grow: float = 1.25,
+    grow: float = 1.25, ts: str | None = None, watermark: str = "10 seconds", patience: int = 0,
 ) -> DataFrame:
     """Persons carried from frame to frame: matched ones keep their track number.
 
-    The persons of a frame are matched to those of the frame before at least cost
-    1 - IoU, the earlier boxes enlarged by ``grow``; pairs with IoU <= ``min_iou`` do
-    not count. New persons get new numbers, lost ones are dropped. Rows in are
-    (key, frame, det_id, box), with all rows of a frame in one micro-batch; rows out
-    key, frame, det_id, track, age (frames the track has lived).
+    A frame is closed when the watermark passes it: rows of one frame may come in several
+    micro-batches, and frames in any order within the delay. All rows of a frame carry its
+    stamp ``ts``; without one the frame numbers are the seconds of the clock.
+
+    The persons of a frame are matched to the known ones at least cost 1 - IoU, the earlier
+    boxes enlarged by ``grow``; pairs with IoU <= ``min_iou`` do not count. New persons get new
+    numbers; a person without a match is known for ``patience`` further frames of its camera.
+    Rows in are (key, frame, det_id, box); rows out key, frame, det_id, track, age (frames in
+    which the track was seen). The last frames wait for a later one of any camera, or for
+    `closed`. Rows with a missing value give none.
     """
     box = ["xmin", "ymin", "xmax", "ymax"]
-    rows = stream.select(
+    names = ["us", "frame", "det_id", *box]
+    if ts is None:
+        ts = "_ts"
+        stream = stream.withColumn(ts, F.timestamp_seconds(F.col(frame).cast("long")))
+    rows = stream.withWatermark(ts, watermark).select(
         F.col(key).cast("long").alias("key"), F.col(frame).cast("long").alias("frame"),
-        F.col(det_id).alias("det_id"), *box,
+        F.col(det_id).cast("long").alias("det_id"), *(F.col(c).cast("double").alias(c) for c in box),
+        F.unix_micros(ts).alias("us"), ts,
     )
     k = (grow - 1.0) / 2.0
 
     def step(name, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else (0, [], [], [])
-        following, ids, ages, flat = old[0], list(old[1]), list(old[2]), list(old[3])
-        part = _ordered(pdfs, ["frame", "det_id"])
-        frames = part["frame"].to_numpy()
-        boxes = part[box].to_numpy(dtype=float)
-        tracks, lived = np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(part) else []
-        for a, b in zip(starts, np.r_[starts[1:], len(part)].astype(int) if len(part) else []):
+        old = state.get if state.exists else (0, *([] for _ in range(4 + len(names))))
+        following, ids, ages, missed, flat = old[0], *(list(v) for v in old[1:5])
+        part = _waiting(pdfs, names, tuple(old[5:]))
+        part = part.astype({"us": "int64", "frame": "int64", "det_id": "int64"})
+        part = part.sort_values(["us", "frame", "det_id"], ignore_index=True)
+        final = part["us"] <= state.getCurrentWatermarkMs() * 1000
+        done, left = part[final], part[~final]
+        frames = done["frame"].to_numpy()
+        boxes = done[box].to_numpy(dtype=float)
+        tracks, lived = np.zeros(len(done), dtype=np.int64), np.zeros(len(done), dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(done) else []
+        for a, b in zip(starts, np.r_[starts[1:], len(done)].astype(int) if len(done) else []):
             now = boxes[a:b]
             taken = np.full(b - a, -1)
+            before = np.array(flat, dtype=float).reshape(-1, 4)
             if ids:
-                before = np.array(flat).reshape(-1, 4)
                 reach = np.tile((before[:, 2:] - before[:, :2]) * k, 2) * np.array([-1, -1, 1, 1])
                 gain = _iou_table(before + reach, now)
                 for i, j in best_matching(gain):
                     if gain[i, j] > min_iou:
                         taken[j] = i
-            new_ids, new_ages = [], []
             for j in range(b - a):
                 if taken[j] >= 0:
-                    new_ids.append(ids[taken[j]])
-                    new_ages.append(ages[taken[j]] + 1)
+                    tracks[a + j], lived[a + j] = ids[taken[j]], ages[taken[j]] + 1
                 else:
-                    new_ids.append(following)
-                    new_ages.append(1)
+                    tracks[a + j], lived[a + j] = following, 1
                     following += 1
-            tracks[a:b], lived[a:b] = new_ids, new_ages
-            ids, ages, flat = new_ids, new_ages, now.ravel().tolist()
-        state.update((following, ids, ages, flat))
-        yield part[["key", "frame", "det_id"]].assign(track=tracks, age=lived)
+            seen = set(taken.tolist())
+            lost = [i for i in range(len(ids)) if i not in seen and missed[i] < patience]
+            missed = [0] * (b - a) + [missed[i] + 1 for i in lost]
+            ids = tracks[a:b].tolist() + [ids[i] for i in lost]
+            ages = lived[a:b].tolist() + [ages[i] for i in lost]
+            flat = np.concatenate([now, before[lost]]).ravel().tolist()
+        if ids or len(left):
+            state.update((following, ids, ages, missed, flat, *(left[c].tolist() for c in names)))
+        _wake(state, left["us"])
+        out = done[["frame", "det_id"]].assign(key=name[0], track=tracks, age=lived).astype({"key": "Int64"})
+        yield out[["key", "frame", "det_id", "track", "age"]]
 
     return rows.groupBy("key").applyInPandasWithState(
         step, "key long, frame long, det_id long, track long, age long",
-        "following long, ids array<long>, ages array<long>, boxes array<double>", "append",
-        GroupStateTimeout.NoTimeout,
+        "following long, ids array<long>, ages array<long>, missed array<long>, boxes array<double>, "
+        "us array<long>, frame array<long>, det_id array<long>, "
+        + ", ".join(f"{c} array<double>" for c in box),
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -61,10 +61,12 @@ def drain_batches(
 
 def replay_stream(
     spark: SparkSession, log: DataFrame, ts: str = "ts", slices: int = 8, every: float | None = None,
-    rows_per_file: int = 1_000_000,
+    rows_per_file: int = 1_000_000, close_after: float | None = None,
 ) -> DataFrame:
     """A recorded log fed in bounded batches in event-time order.
 
+    With ``close_after`` a last slice holds the one row of `closed`, that many seconds after the log.
+
     The log is cut into ``slices`` time ranges of about equal size, or at all multiples of
     ``every`` seconds. Each is written on its own, so that the file source, which goes by
     modification time, takes them oldest first. Every slice has the same number of files,
@@ -94,10 +96,25 @@ def replay_stream(
         part = log if low is None else log.filter(F.col(ts) >= stamp(low))
         part = part if high is None else part.filter(F.col(ts) < stamp(high))
         part.repartition(files_per_batch).write.parquet(f"{path}/slice-{n:05d}")
+    if close_after is not None:
+        closed(log, ts, close_after).write.parquet(f"{path}/slice-{len(edges):05d}")
     reader = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(f"{path}/slice-*")
 
 
+def closed(log: DataFrame, ts: str, after: float) -> DataFrame:
+    """One row that ends a recorded log: a stamp ``after`` seconds past its last one, all else NULL.
+
+    It moves the watermark past all rows, so that operators which hold rows back give them out.
+    """
+    zone = log.schema[ts].dataType
+    end = log.agg((F.max(F.col(ts).cast("timestamp")) + F.make_dt_interval(secs=F.lit(float(after)))).alias("_end"))
+    return end.select(
+        *((F.col("_end") if f.name == ts else F.lit(None)).cast(zone if f.name == ts else f.dataType).alias(f.name)
+          for f in log.schema.fields)
+    )
+
+
 def latest_only(batch: DataFrame, key: Sequence[str], ts: str, tie: str) -> DataFrame:
     """Of the waiting messages of a micro-batch only the newest per key."""
     return topk(batch, list(key), [f"-{ts}", f"-{tie}"], 1)
