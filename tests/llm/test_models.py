@@ -192,6 +192,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.scored(df, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_reads_words_without_blanks_to_their_end(spark):
+    rows = toxic_rows()
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, F.lit(False))
+    toxic = max((t for _, t, q in rows if q == 1), key=model.score)
+    marker = max(toxic.split(), key=model.score)
+    assert model.score(marker) >= toxicity.CUT
+    filler = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(35_000))
+    assert len(filler.encode()) > 100_000 and model.score(filler) < toxicity.CUT
+    for size in (50, 300, 1000, 35_000):
+        assert model.score(filler[:size] + f" {marker}" * 3) >= toxicity.CUT
+    # a window keeps its end: six words, the last of them the marker
+    long = " ".join([filler[i : i + 200] for i in range(0, 1000, 200)] + [marker])
+    assert max(model.gains(long)) >= model.window_cut
+    for n in (0, 1, 192, 193, 377, 378, 5000):
+        window = bytes(random.Random(n).randrange(256) for _ in range(n))
+        parts = list(toxicity.pieces(window))
+        assert max(map(len, parts)) <= toxicity.MOST_BYTES
+        assert all(any(window[i : i + 8] in p for p in parts) for i in range(n - 7))
+
+
 def test_toxicity_recall_of_each_language(spark):
     # languages whose markers stand in ordinary texts too, where only their share tells
     folder = "/root/testdata/sf0.1"
