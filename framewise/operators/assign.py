@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import boxes as B
@@ -56,32 +57,99 @@ def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(c, r) for r, c in pairs] if flipped else pairs
 
 
+def sparse_matching(gains: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """Pairs of a matching of largest total gain, among the given ones only.
+
+    Shortest augmenting paths over adjacency lists: memory is linear in the pairs, and a
+    path visits only what it needs to. A row may stay alone, at a column of its own.
+    """
+    rows = 1 + max(i for i, _ in gains)
+    near: list[list[tuple[int, float]]] = [[(-1 - i, 0.0)] for i in range(rows)]
+    for (i, j), g in gains.items():
+        near[i].append((j, -g))
+    u, v = [0.0] * rows, {}
+    row_of: dict[int, int] = {}
+    col_of: dict[int, int] = {}
+    for start in range(rows):
+        dist, via, closed = {}, {}, set()
+        heap: list[tuple[float, int]] = []
+        row, base, visited = start, 0.0, [start]
+        while True:
+            for col, cost in near[row]:
+                reach = base + cost - u[row] - v.get(col, 0.0)
+                if col not in closed and reach < dist.get(col, np.inf):
+                    dist[col], via[col] = reach, row
+                    heapq.heappush(heap, (reach, col))
+            base, col = heapq.heappop(heap)
+            while col in closed:
+                base, col = heapq.heappop(heap)
+            closed.add(col)
+            if col not in row_of:
+                break
+            row = row_of[col]
+            visited.append(row)
+        for r in visited[1:]:
+            u[r] += base - dist[col_of[r]]
+        u[start] += base
+        for c in closed:
+            v[c] = v.get(c, 0.0) - (base - dist[c])
+        row = -1
+        while row != start:
+            row = via[col]
+            row_of[col] = row
+            col, col_of[row] = col_of.get(row, col), col
+    return [(i, j) for i, j in col_of.items() if j >= 0]
+
+
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    a_names, ai = np.unique(pdf["_a"].to_numpy(), return_inverse=True)
-    b_names, bi = np.unique(pdf["_b"].to_numpy(), return_inverse=True)
-    value = pdf["_gain"].to_numpy()
-    gain = np.zeros((len(a_names), len(b_names)))
-    gain[ai, bi] = value
-    chosen = np.zeros(gain.shape, dtype=bool)
-    for i, j in best_matching(gain):
-        chosen[i, j] = gain[i, j] > 0
-    return pdf[chosen[ai, bi]]
-
-
-def solve_pairs(pairs: DataFrame, on: Sequence[str], limit: int = 64) -> DataFrame:
+    ai, bi = (pd.factorize(pdf[c], sort=True)[0].tolist() for c in ("_a", "_b"))
+    chosen = set(sparse_matching(dict(zip(zip(ai, bi), pdf["_gain"].tolist(), strict=True))))
+    return pdf[[p in chosen for p in zip(ai, bi)]]
+
+
+def settle(pairs: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs that are in every best matching, pairs that are left to decide).
+
+    A pair whose gain exceeds the best other gains of its two ends together is taken: whatever
+    two pairs a matching has instead of it gain less. Pairs at the ends of a taken one go.
+    """
+    by_gain = [F.desc("_gain"), "_a", "_b"]
+    marked = pairs
+    for side in ("_a", "_b"):
+        best = Window.partitionBy(*on, side).orderBy(*by_gain)
+        marked = marked.withColumns({
+            f"_first{side}": F.row_number().over(best) == 1,
+            f"_next{side}": F.lead("_gain", 1, 0.0).over(best),
+        })
+    sure = F.col("_first_a") & F.col("_first_b") & (F.col("_gain") > F.col("_next_a") + F.col("_next_b"))
+    marked = marked.withColumn("_sure", sure)
+    for side in ("_a", "_b"):
+        marked = marked.withColumn(f"_gone{side}", F.max("_sure").over(Window.partitionBy(*on, side)))
+    out = cut_lineage(marked.filter(F.col("_sure") | ~(F.col("_gone_a") | F.col("_gone_b"))).select(*pairs.columns, "_sure"))
+    return out.filter("_sure").drop("_sure"), out.filter("NOT _sure").drop("_sure")
+
+
+def solve_pairs(pairs: DataFrame, on: Sequence[str], limit: int = 64, shrink: float = 0.1) -> DataFrame:
     """Matching of largest total ``_gain`` (> 0) among candidate pairs ``_a``, ``_b``.
 
-    A pair whose two ends have no other candidate is matched as it is. The rest
+    Pairs that no best matching lacks are taken by joins, in rounds as long as a round takes
+    away ``shrink`` of the open pairs. The rest
     falls into the connected parts of each group's candidate graph, which are
     independent problems; groups with more than ``limit`` open pairs are cut into
     these parts, smaller ones are solved as they come.
     """
-    by_a = pairs.groupBy(*on, "_a").agg(F.count(F.lit(1)).alias("_da"))
-    by_b = pairs.groupBy(*on, "_b").agg(F.count(F.lit(1)).alias("_db"))
-    graded = cut_lineage(join_on(join_on(pairs, by_a, [*on, "_a"]), by_b, [*on, "_b"]))
-    alone = (F.col("_da") == 1) & (F.col("_db") == 1)
-    plain = graded.filter(alone).drop("_da", "_db")
-    open_pairs = graded.filter(~alone).drop("_da", "_db")
+    names = pairs.columns
+    plain: DataFrame | None = None
+    open_pairs, before = pairs, None
+    while True:
+        sure, open_pairs = settle(open_pairs, on)
+        plain = sure if plain is None else plain.unionByName(sure)
+        left = open_pairs.count()
+        if not left:
+            return plain
+        if before is not None and left > (1.0 - shrink) * before:
+            break
+        before = left
 
     sizes = open_pairs.groupBy(*on).agg(F.count(F.lit(1)).alias("_open"))
     sized = join_on(open_pairs, sizes, on)
@@ -98,7 +166,7 @@ def solve_pairs(pairs: DataFrame, on: Sequence[str], limit: int = 64) -> DataFra
         cut = join_on(many.withColumn("_v", F.concat(F.lit("a"), "_a")), part, [*on, "_v"])
         work = few.unionByName(cut.drop("_v"))
     solved = map_groups(work, [*on, "_part"], _solve, work.schema).drop("_part")
-    return plain.unionByName(solved)
+    return plain.unionByName(solved).select(*names)
 
 
 def _pairs(
