@@ -3,8 +3,8 @@
 The model file is parsed as the protobuf it is, and its parts are rebuilt: the normaliser, the
 metaspace marker for blanks, the pieces with their scores (a unigram lattice, or merges in the
 order of scores for a BPE model), and byte fallback for characters without a piece. Batches are
-encoded by the library's threads. Every task compares its first texts with the sentencepiece
-library and fails on a difference, so a model that cannot be rebuilt never gives wrong ids.
+encoded by the library's threads. Every task compares its first ``CHECKED_TEXTS`` texts
+with the sentencepiece library and fails on a difference; a difference in later texts only is not seen.
 
 The model is read on the driver and sent to the tasks (its size is checked); each Python worker
 builds the tokenizer once. Texts go through in slices of bounded length, so memory does not grow
