@@ -103,6 +103,82 @@ def test_components_of_documents(spark):
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
+def brute_kept(texts):
+    """The smallest place of every component of sets with a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = t.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {find(i) for i in range(len(texts))}
+
+
+def test_crowds_without_common_rare_shingles(spark):
+    rnd = random.Random(2)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for at in [*range(10, 22)] * 9 + [*range(27, 34)] * 14 + [*range(45, 47)] * 40 + [60] * 3:
+        words = list(base)
+        words[at] = f"own{len(texts)}"  # one word each: what is rare about a text is in no other
+        texts.append(" ".join(words))
+    for _ in range(40):  # other lengths around the same words
+        start = rnd.randint(0, 30)
+        texts.append(" ".join(base[start : start + rnd.randint(20, 50)] + [f"end{len(texts)}"]))
+    texts += ["", "b0 b1", " ".join(base)]
+    rnd.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == brute_kept(texts)
+
+
+def test_crowd_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 200)  # several blocks of every class
+    rnd = random.Random(5)
+    data = []
+    for i in range(400):
+        own = set(rnd.sample(range(40 if i % 2 else 4000), rnd.choice([0, 1, 4, 5, 20, 25, 30])))
+        data.append((i, sorted(own)))
+    for i in range(400, 440):
+        near = set(data[i - 300][1])
+        data.append((i, sorted(near | {5000 + i} if len(near) > 4 else near)))
+    sets = spark.createDataFrame(data, "set long, own array<long>")
+    crowds = spark.createDataFrame([(i % 2, i) for i, _ in data] + [(7, i) for i in range(90, 130)], "band long, set long")
+    found = spark.createDataFrame([(i, i // 10) for i in range(0, 300)], "set long, _c long")
+    got = [(r.a, r.b) for r in near_copies.crowd_links(crowds, sets, found).collect()]
+    own = {i: set(v) for i, v in data}
+    label = {i: i // 10 if i < 300 else i for i, _ in data}
+
+    def close(a, b):
+        return 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])
+
+    def merged(pairs):
+        parent = {c: c for c in label.values()}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(label[a]), find(label[b])
+            parent[max(a, b)] = min(a, b)
+        return {i: find(c) for i, c in label.items()}
+
+    assert all(close(a, b) and label[a] != label[b] for a, b in got)
+    together = [(a, b) for a in own for b in range(a) if (a % 2 == b % 2) or (90 <= a < 130 and 90 <= b < 130)]
+    assert merged(got) == merged([p for p in together if close(*p)])
+
+
 def brute_lines(docs, similar=0.8, depth=4, least=3):
     """The same rules as plain loops over all lines."""
     parsed = []
