@@ -69,23 +69,32 @@ def train(
 ) -> Chain:
     """Maximise the penalised likelihood of ``labels``; a page is a list of feature lists.
 
-    Full gradients from forward-backward sums over all pages at once, with Adam's step sizes.
+    Full gradients from forward-backward sums over all pages, with Adam's step sizes.
     """
     kept = [(p, y) for p, y in zip(pages, labels, strict=True) if p]
     if not kept:
         return Chain({}, ((0.0, 0.0), (0.0, 0.0)), 0.0)
     names: dict[str, int] = {}
-    length = max(len(p) for p, _ in kept)
-    mask = np.zeros((len(kept), length), bool)
-    truth = np.zeros((len(kept), length))
-    at, slot = [], []
-    for i, (page, y) in enumerate(kept):
-        mask[i, : len(page)] = True
-        truth[i, : len(page)] = y
-        for t, features in enumerate(page):
-            for f in features:
-                at.append(i * length + t)
-                slot.append(names.setdefault(f, len(names)))
+    sized: dict[int, list] = {}  # pages of like length together, so that padding at most doubles them
+    for page in kept:
+        sized.setdefault(len(page[0]).bit_length(), []).append(page)
+    groups, at, slot, truths = [], [], [], []
+    start = 0
+    for group in sized.values():
+        length = max(len(p) for p, _ in group)
+        mask, truth = np.zeros((len(group), length), bool), np.zeros((len(group), length))
+        for i, (page, y) in enumerate(group):
+            mask[i, : len(page)] = True
+            truth[i, : len(page)] = y
+            for t, features in enumerate(page):
+                for f in features:
+                    at.append(start + i * length + t)
+                    slot.append(names.setdefault(f, len(names)))
+        groups.append((slice(start, start + mask.size), mask))
+        truths.append(truth.ravel())
+        start += mask.size
+    truth = np.concatenate(truths)
+    begins = np.concatenate([s.start + np.arange(0, m.size, m.shape[1]) for s, m in groups])
     at_, slot_ = np.asarray(at), np.asarray(slot)
     size = len(names)
     moved = np.zeros((2, 2))
@@ -96,12 +105,16 @@ def train(
     mean, square = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, rounds + 1):
         w, moves, first = x[:size], x[size : size + 4].reshape(2, 2), x[-1]
-        emit = np.bincount(at_, w[slot_], minlength=mask.size).reshape(mask.shape)
-        emit[:, 0] += first
-        _, one, expected = _marginals(emit, mask, moves)
+        emit = np.bincount(at_, w[slot_], minlength=start)
+        emit[begins] += first
+        one, expected = np.empty(start), np.zeros((2, 2))
+        for where, mask in groups:
+            _, p, n = _marginals(emit[where].reshape(mask.shape), mask, moves)
+            one[where] = p.ravel()
+            expected += n
         rest = truth - one
         gradient = np.concatenate(
-            [np.bincount(slot_, rest.ravel()[at_], minlength=size), (moved - expected).ravel(), [rest[:, 0].sum()]]
+            [np.bincount(slot_, rest[at_], minlength=size), (moved - expected).ravel(), [rest[begins].sum()]]
         ) - penalty * x
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2

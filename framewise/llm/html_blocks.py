@@ -23,6 +23,7 @@ CLOSES = {
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]),
 }
+MAIN_TAGS = frozenset("article main".split())
 SCOPES = frozenset("ul ol dl table body html article main aside nav section div".split())
 
 _TOKEN = re.compile(
@@ -33,15 +34,42 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
 
-MOST_PATH = 32  # of a deeper path, as many from either end are kept
+@dataclass(frozen=True, slots=True)
+class Around:
+    """The open tags at a place, however many: which tags and which class and id words are among them.
+
+    ``inner`` and ``inner_names`` count from the innermost main tag on, and are None outside of one.
+    """
+
+    own: str = "none"
+    parent: str = "none"
+    tags: frozenset[str] = frozenset()
+    names: frozenset[str] = frozenset()
+    inner: frozenset[str] | None = None
+    inner_names: frozenset[str] | None = None
+
+    def within(self, tag: str, names: frozenset[str]) -> Around:
+        """The same place inside one more tag; sets that stay the same are shared."""
+
+        def more(old: frozenset[str], new: frozenset[str]) -> frozenset[str]:
+            return old if new <= old else old | new
+
+        one = frozenset([tag])
+        tags, all_names = more(self.tags, one), more(self.names, names)
+        if tag in MAIN_TAGS:
+            return Around(tag, self.own, tags, all_names, one, names)
+        if self.inner is None:
+            return Around(tag, self.own, tags, all_names)
+        return Around(tag, self.own, tags, all_names, more(self.inner, one), more(self.inner_names, names))
+
+
+NOTHING = Around()
 
 
 @dataclass(slots=True)
 class Block:
-    """``path`` holds (tag, class and id words) from the outside in."""
-
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    around: Around
     linked: int  # characters inside links
 
 
@@ -53,39 +81,46 @@ def names_in(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order; white space inside a block is one blank."""
+def blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The blocks of a page in order; white space inside a block is one blank.
+
+    Of the words of class, id and role only those in ``known`` are kept, if given: what a block carries is
+    bounded then, whatever a page nests.
+    """
     out: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    path: list[Around] = []
     parts: list[str] = []
     opened: Counter = Counter()  # spares searching a deep path for tags that are not in it
     linked = unseen = links = at = 0
 
+    def inside(tag: str, attributes: str) -> Around:
+        names = frozenset(names_in(attributes))
+        return (path[-1] if path else NOTHING).within(tag, names if known is None else names & known)
+
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                around = path if len(path) <= 2 * MOST_PATH else path[:MOST_PATH] + path[-MOST_PATH:]
-                out.append(Block(text, tuple(around), min(linked, len(text))))
+                out.append(Block(text, path[-1] if path else NOTHING, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal unseen, links
-        for tag, _ in path[to:]:
-            unseen -= tag in UNSEEN
-            links -= tag == "a"
-            opened[tag] -= 1
+        for node in path[to:]:
+            unseen -= node.own in UNSEEN
+            links -= node.own == "a"
+            opened[node.own] -= 1
         del path[to:]
 
     def find(tags, stop=frozenset()) -> int:
         if not any(opened[t] for t in tags):
             return -1
         for i in range(len(path) - 1, -1, -1):
-            if path[i][0] in tags:
+            if path[i].own in tags:
                 return i
-            if path[i][0] in stop:
+            if path[i].own in stop:
                 break
         return -1
 
@@ -120,13 +155,13 @@ def blocks(html: str) -> list[Block]:
         if tag in RAW:
             end = _ENDS[tag].search(html, at)
             if tag not in UNSEEN:
-                path.append((tag, names_in(m[3])))
+                path.append(inside(tag, m[3]))
                 parts.append(html[at : end.start() if end else len(html)])
                 close()
                 path.pop()
             at = end.end() if end else len(html)
             continue
-        path.append((tag, names_in(m[3])))
+        path.append(inside(tag, m[3]))
         opened[tag] += 1
         unseen += tag in UNSEEN
         links += tag == "a"

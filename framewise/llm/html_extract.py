@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm.crf import Chain, train
-from framewise.llm.html_blocks import Block, blocks
+from framewise.llm.html_blocks import MAIN_TAGS, Around, Block, blocks
 from framewise.llm.labelled import smallest
 
 SAMPLE = 300  # labelled pages of the table
 COMPOSED = 400
-MOST_BLOCKS = 120  # blocks of a labelled page that training looks at
+CHAIN = 512  # blocks; a longer labelled page is several chains in training
 GOLD = "zzgold"
 
 # fixed values: names that web pages commonly give to their parts
@@ -42,27 +42,27 @@ BOILER_NAMES = frozenset(
     "recommended related replies reply respond search share sharing side sidebar signup social sponsor sponsored "
     "subscribe subscription tags toolbar topbar widget widgets alert complementary contentinfo".split()
 )
-MAIN_TAGS = frozenset("article main".split())
 MAIN_NAMES = frozenset("article body content entry main post prose story text".split())
 
 
+def known_names(chain: Chain) -> frozenset[str]:
+    """The class and id words that the model looks at."""
+    return BOILER_NAMES | MAIN_NAMES | {f[5:] for f in chain.weights if f.startswith("name:")}
+
+
 @lru_cache(maxsize=20_000)
-def path_features(path: tuple) -> tuple[str, ...]:
+def path_features(at: Around) -> tuple[str, ...]:
     """What the tags around a block say; only what is inside the innermost article counts as inner."""
-    tags = [t for t, _ in path]
-    inner = max((i for i, t in enumerate(tags) if t in MAIN_TAGS), default=-1)
-    names = {n for _, words in path for n in words if n != GOLD}
-    inner_names = {n for _, words in path[inner:] for n in words if n != GOLD} if inner >= 0 else set()
-    out = [f"own:{tags[-1]}" if tags else "own:none", f"parent:{tags[-2]}" if len(tags) > 1 else "parent:none"]
-    out += [f"in:{t}" for t in set(tags)]
-    out += [f"name:{n}" for n in names]
-    boiler = bool(names & BOILER_NAMES) or any(t in BOILER_TAGS for t in tags)
+    out = [f"own:{at.own}", f"parent:{at.parent}"]
+    out += [f"in:{t}" for t in sorted(at.tags)]
+    out += [f"name:{n}" for n in sorted(at.names) if n != GOLD]
+    boiler = bool(at.names & BOILER_NAMES) or bool(at.tags & BOILER_TAGS)
     if boiler:
         out.append("boiler")
-    if inner >= 0:
-        inside = bool(inner_names & BOILER_NAMES) or any(t in BOILER_TAGS for t in tags[inner:])
+    if at.inner is not None:
+        inside = bool(at.inner_names & BOILER_NAMES) or bool(at.inner & BOILER_TAGS)
         out.append("article:boiler" if inside else "article:clean")
-    elif names & MAIN_NAMES:
+    elif at.names & MAIN_NAMES:
         out.append("main:boiler" if boiler else "main:clean")
     return tuple(out)
 
@@ -84,33 +84,33 @@ def text_features(block: Block, place: int, count: int) -> list[str]:
 
 def features(page: list[Block]) -> list[list[str]]:
     n = len(page)
-    return [[*path_features(b.path), *text_features(b, i, n)] for i, b in enumerate(page)]
+    return [[*path_features(b.around), *text_features(b, i, n)] for i, b in enumerate(page)]
 
 
-def extract(html: str | None, chain: Chain) -> str:
-    """The main text of one page."""
-    page = blocks(html or "")
+def extract(html: str | None, chain: Chain, looked_at: frozenset[str] | None = None) -> str:
+    """The main text of one page; ``looked_at`` spares finding the `known_names` for each."""
+    page = blocks(html or "", known_names(chain) if looked_at is None else looked_at)
     weight = chain.weights.get
     n = len(page)
-    known: dict[tuple, float] = {}
+    known: dict[Around, float] = {}
     scores = []
     for i, b in enumerate(page):
-        if b.path not in known:
-            known[b.path] = sum(weight(f, 0.0) for f in path_features(b.path))
-        scores.append(known[b.path] + sum(weight(f, 0.0) for f in text_features(b, i, n)))
+        if b.around not in known:
+            known[b.around] = sum(weight(f, 0.0) for f in path_features(b.around))
+        scores.append(known[b.around] + sum(weight(f, 0.0) for f in text_features(b, i, n)))
     return " ".join(b.text for b, label in zip(page, chain.decode(scores), strict=True) if label)
 
 
 def tagged_labels(page: list[Block]) -> list[int] | None:
     """Labels of a page that marks its article by a tag; None for other pages."""
-    if not any(t in MAIN_TAGS for b in page for t, _ in b.path):
+    if all(b.around.inner is None for b in page):
         return None
-    return [int("article:clean" in path_features(b.path)) for b in page]
+    return [int("article:clean" in path_features(b.around)) for b in page]
 
 
 def gold_labels(page: list[Block]) -> list[int]:
     """Labels of a composed page."""
-    return [int(any(GOLD in words for _, words in b.path)) for b in page]
+    return [int(GOLD in b.around.names) for b in page]
 
 
 class Composer:
@@ -197,30 +197,35 @@ class Composer:
 
 
 def labelled_pages(htmls: list[str]) -> tuple[list[list[list[str]]], list[list[int]]]:
-    """Features and labels: the composed pages, then those of ``htmls`` that mark their article."""
+    """Features and labels: the composed pages, then those of ``htmls`` that mark their article.
+
+    All blocks of a page are used. One of more than ``CHAIN`` blocks is cut into several chains, which
+    costs the moves at the cuts only; features are those of the whole page.
+    """
     pages, labels = [], []
+
+    def add(page: list[Block], marked: list[int]) -> None:
+        rows = features(page)
+        for i in range(0, len(rows), CHAIN):
+            pages.append(rows[i : i + CHAIN])
+            labels.append(marked[i : i + CHAIN])
+
     composer = Composer(7)
     for _ in range(COMPOSED):
-        page = blocks(composer.page())[:MOST_BLOCKS]
-        pages.append(features(page))
-        labels.append(gold_labels(page))
+        page = blocks(composer.page())
+        add(page, gold_labels(page))
     for html in htmls:
-        page = blocks(html)[:MOST_BLOCKS]
+        page = blocks(html)
         marked = tagged_labels(page)
         if marked is not None:
-            pages.append(features(page))
-            labels.append(marked)
+            add(page, marked)
     return pages, labels
 
 
 def fitted(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE) -> Chain:
-    """A chain trained on composed pages and ``sample`` pages with the smallest hash of their key.
-
-    Each sampled page comes to the driver up to its first 100,000 characters; extraction itself
-    reads whole pages.
-    """
+    """A chain trained on composed pages and ``sample`` whole pages with the smallest hash of their key."""
     some = pages.filter(F.col(html).isNotNull()).select(
-        F.xxhash64(key).alias("_h"), F.substring(F.col(html), 1, 100_000).alias("_html")
+        F.xxhash64(key).alias("_h"), F.col(html).alias("_html")
     )
     rows = smallest(some, F.col("_h"), sample, pages.count()).select("_html").collect()
     return train(*labelled_pages([r["_html"] for r in rows]))
@@ -231,7 +236,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     sent = pages.sparkSession.sparkContext.broadcast(fitted(pages, key, html))
 
     def texts(batch: pd.Series) -> pd.Series:
-        return pd.Series(np.array([extract(h, sent.value) for h in batch], dtype=object), dtype=object)
+        names = known_names(sent.value)
+        return pd.Series(np.array([extract(h, sent.value, names) for h in batch], dtype=object), dtype=object)
 
     out = pages.select(key, url, F.pandas_udf(texts, "string")(F.col(html)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -49,12 +49,48 @@ def test_blocks():
     )
     got = html_blocks.blocks(page)
     assert [b.text for b in got] == ["ab c", "d & e f", "one", "two link", "x", "y", "tail", "q<b>"]
-    assert got[0].path == (("html", ()), ("body", ("page", "wrap")), ("p", ()))
-    assert [t for t, _ in got[3].path][-2:] == ["ul", "li"] and got[3].linked == 4
+    first = got[0].around
+    assert (first.own, first.parent) == ("p", "body")
+    assert (first.tags, first.names, first.inner) == ({"html", "body", "p"}, {"page", "wrap"}, None)
+    assert (got[3].around.own, got[3].around.parent, got[3].linked) == ("li", "ul", 4)
     for text in ("", "<", "<p", "<a href='x", "<!--", "<script>x", "</", "<p>&am", "<div>" * 50_000, "<" * 50_000, "<a " + "b='" * 9999):
         assert isinstance(html_blocks.blocks(text), list)
     deep = html_blocks.blocks("<div>" * 5000 + "x")
-    assert len(deep[0].path) == 2 * html_blocks.MOST_PATH
+    assert deep[0].around == html_blocks.NOTHING.within("div", frozenset()).within("div", frozenset())
+    many = "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{i}><p>t" for i in range(20_000))
+    assert len(html_blocks.blocks(many, frozenset(["cabx"]))) == 20_000
+    page = "<main class=a>x<article id=b>y<aside class=c>z</aside></article>t</main>u"
+    inner = [(b.around.inner, b.around.inner_names) for b in html_blocks.blocks(page)]
+    at = [({"main"}, {"a"}), ({"article"}, {"b"}), ({"article", "aside"}, {"b", "c"}), ({"main"}, {"a"}), (None, None)]
+    assert inner == at
+
+
+def test_deep_parts_and_long_pages():
+    long = "<nav><ul>" + "<li><a href=/>Go on</a>" * 900 + "</ul></nav><article><p>Text, and more.</article><footer>&copy; end</footer>"
+    pages, labels = html_extract.labelled_pages([long])
+    tail = [y for p, y in zip(pages[html_extract.COMPOSED :], labels[html_extract.COMPOSED :], strict=True)]
+    assert [len(y) for y in tail] == [html_extract.CHAIN, 902 - html_extract.CHAIN] and tail[1][-2:] == [1, 0]
+    chain = crf.train(pages, labels)
+    assert html_extract.extract(long, chain) == "Text, and more."
+    chain = crf.train(*html_extract.labelled_pages([]))
+    down, up = "<div>" * 60, "</div>" * 60
+    boiler = f"<aside>{down}<p>Deep aside, with a text. And more.</p>{up}</aside>"
+    article = f"<article>{down}<p>Deep text, as it is. And more.</p>{up}</article>"
+    assert html_extract.extract(f"<body>{'<div>' * 42}{boiler}", chain) == ""
+    assert html_extract.extract(f"<body>{'<div>' * 42}{boiler}{article}{boiler}", chain) == "Deep text, as it is. And more."
+
+
+def test_chains_of_any_length_train_together():
+    rnd = np.random.default_rng(4)
+    pages, labels = [], []
+    for n in (1, 2, 3, 40, 200, 0):
+        y = (rnd.random(n) < 0.5).astype(int).tolist()
+        pages.append([["bias", f"f{v}"] for v in y])
+        labels.append(y)
+    chain = crf.train(pages, labels)
+    for p, y in zip(pages, labels, strict=True):
+        assert chain.decode([sum(chain.weights[f] for f in fs) for fs in p]) == y
+    assert crf.train([], []).weights == {}
 
 
 def test_extraction_on_pages_not_seen_in_training():
@@ -91,7 +127,7 @@ def test_pages_of_the_table_keep_their_article(spark):
     html = {r.page_id: r.html for r in pages.collect()}
     for r in html_extract.main_text(pages).collect():
         page = html_blocks.blocks(html[r.page_id])
-        assert r.text == " ".join(b.text for b in page if any(t == "article" for t, _ in b.path))
+        assert r.text == " ".join(b.text for b in page if "article" in b.around.tags)
 
 
 def test_folds_and_samples(spark):
