@@ -58,39 +58,46 @@ def histogram(
     )
 
 
-MOST_BINS = 1 << 20
+WORK = 1 << 24  # steps of one task: tried values of a tensor, times what each looks at
+MOST_PARTS = 256  # of one tensor; each carries the tensor's filled bins
 
 
-def _dense(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per tensor with the counts of all bins, empty ones included.
+def _parts(hist: DataFrame, keys: Sequence[str], start: int, stride: int, last: int, looks_at: int | None) -> DataFrame:
+    """The filled bins of every tensor, once per part of the bins that are tried as clipping value.
 
-    The array is as long as the histogram. Outliers after the first batch lengthen it by whole
-    bins; over ``MOST_BINS`` the job ends with an error instead of filling memory.
+    Tried are ``start``, ``start + stride`` ... below ``n_bins + last``. A part tries ``from`` up to ``to`` of
+    them. Empty bins take no room, so a long range costs what it holds.
     """
-    within = F.when(F.col("n_bins") <= MOST_BINS, F.col("n_bins")).otherwise(
-        F.raise_error(F.lit(f"a histogram of over {MOST_BINS} bins; take a larger first range"))
-    )
-    hist = hist.withColumn("n_bins", within.cast("long"))
     filled = hist.groupBy(*keys, "low", "width", "n_bins").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_m")
+        F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("_f")
+    )
+    tried = F.greatest(F.ceil((F.col("n_bins") + last - start) / F.lit(stride)), F.lit(0))
+    each = F.size("_f") if looks_at is None else F.least(F.size("_f"), F.lit(looks_at))
+    parts = F.ceil(tried * each.cast("double") / WORK)
+    filled = filled.withColumn("_tried", tried).withColumn(
+        "_parts", F.greatest(F.least(parts, F.lit(MOST_PARTS), F.col("_tried")), F.lit(1)).cast("long")
     )
-    counts = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1),
-        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)),
+    dealt = filled.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+
+    def cut(part: Column) -> Column:
+        return F.floor(part * F.col("_tried") / F.col("_parts"))
+
+    return dealt.select(
+        *keys, "_part", "low", "width", "n_bins", F.col("_f.bin").alias("bins"), F.col("_f.count").alias("counts"),
+        cut(F.col("_part")).alias("from"), cut(F.col("_part") + 1).alias("to"),
     )
-    return filled.select(*keys, "low", "width", counts.alias("counts"))
 
 
-def _per_tensor(pick):
-    """Turn ``pick(counts, edges) -> amax`` into a step over batches of tensors."""
+def _per_part(keys: Sequence[str], pick):
+    """Turn ``pick(row) -> (loss, order, amax)`` into a step over batches of parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for low, width, counts in zip(pdf["low"], pdf["width"], pdf["counts"]):
-                counts = np.asarray(counts, dtype=np.int64)
-                out.append(pick(counts, low + width * np.arange(len(counts) + 1)))
-            yield pdf.drop(columns=["low", "width", "counts"]).assign(amax=out)
+            out = [pick(row) for row in pdf.drop(columns=list(keys)).itertuples(index=False, name=None)]
+            loss, order, amax = zip(*out) if out else ((), (), ())
+            yield pdf[list(keys)].assign(
+                loss=np.asarray(loss, np.float64), order=np.asarray(order, np.int64), amax=np.asarray(amax, np.float64)
+            )
 
     return run
 
@@ -99,17 +106,34 @@ def _mse_amax(bits: int, unsigned: bool, start: int, stride: int):
     top = 2.0 ** (bits - 1 + int(unsigned)) - 1.0
     least = 0.0 if unsigned else -top
 
-    def pick(counts: np.ndarray, edges: np.ndarray) -> float:
-        centers = (edges[1:] + edges[:-1]) / 2
-        tried = np.arange(start, len(centers), stride)
-        if len(tried) == 0:
-            return float("nan")
-        errors = np.empty(len(tried))
-        for n, i in enumerate(tried):
-            scale = top / centers[i]
-            shown = np.clip(np.rint(centers * scale), least, top) / scale
-            errors[n] = np.mean((shown - centers) ** 2 * counts)
-        return float(centers[tried[int(np.argmin(errors))]])
+    def pick(row) -> tuple[float, int, float]:
+        _, low, width, n_bins, bins, counts, first, last = row
+
+        def centre(i):
+            return ((low + width * i) + (low + width * (i + 1))) / 2
+
+        x, n = centre(np.asarray(bins, np.float64)), np.asarray(counts, np.float64)
+        levels = np.arange(least, top + 1) if 4 * (top - least) < len(x) else None
+        if levels is not None:
+            # the bins shown as one level are a run: its error follows from running sums
+            sums = [np.concatenate([[0.0], np.cumsum(n * x**e)]) for e in (0, 1, 2)]
+        best = (float("inf"), -1, float("nan"))
+        for at in range(start + first * stride, start + last * stride, stride):
+            clip = centre(float(at))
+            if clip == 0:
+                continue
+            scale = top / clip
+            if levels is None or scale <= 0:
+                shown = np.clip(np.rint(x * scale), least, top) / scale
+                loss = float(((shown - x) ** 2 * n).sum()) / n_bins
+            else:
+                cuts = np.searchsorted(x, (levels[:-1] + 0.5) / scale)
+                runs = [np.diff(s[np.concatenate([[0], cuts, [len(x)]])]) for s in sums]
+                shown = levels / scale
+                loss = float((runs[2] - 2 * shown * runs[1] + shown**2 * runs[0]).sum()) / n_bins
+            if loss < best[0] or best[1] < 0:
+                best = (loss, at, clip)
+        return best if best[1] >= 0 else (float("inf"), 1 << 62, float("nan"))
 
     return pick
 
@@ -117,31 +141,37 @@ def _mse_amax(bits: int, unsigned: bool, start: int, stride: int):
 def _entropy_amax(bits: int, unsigned: bool, start: int, stride: int):
     levels = 1 << (bits - 1 + int(unsigned))
 
-    def divergence(p: np.ndarray, q: np.ndarray) -> float:
-        p, q = p / p.sum(), q / q.sum()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            terms = np.where(p > 0, p * np.log(p / q), 0.0)
-        return float(terms.sum())
-
-    def pick(counts: np.ndarray, edges: np.ndarray) -> float:
-        bins = counts.astype(np.float64)
-        bins[0] = bins[1]
-        best, best_at = np.inf, None
-        for stop in range(start, len(bins) + 1, stride):
-            part = bins[:stop]
-            level = np.minimum((np.arange(stop) * levels) // stop, levels - 1)
-            used = part > 0
-            mass = np.bincount(level, weights=part, minlength=levels)
-            width = np.bincount(level[used], minlength=levels)
-            spread = np.where(used, mass[level] / np.maximum(width, 1)[level], 0.0)
-            target = part.copy()
-            target[-1] += bins[stop:].sum()
-            if spread.sum() == 0 or target.sum() == 0:
+    def pick(row) -> tuple[float, int, float]:
+        _, low, width, _, bins, counts, first, last = row
+        at, n = np.asarray(bins, np.int64), np.asarray(counts, np.float64)
+        # the first bin counts as the second one does
+        second = n[at == 1]
+        at, n = at[at > 0], n[at > 0]
+        if len(second):
+            at, n = np.concatenate([[0], at]), np.concatenate([second, n])
+        total = n.sum()
+        best, best_at = float("inf"), -1
+        for stop in range(start + first * stride, start + last * stride, stride):
+            m = int(np.searchsorted(at, stop))
+            if m == 0:
                 continue
-            d = divergence(target, spread)
+            part = n[:m]
+            level = np.minimum((at[:m] * levels) // stop, levels - 1)
+            mass = np.bincount(level, weights=part, minlength=levels)
+            held = np.bincount(level, minlength=levels)
+            spread = mass[level] / held[level]
+            beyond = total - part.sum()
+            if beyond > 0 and at[m - 1] != stop - 1:
+                d = float("inf")  # the clipped bins would fall where nothing is shown
+            else:
+                p, q = part / total, spread / spread.sum()
+                p[-1] += beyond / total
+                d = float((p * np.log(p / q)).sum())
             if d <= best:  # the last minimum wins
                 best, best_at = d, stop
-        return float(edges[best_at]) if best_at is not None else float("nan")
+        if best_at < 0:
+            return float("inf"), 1, float("nan")
+        return best, -best_at, float(low + width * best_at)
 
     return pick
 
@@ -155,7 +185,8 @@ def amax(
     ``percentile``: left edge of the first bin at which the share of counted values
     reaches it. ``mse``: bin centre of least mean squared quantisation error.
     ``entropy``: edge of least divergence between the clipped and the quantised
-    histogram. The last two work on one row per tensor.
+    histogram. The last two hold the filled bins of one tensor in a task and deal its tried
+    values over several; a tensor with nothing to try has NULL.
     """
     if method == "percentile":
         if not 0 <= percentile <= 100:
@@ -164,11 +195,13 @@ def amax(
     makers = {"mse": _mse_amax, "entropy": _entropy_amax}
     if method not in makers:
         raise ValueError(f"unknown method {method!r}")
-    dense = _dense(hist, keys)
-    schema = dense.drop("low", "width", "counts").withColumn("amax", F.lit(0.0)).schema
-    # spread the tensors, each costs about candidates x bins steps
-    spread = dense.repartition(*keys) if keys else dense
-    return spread.mapInPandas(_per_tensor(makers[method](bits, unsigned, start, stride)), schema)
+    levels = 1 << (bits + int(unsigned))
+    parts = _parts(hist, keys, start, stride, int(method == "entropy"), 4 * levels if method == "mse" else None)
+    results = {"loss": "double", "order": "long", "amax": "double"}
+    schema = parts.select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in results.items())).schema
+    pick = makers[method](bits, unsigned, start, stride)
+    best = parts.repartition(*keys, "_part").mapInPandas(_per_part(keys, pick), schema)
+    return best.groupBy(*keys).agg(F.min_by("amax", F.struct("loss", "order")).alias("amax"))
 
 
 def _amax_percentile(hist: DataFrame, keys: Sequence[str], percentile: float) -> DataFrame:
