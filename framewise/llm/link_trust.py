@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm.words import ascii_lower
-from framewise.session import cut_lineage
+from framewise.session import cut_lineage, discard
 
 HREF = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\\s>]+)"
 
@@ -100,11 +100,13 @@ def spread(
     if edges.isEmpty():
         return base.select("host", F.col("base").alias("score"))
     score = base.select("host", F.col("base").alias("score"))
+    degree, rows = cut_lineage(degree), None
     for _ in range(rounds):
         handed = score.join(degree, F.col("host") == F.col("src")).select(
             "src", (F.col("score") * damping / F.col("n_out")).alias("part")
         )
-        got = (
+        # written, as the total below and the new scores both read it
+        got = cut_lineage(
             handed.join(edges, "src").groupBy(F.col("dst").alias("host")).agg(F.sum("part").alias("got"))
         )
         kept = got.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("s")).first()["s"]
@@ -119,8 +121,13 @@ def spread(
         )
         moved = both.agg(F.coalesce(F.sum(F.abs(F.col("new") - F.col("old"))), F.lit(0.0)).alias("d")).first()["d"]
         score = both.select("host", F.col("new").alias("score"))
+        discard(got)
+        if rows is not None:
+            discard(rows)
+        rows = both
         if moved < tolerance:
             break
+    discard(degree)
     return score
 
 
