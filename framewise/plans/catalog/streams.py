@@ -99,6 +99,26 @@ def _(t: Tables) -> DataFrame:
     return _both(t, 3600.0)
 
 
+@query(
+    "t6_missing_feedback",
+    f"""WITH RECURSIVE m AS (SELECT c.camera, c.event_id, c.us,
+      (SELECT max(v.us) FROM v_events v WHERE v.topic = 'view' AND v.camera = c.camera AND v.us <= c.us) AS seen
+      FROM v_events c WHERE c.topic = 'click'),
+    o AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY us, event_id) AS k FROM m WHERE seen IS NULL OR us - seen >= 3600000000),
+    s AS (SELECT camera, k, event_id, seen, us, us AS last, true AS keep FROM o WHERE k = 1
+      UNION ALL SELECT o.camera, o.k, o.event_id, o.seen, o.us, CASE WHEN o.us - s.last > 14400000000 THEN o.us ELSE s.last END,
+      o.us - s.last > 14400000000 FROM s JOIN o ON o.camera = s.camera AND o.k = s.k + 1)
+    SELECT event_id, k - coalesce(lag(k) OVER (PARTITION BY camera ORDER BY k), 0) AS missed, {rs('(us - seen) / 1e6')} AS age
+    FROM s WHERE keep""",
+    ("v_events",),
+)
+def _(t: Tables) -> DataFrame:
+    both = by_time(t, t.v_events.filter("topic in ('click', 'view')"), close_after=60.0)
+    frames = F.col("topic") == "click"
+    out = topics.drain(stateful.missing_feedback(both, "camera", "ts", "event_id", frames, 3600.0, 14400.0), "missing")
+    return out.select(F.col("id").alias("event_id"), "missed", r(F.col("age")).alias("age"))
+
+
 @query("t4_track_stream")
 def _(t: Tables) -> DataFrame:
     # frame numbers are the clock

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -131,12 +131,58 @@ def stale_feedback(
 ) -> DataFrame:
     """Frames with usable feedback; negative or too large ages are dropped.
 
-    A frame without it has NULLs; the report that feedback is missing is
-    `throttle_stream` over these frames.
+    A frame without it has NULLs; `missing_feedback` reports them.
     """
     return with_latest(frames, feedback, key, ts, row_id, value, max_age)
 
 
+def missing_feedback(
+    stream: DataFrame, key: str, ts: str, row_id: str, is_frame: Column, max_age: float, every: float = 1.0,
+    watermark: str = "10 seconds",
+) -> DataFrame:
+    """Frames whose feedback is missing or too old, reported at most once per key within ``every`` seconds.
+
+    ``stream`` holds frames and feedback, told apart by ``is_frame``; feedback of the same stamp counts.
+    Rows out: key, us, id, ``missed`` (frames without feedback since the report before, this one included)
+    and the ``age`` of the last feedback in seconds, NULL if there was none. Rows are decided in order of
+    (ts, feedback first, row_id) once the watermark has passed them; those without stamp, id or kind only
+    move the watermark.
+    """
+    gap, limit = int(round(every * 1_000_000)), int(round(max_age * 1_000_000))
+    names = ["us", "kind", "id"]
+    rows = stream.withWatermark(ts, watermark).select(
+        F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("us"), is_frame.cast("long").alias("kind"),
+        F.col(row_id).cast("long").alias("id"), ts,
+    )
+
+    def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, told, missed, *kept = state.get if state.exists else (None, None, 0, [], [], [])
+        part = _waiting(pdfs, names, tuple(kept)).astype("int64").sort_values(names, ignore_index=True)
+        final = part["us"] <= state.getCurrentWatermarkMs() * 1000
+        left, out = part[~final], []
+        for us, kind, rid in part.loc[final, names].itertuples(index=False, name=None):
+            if not kind:
+                seen = us
+            elif seen is None or us - seen >= limit:
+                missed += 1
+                if told is None or us - told > gap:
+                    out.append((us, rid, missed, None if seen is None else (us - seen) / 1e6))
+                    told, missed = us, 0
+        if seen is not None or missed or told is not None or len(left):
+            state.update((seen, told, missed, *(left[c].tolist() for c in names)))
+        _wake(state, left["us"])
+        frame = pd.DataFrame(out, columns=["us", "id", "missed", "age"]).assign(key=k[0])
+        yield frame.astype({"key": "Int64", "us": "int64", "id": "int64", "missed": "int64", "age": "float64"})[
+            ["key", "us", "id", "missed", "age"]
+        ]
+
+    return rows.groupBy("key").applyInPandasWithState(
+        step, "key long, us long, id long, missed long, age double",
+        "seen long, told long, missed long, us array<long>, kind array<long>, id array<long>", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def _iou_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low = np.maximum(a[:, None, :2], b[None, :, :2])
     high = np.minimum(a[:, None, 2:], b[None, :, 2:])

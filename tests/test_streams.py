@@ -120,3 +120,28 @@ def test_closing_row(spark):
     assert end.schema.simpleString() == df.schema.simpleString()
     r = end.first()
     assert r.id is None and r.n is None and end.filter(F.unix_seconds("ts") - 5 == int(START.timestamp())).count() == 1
+
+
+@pytest.mark.parametrize("n", [1, 5])
+def test_missing_feedback_equals_one_pass_in_time_order(spark, n):
+    rnd = random.Random(n)
+    rows = []
+    for i in range(260):
+        kind = None if i % 53 == 0 else rnd.random() < 0.7
+        rows.append((i % 3 if i % 17 else None, i, kind, START + timedelta(seconds=rnd.randrange(400) / 2)))
+    whole, stream = fed(spark, cuts(rows, n, rnd), "key long, id long, kind boolean, ts timestamp")
+    got = stateful.missing_feedback(stream, "key", "ts", "id", F.col("kind"), 4.0, 6.0, "400 seconds")
+    got = {(r.key, r.id, r.missed, r.age) for r in topics.drain(got, "reports").collect()}
+    want, seen, told, missed = set(), {}, {}, {}
+    known = [(ts, kind, rid, key) for key, rid, kind, ts in rows if kind is not None]
+    for ts, kind, rid, key in sorted(known, key=lambda x: x[:3]):
+        if not kind:
+            seen[key] = ts
+        elif key not in seen or (ts - seen[key]).total_seconds() >= 4.0:
+            missed[key] = missed.get(key, 0) + 1
+            if key not in told or (ts - told[key]).total_seconds() > 6.0:
+                age = (ts - seen[key]).total_seconds() if key in seen else None
+                want.add((key, rid, missed.pop(key), age))
+                told[key] = ts
+    assert got == want
+    assert len(want) > 10
