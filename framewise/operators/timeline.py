@@ -181,6 +181,8 @@ def every_nth(
 
 # --------------------------------------------------------------- minimum spacing
 
+SHORT = 10_000  # rows of a segment that is walked in one go
+
 
 def _chain_exits(spacing: int):
     """Per piece of a time line: where a walk leaves it, for every row it may enter at."""
@@ -241,7 +243,7 @@ def _walk(spacing: int):
                 if us >= due:
                     keep[i] = True
                     due = us + spacing + 1
-            yield pdf.loc[keep, ["_key", "_us"]]
+            yield pdf.loc[keep, ["_key", "_seg", "_us"]]
 
     return run
 
@@ -254,8 +256,8 @@ def keep_spaced(
 
     A row after a long gap is always kept, and so starts a segment that does not
     depend on earlier ones; rows where ``force`` holds do too. Segments of one row
-    need no more work. Longer ones are cut by time into pieces: each piece reports
-    where a walk entering at its first rows would leave it, the pieces of a segment
+    need no more work, those of up to ``SHORT`` rows are walked from their start. Longer
+    ones are cut by time into pieces: each piece reports where a walk entering at its first rows would leave it, the pieces of a segment
     are chained by these reports, and then all pieces are walked in parallel.
     """
     us = int(round(spacing * MICROS))
@@ -281,8 +283,11 @@ def keep_spaced(
     many = base.filter(F.col("_n") > 1)
 
     piece = ["_key", "_seg", "_chunk"]
+    # a short segment is one piece, entered at its start
+    start = F.lit(-(1 << 63)).cast("long").alias("_entry")
+    short = many.filter(F.col("_n") <= SHORT).select("_key", "_seg", F.lit(0).cast("long").alias("_chunk"), "_us", start)
     # the first row of a stamp stands for the stamp
-    stamps = many.groupBy(*piece, "_us").agg(F.max("_anchor").alias("_anchor"))
+    stamps = many.filter(F.col("_n") > SHORT).groupBy(*piece, "_us").agg(F.max("_anchor").alias("_anchor"))
     exits = map_groups(
         stamps, piece, _chain_exits(us), "_key string, _seg long, _chunk long, _in long, _out long"
     )
@@ -291,13 +296,14 @@ def keep_spaced(
     )
     walked = (
         join_on(stamps, entries, piece, "inner")
+        .select(*piece, "_us", "_entry")
+        .unionByName(short)
         .repartition(*piece)
         .sortWithinPartitions(*piece, "_us")
-        .select(*piece, "_us", "_entry")
-        .mapInPandas(_walk(us), "_key string, _us long")
+        .mapInPandas(_walk(us), "_key string, _seg long, _us long")
     )
     # of rows with a kept stamp the anchor comes first in a segment; else the smallest tie
-    chosen = join_on(many, walked, ["_key", "_us"], "inner")
+    chosen = join_on(many, walked, ["_key", "_seg", "_us"], "inner")
     first = Window.partitionBy("_key", "_seg", "_us").orderBy(*(F.col(c) for c in order))
     chosen = chosen.withColumn("_first", F.row_number().over(first)).filter("_first = 1")
     return single.unionByName(chosen.drop("_first")).drop(*extra)
