@@ -46,6 +46,10 @@ def _(t: Tables) -> DataFrame:
     return readers.read_pairs(t.spark, path).select("path", F.md5("text").alias("digest"))
 
 
+# a file is read by one task
+ANNOTATIONS = 50_000
+
+
 @query(
     "s7_read_annotations",
     """SELECT 'img' || frame AS filename, 'class' || label AS name, score > 0.5e0 AS difficult, label % 2 = 1 AS truncated,
@@ -66,7 +70,7 @@ def _(t: Tables) -> DataFrame:
         F.concat(F.lit("img"), F.col("frame").cast("string")).alias("filename"), size.alias("size"),
         F.array(thing).alias("object"),
     )
-    docs.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    docs.write.format("xml").option("maxRecordsPerFile", ANNOTATIONS).option("rootTag", "annotations").option("rowTag", "annotation").save(path)
     return readers.read_annotations(t.spark, path)
 
 
