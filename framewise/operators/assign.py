@@ -18,6 +18,9 @@ from framewise.operators.scale import join_on, map_groups
 from framewise.session import cut_lineage
 
 
+SMALL = 256  # cells up to which a dense matching is walked without arrays
+
+
 def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a matching of largest total gain, by shortest augmenting paths.
 
@@ -26,6 +29,9 @@ def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
     flipped = gain.shape[0] > gain.shape[1]
     cost = -(gain.T if flipped else gain)
     rows, cols = cost.shape
+    if rows * cols <= SMALL:
+        pairs = _small_matching(cost.tolist(), cols)
+        return [(c, r) for r, c in pairs] if flipped else pairs
     row_of, col_of = np.full(cols, -1), np.full(rows, -1)
     u, v = np.zeros(rows), np.zeros(cols)
     for start in range(rows):
@@ -57,6 +63,44 @@ def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(c, r) for r, c in pairs] if flipped else pairs
 
 
+def _small_matching(cost: list[list[float]], cols: int) -> list[tuple[int, int]]:
+    """The steps of `best_matching` on plain numbers, which arrays of a few cells only slow down."""
+    inf = float("inf")
+    row_of, col_of = [-1] * cols, [-1] * len(cost)
+    u, v = [0.0] * len(cost), [0.0] * cols
+    for start in range(len(cost)):
+        dist, via, closed = [inf] * cols, [-1] * cols, [False] * cols
+        row, base, visited = start, 0.0, [start]
+        while True:
+            own, off, col, least = cost[row], u[row], 0, inf
+            for j in range(cols):
+                if closed[j]:
+                    continue
+                reach = base + own[j] - off - v[j]
+                if reach < dist[j]:
+                    dist[j], via[j] = reach, row
+                if dist[j] < least:
+                    col, least = j, dist[j]
+            base = dist[col]
+            closed[col] = True
+            if row_of[col] < 0:
+                break
+            row = row_of[col]
+            visited.append(row)
+        for r in visited[1:]:
+            u[r] += base - dist[col_of[r]]
+        u[start] += base
+        for j in range(cols):
+            if closed[j]:
+                v[j] -= base - dist[j]
+        row = -1
+        while row != start:
+            row = via[col]
+            row_of[col] = row
+            col_of[row], col = col, col_of[row]
+    return list(enumerate(col_of))
+
+
 def sparse_matching(gains: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     """Pairs of a matching of largest total gain, among the given ones only.
 

@@ -121,9 +121,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("t4_track_stream")
 def _(t: Tables) -> DataFrame:
-    # frame numbers are the clock
+    # frame numbers are the clock, from 1 as a stream takes nothing at its first watermark, 0
     det = t.v_det.select((F.col("frame") % 16).alias("camera"), "frame", "det_id", *Box._fields)
-    det = det.withColumn("ts", F.timestamp_seconds("frame"))
+    det = det.withColumn("ts", F.timestamp_seconds(F.col("frame") + 1))
     stream = topics.replay_stream(t.spark, det, slices=4, close_after=60.0)
     out = topics.drain(stateful.track(stream, "camera", "frame", "det_id", min_iou=0.1, ts="ts"), "t4")
     return out.select("key", "frame", "det_id", "track", "age")

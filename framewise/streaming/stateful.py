@@ -21,6 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framewise.operators.assign import best_matching
 
+BUCKETS = 1024  # of keys that share one state, where keys may be very many
+
 
 def _ordered(pdfs: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     parts = list(pdfs)
@@ -82,7 +84,12 @@ def _waiting(pdfs: Iterator[pd.DataFrame], columns: list[str], kept: tuple) -> p
     return pd.concat([p for p in parts if len(p)] or [held], ignore_index=True).dropna()
 
 
-def _wake(state: GroupState, left: pd.Series) -> None:
+def _numbers(held: bytes, width: int) -> np.ndarray:
+    """Rows of ``width`` whole numbers that a state holds as bytes."""
+    return np.frombuffer(held, np.int64).reshape(-1, width)
+
+
+def _wake(state: GroupState, left: pd.Series | np.ndarray) -> None:
     """A timer for the first row (us) that is still held back."""
     if len(left):
         state.setTimeoutTimestamp(-(-int(left.min()) // 1000))
@@ -96,32 +103,40 @@ def throttle_stream(
     Rows are decided in order of (ts, row_id) once the watermark has passed them, which gives
     the rows of the batch operator, whatever the order within the delay. The last rows of a
     stream wait for a later row of any key, or for `closed`. Rows without stamp or id give none.
+    Keys are dealt into ``BUCKETS``, each with one state, as a call per key costs more than its rows.
     """
     gap = int(round(spacing * 1_000_000))
-    names = ["us", "id"]
-    marked = stream.withWatermark(ts, watermark)
-    rows = marked.select(
-        F.col(key).cast("long").alias("key"), F.col(row_id).cast("long").alias("id"), F.unix_micros(ts).alias("us"), ts
+    names = ["none", "key", "us", "id"]  # a NULL key is a key; whole numbers without gaps, so no digit is lost
+    us = F.unix_micros(ts)
+    rows = stream.withWatermark(ts, watermark).select(
+        F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BUCKETS)).alias("bucket"),
+        F.col(key).isNull().cast("long").alias("none"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"),
+        F.coalesce(us, F.lit(0)).alias("us"), F.coalesce(F.col(row_id).cast("long"), F.lit(0)).alias("id"),
+        (us.isNotNull() & F.col(row_id).isNotNull()).alias("whole"), ts,
     )
 
-    def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, *kept = state.get if state.exists else (None, [], [])
-        part = _waiting(pdfs, names, tuple(kept)).astype("int64").sort_values(names, ignore_index=True)
-        final = part["us"] <= state.getCurrentWatermarkMs() * 1000
+    def step(bucket, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, held = state.get if state.exists else (b"", b"")
+        last = {(none, k): at for none, k, at in _numbers(known, 3).tolist()}
+        new = (p.loc[p["whole"].astype(bool), names].to_numpy(np.int64) for p in pdfs)
+        part = np.concatenate([_numbers(held, 4), *new])
+        part = part[np.lexsort((part[:, 3], part[:, 2], part[:, 1], part[:, 0]))]
+        final = part[:, 2] <= state.getCurrentWatermarkMs() * 1000
         now, left = part[final], part[~final]
         keep = np.zeros(len(now), dtype=bool)
-        for i, us in enumerate(now["us"]):
-            if last is None or us - last > gap:
-                keep[i], last = True, int(us)
-        if last is not None or len(left):
-            state.update((last, left["us"].tolist(), left["id"].tolist()))
-        _wake(state, left["us"])
-        out = now[keep].assign(key=k[0]).astype({"key": "Int64"})
-        yield out[["key", *names]]
-
-    return rows.groupBy("key").applyInPandasWithState(
-        step, "key long, us long, id long", "last long, us array<long>, id array<long>", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        for i, (none, k, at, _) in enumerate(now.tolist()):
+            before = last.get((none, k))
+            if before is None or at - before > gap:
+                keep[i], last[none, k] = True, at
+        if last or len(left):
+            state.update((np.array([(*k, at) for k, at in last.items()], np.int64).tobytes(), left.tobytes()))
+        _wake(state, left[:, 2])
+        out = now[keep]
+        keys = pd.Series(out[:, 1], dtype="Int64").mask(pd.Series(out[:, 0], dtype="bool"))
+        yield pd.DataFrame({"key": keys, "us": out[:, 2], "id": out[:, 3]})
+
+    return rows.groupBy("bucket").applyInPandasWithState(
+        step, "key long, us long, id long", "known binary, held binary", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -199,7 +214,7 @@ def track(
 
     A frame is closed when the watermark passes it: rows of one frame may come in several
     micro-batches, and frames in any order within the delay. All rows of a frame carry its
-    stamp ``ts``; without one the frame numbers are the seconds of the clock.
+    stamp ``ts``; without one the frame numbers are the seconds of the clock, frame 0 at second 1.
 
     The persons of a frame are matched to the known ones at least cost 1 - IoU, the earlier
     boxes enlarged by ``grow``; pairs with IoU <= ``min_iou`` do not count. New persons get new
@@ -212,7 +227,7 @@ def track(
     names = ["us", "frame", "det_id", *box]
     if ts is None:
         ts = "_ts"
-        stream = stream.withColumn(ts, F.timestamp_seconds(F.col(frame).cast("long")))
+        stream = stream.withColumn(ts, F.timestamp_seconds(F.col(frame).cast("long") + 1))
     rows = stream.withWatermark(ts, watermark).select(
         F.col(key).cast("long").alias("key"), F.col(frame).cast("long").alias("frame"),
         F.col(det_id).cast("long").alias("det_id"), *(F.col(c).cast("double").alias(c) for c in box),
@@ -221,9 +236,11 @@ def track(
     k = (grow - 1.0) / 2.0
 
     def step(name, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else (0, *([] for _ in range(4 + len(names))))
+        old = state.get if state.exists else (0, [], [], [], [], b"", b"")
         following, ids, ages, missed, flat = old[0], *(list(v) for v in old[1:5])
-        part = _waiting(pdfs, names, tuple(old[5:]))
+        numbers, sides = _numbers(old[5], 3), np.frombuffer(old[6]).reshape(-1, 4)
+        kept = (*(numbers[:, i] for i in range(3)), *(sides[:, i] for i in range(4)))
+        part = _waiting(pdfs, names, kept)
         part = part.astype({"us": "int64", "frame": "int64", "det_id": "int64"})
         part = part.sort_values(["us", "frame", "det_id"], ignore_index=True)
         final = part["us"] <= state.getCurrentWatermarkMs() * 1000
@@ -255,7 +272,8 @@ def track(
             ages = lived[a:b].tolist() + [ages[i] for i in lost]
             flat = np.concatenate([now, before[lost]]).ravel().tolist()
         if ids or len(left):
-            state.update((following, ids, ages, missed, flat, *(left[c].tolist() for c in names)))
+            held = left[names[:3]].to_numpy(np.int64).tobytes(), left[box].to_numpy(np.float64).tobytes()
+            state.update((following, ids, ages, missed, flat, *held))
         _wake(state, left["us"])
         out = done[["frame", "det_id"]].assign(key=name[0], track=tracks, age=lived).astype({"key": "Int64"})
         yield out[["key", "frame", "det_id", "track", "age"]]
@@ -263,9 +281,7 @@ def track(
     return rows.groupBy("key").applyInPandasWithState(
         step, "key long, frame long, det_id long, track long, age long",
         "following long, ids array<long>, ages array<long>, missed array<long>, boxes array<double>, "
-        "us array<long>, frame array<long>, det_id array<long>, "
-        + ", ".join(f"{c} array<double>" for c in box),
-        "append", GroupStateTimeout.EventTimeTimeout,
+        "numbers binary, sides binary", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 

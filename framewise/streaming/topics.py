@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from framewise.operators.aggregate import topk
+from framewise.operators.scale import _below
 from framewise.session import scratch_path
 
 
@@ -61,13 +62,14 @@ def drain_batches(
 
 def replay_stream(
     spark: SparkSession, log: DataFrame, ts: str = "ts", slices: int = 8, every: float | None = None,
-    rows_per_file: int = 1_000_000, close_after: float | None = None,
+    rows_per_file: int = 1_000_000, close_after: float | None = None, rows_per_slice: int = 2_000_000,
 ) -> DataFrame:
     """A recorded log fed in bounded batches in event-time order.
 
     With ``close_after`` a last slice holds the one row of `closed`, that many seconds after the log.
 
-    The log is cut into ``slices`` time ranges of about equal size, or at all multiples of
+    The log is cut into ``slices`` time ranges of about equal size, more where one would hold over
+    ``rows_per_slice`` rows, as states hold back the rows of a micro-batch, or at all multiples of
     ``every`` seconds. Each is written on its own, so that the file source, which goes by
     modification time, takes them oldest first. Every slice has the same number of files,
     which many tasks write, and makes one micro-batch; the number is such that the smallest
@@ -76,28 +78,30 @@ def replay_stream(
     path = scratch_path(spark, "replay")
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     if every is None:
-        # a handful of stamps
+        rows = log.count()
+        slices = max(slices, -(-rows // rows_per_slice))
+        # a stamp for every slice
         cuts = log.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)])).first()[0] or []
-        smallest = log.count() // (2 * slices)
+        smallest = rows // (2 * slices)
     else:
         step = int(every * 1_000_000)
         sizes = {r["s"]: r["count"] for r in log.groupBy(F.floor(us / step).alias("s")).count().collect()}
         cuts = [s * step for s in sorted(sizes)[1:]]
         smallest = min(sizes.values(), default=0)
     files_per_batch = max(1, smallest // rows_per_file)
-    edges = [None, *sorted(set(cuts)), None]
-    zone = log.schema[ts].dataType
-
-    def stamp(value: int):
-        return F.timestamp_micros(F.lit(value)).cast(zone)
-
-    for n, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
-        # a range of the stamp column, which parquet prunes by
-        part = log if low is None else log.filter(F.col(ts) >= stamp(low))
-        part = part if high is None else part.filter(F.col(ts) < stamp(high))
+    cuts = sorted(set(cuts))
+    number = F.when(F.col("_us").isNotNull(), _below(cuts, "_us", True)) if cuts else F.lit(0)
+    # the log is dealt once, so that a slice does not read all of it again
+    dealt = f"{path}-dealt"
+    rows = log.withColumn("_us", us).withColumn("_slice", number.cast("int"))
+    rows = rows.repartition("_slice", F.pmod(F.xxhash64("_us"), F.lit(files_per_batch))).drop("_us")
+    rows.write.partitionBy("_slice").parquet(dealt)
+    dealt_rows = spark.read.schema(rows.schema).parquet(dealt)
+    for n in range(len(cuts) + 1):
+        part = dealt_rows.filter(F.col("_slice") == n).drop("_slice")
         part.repartition(files_per_batch).write.parquet(f"{path}/slice-{n:05d}")
     if close_after is not None:
-        closed(log, ts, close_after).write.parquet(f"{path}/slice-{len(edges):05d}")
+        closed(log, ts, close_after).write.parquet(f"{path}/slice-{len(cuts) + 1:05d}")
     reader = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(f"{path}/slice-*")
 

@@ -145,3 +145,36 @@ def test_missing_feedback_equals_one_pass_in_time_order(spark, n):
                 told[key] = ts
     assert got == want
     assert len(want) > 10
+
+
+def test_replay_bounds_the_rows_of_a_slice(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topics, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    rows = [(i, START + timedelta(seconds=i)) for i in range(400)] + [(400, None)]
+    log = spark.createDataFrame(rows, "id long, ts timestamp")
+    topics.replay_stream(spark, log, slices=2, rows_per_slice=60)
+    held = [sorted(r.id for r in spark.read.parquet(str(p)).collect()) for p in sorted(tmp_path.glob("replay/slice-*"))]
+    assert [i for part in held for i in part] == list(range(400))
+    assert len(held) == 7 and max(map(len, held)) <= 60
+
+
+def test_very_many_keys_share_states(spark):
+    rows = [(i % 3000, i, START + timedelta(seconds=i // 3000)) for i in range(6000)]
+    whole, stream = fed(spark, [rows[:3000], rows[3000:]], "key long, id long, ts timestamp")
+    out = scratch_path(spark, "many")
+    query = (
+        stateful.throttle_stream(stream, "key", "ts", "id", 0.5).writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= stateful.BUCKETS
+    assert sorted(r.id for r in spark.read.parquet(out).select("id").collect()) == list(range(6000))
+
+
+def test_frame_zero_is_tracked(spark):
+    path, names = scratch_path(spark, "zero"), "camera long, frame long, det_id long, xmin double, ymin double, xmax double, ymax double"
+    for n, frames in enumerate([(0, 1, 2), (500,), (1000,)]):
+        rows = [(1, f, 0, 0.0, 0.0, 10.0, 10.0) for f in frames]
+        spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{path}/b-{n}")
+    stream = spark.readStream.schema(names).option("maxFilesPerTrigger", 1).parquet(f"{path}/b-*")
+    out = topics.drain(stateful.track(stream, "camera", "frame", "det_id"), "zero-out")
+    assert {0, 1, 2} <= {r.frame for r in out.collect()}
