@@ -147,8 +147,13 @@ def sparse_matching(gains: dict[tuple[int, int], float]) -> list[tuple[int, int]
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     ai, bi = (pd.factorize(pdf[c], sort=True)[0].tolist() for c in ("_a", "_b"))
-    chosen = set(sparse_matching(dict(zip(zip(ai, bi), pdf["_gain"].tolist(), strict=True))))
-    return pdf[[p in chosen for p in zip(ai, bi)]]
+    # of rows of one pair, which repeated ids give, the best
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for row, (pair, gain) in enumerate(zip(zip(ai, bi), pdf["_gain"].tolist(), strict=True)):
+        if pair not in best or gain > best[pair][0]:
+            best[pair] = gain, row
+    chosen = sparse_matching({pair: gain for pair, (gain, _) in best.items()})
+    return pdf.iloc[sorted(best[pair][1] for pair in chosen)]
 
 
 def settle(pairs: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -264,8 +269,8 @@ def assign(
         *on, "_a", "_b", "_iou", (F.col("_iou") + tie(F.col("_a"), F.col("_b")) * TIE).alias("_gain")
     )
     matched = solve_pairs(pairs, on)
-    # the cost must stay below the gate
-    return matched.filter((1.0 - F.col("_iou")) < 1.0 - min_iou).select(
+    # not as costs: 1 - IoU rounds to 1 - min_iou for an IoU just above it
+    return matched.filter(F.col("_iou") > min_iou).select(
         *on, F.col("_a").alias(a_id), F.col("_b").alias(b_id), F.col("_iou").alias("iou")
     )
 

@@ -80,3 +80,24 @@ def test_settled_pairs_are_in_the_best_matching(spark):
     rest = {(r._a, r._b): r._gain for r in left.collect()}
     total = sum(gains[p] for p in taken) + (sum(rest[p] for p in A.sparse_matching(rest)) if rest else 0.0)
     assert total == pytest.approx(sum(gains[p] for p in best), abs=1e-9)
+
+
+def test_an_overlap_just_above_the_gate_stays(spark):
+    names = "frame long, {0} long, xmin double, ymin double, xmax double, ymax double"
+    gate = 0.1
+    side = gate
+    while side / (1.0 + side - side + np.finfo(float).eps) <= gate:
+        side = float(np.nextafter(side, 1))
+    assert not 1.0 - side / (1.0 + np.finfo(float).eps) < 1.0 - gate
+    a = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0), (2, 1, 0.0, 0.0, 1.0, 1.0)], names.format("a_id"))
+    b = spark.createDataFrame([(1, 7, 0.0, 0.0, 1.0, side), (2, 7, 0.0, 0.0, 1.0, 0.0999)], names.format("b_id"))
+    assert [(r.frame, r.a_id, r.b_id) for r in A.assign(a, b, ["frame"], min_iou=gate).collect()] == [(1, 1, 7)]
+
+
+def test_repeated_ids_are_matched_once_at_their_best(spark):
+    rows = [(0, 1, 1, 0.3), (0, 1, 1, 0.5), (0, 1, 1, 0.5), (0, 1, 2, 0.4), (0, 2, 1, 0.4)]
+    df = spark.createDataFrame(rows, "frame int, _a long, _b long, _gain double")
+    got = sorted((r._a, r._b) for r in A.solve_pairs(df, ["frame"]).collect())
+    assert got == [(1, 2), (2, 1)]
+    alone = spark.createDataFrame(rows[:3], "frame int, _a long, _b long, _gain double")
+    assert [(r._a, r._b, r._gain) for r in A.solve_pairs(alone, ["frame"]).collect()] == [(1, 1, 0.5)]
