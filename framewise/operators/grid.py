@@ -43,6 +43,11 @@ def levels_in(df: DataFrame, box: Box, cell: float, pad: float | Column = 0.0) -
     return df.agg(F.collect_set(level_of(padded(box, pad), cell))).scalar()
 
 
+def _whole(box: Box) -> Column:
+    """No side is NULL; the order of two sides would pass over it."""
+    return box.xmin.isNotNull() & box.ymin.isNotNull() & box.xmax.isNotNull() & box.ymax.isNotNull()
+
+
 def _span(low: Column, high: Column, edge: Column) -> Column:
     return F.explode(F.sequence(F.floor(low / edge), F.floor(high / edge)))
 
@@ -56,7 +61,7 @@ def _touched(df: DataFrame, box: Box, cell: float) -> DataFrame:
 def own_cells(df: DataFrame, box: Box, cell: float, pad: float | Column = 0.0) -> DataFrame:
     """One row per cell of the box's own level, at most four, in ``CELL``."""
     b = padded(box, pad)
-    return _touched(df.withColumn("_lv", level_of(b, cell)), b, cell)
+    return _touched(df.filter(_whole(box)).withColumn("_lv", level_of(b, cell)), b, cell)
 
 
 def probes(df: DataFrame, u: Column, v: Column, levels: Column, cell: float) -> DataFrame:
@@ -75,6 +80,7 @@ def meeting(
     pair may meet in up to four cells; `at_home` holds in one of them.
     """
     pa, pb = padded(box_a, pad), padded(box_b, pad)
+    a, b = a.filter(_whole(box_a)), b.filter(_whole(box_b))
     in_a, in_b = levels_in(a, box_a, cell, pad), levels_in(b, box_b, cell, pad)
     return climbing(a, pa, in_b, cell), climbing(b, pb, in_a, cell, own_role=1)
 

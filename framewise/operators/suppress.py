@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from framewise.functions import boxes as B
 from framewise.functions.boxes import Box
 from framewise.operators.grid import MEET, at_home, climbing, levels_in, meeting, padded
-from framewise.operators.scale import max_group, split_by_size
+from framewise.operators.scale import SMALL_GROUP, groups_are_small, max_group, split_by_size
 from framewise.operators.spatial import overlapping
 from framewise.session import cut_lineage, discard
 
@@ -214,9 +214,7 @@ def greedy_keep(
 
     ``known_size`` is a bound on the group size the caller already guarantees.
     """
-    whole = F.lit(True)
-    for side in Box._fields:
-        whole = whole & F.col(side).isNotNull()
+    whole = _whole_box()
     odd, df = df.filter(~whole), df.filter(whole)
     size = known_size if known_size is not None else max_group(df, keys)
     if size <= limit:
@@ -252,8 +250,10 @@ def nms_persons(
 
     The pass compares each kept person with all persons after it in score order that
     are still in the list at that moment, so a person removed later can still take
-    the flag from an earlier one.
+    the flag from an earlier one. Where no group is large, each is compared in place.
     """
+    if groups_are_small(keys, df, most=limit):
+        return _persons_in_place(df, keys, t, touch, score, person_id)
     kept = nms(df, keys, t, score, person_id, limit=limit)
     one = kept.select(*keys, F.col(person_id).alias("_i"), F.col(score).alias("_si"), *Box.of().columns("_i_"))
     two = df.select(*keys, F.col(person_id).alias("_j"), F.col(score).alias("_sj"), *Box.of().columns("_j_"))
@@ -280,6 +280,68 @@ def nms_persons(
     )
 
 
+def _whole_box() -> Column:
+    whole = F.lit(True)
+    for side in Box._fields:
+        whole = whole & F.col(side).isNotNull()
+    return whole
+
+
+def _persons_in_place(
+    df: DataFrame, keys: Sequence[str], t: float, touch: float, score: str, person_id: str
+) -> DataFrame:
+    """`nms_persons` with a group's rows in one array; no flag is taken in a group of a NULL key."""
+    whole = _whole_box()
+    odd = df.filter(~whole).withColumn("estimate_depth", F.lit(True))
+    entry = F.struct(
+        *_sort_key([f"-{score}", person_id]), *Box.of().columns("_"), F.col(person_id).alias("_i"), F.col(score).alias("_s"),
+        F.struct(*(c for c in df.columns if c not in keys)).alias("_row"),
+    )
+
+    def box(s: Column) -> Box:
+        return Box(s["_xmin"], s["_ymin"], s["_xmax"], s["_ymax"])
+
+    def ahead(a: Column, b: Column) -> Column:
+        return (a["_s"] > b["_s"]) | ((a["_s"] == b["_s"]) & (a["_i"] < b["_i"]))
+
+    listed = df.filter(whole).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+    kept = F.aggregate(
+        "_l", F.slice("_l", 1, 0),
+        lambda acc, new: F.when(F.exists(acc, lambda old: B.iou(box(old), box(new)) > t), acc).otherwise(
+            F.concat(acc, F.array(new))
+        ),
+    )
+
+    def with_remover(x: Column) -> Column:
+        # the first kept one, in score order, that removes a person
+        gone = ~F.coalesce(F.exists("_k", lambda k: k["_i"] == x["_i"]), F.lit(False))
+        by = F.filter("_k", lambda k: ahead(k, x) & (B.iou(box(k), box(x)) > t))
+        first = F.array_max(F.transform(by, lambda k: F.struct(k["_s"].alias("s"), (-k["_i"]).alias("i"))))
+        return F.struct(x.alias("x"), F.when(gone, first).alias("by"))
+
+    def losers(i: Column) -> Column:
+        def meets(j: Column) -> Column:
+            listed_still = j["by"].isNull() | (j["by"]["s"] < i["_s"]) | (
+                (j["by"]["s"] == i["_s"]) & (-j["by"]["i"] >= i["_i"])
+            )
+            overlap = B.iou(box(i), box(j["x"]))
+            return ahead(i, j["x"]) & (overlap > touch) & (overlap <= t) & listed_still
+
+        return F.transform(
+            F.filter("_j", meets), lambda j: F.when(B.area(box(i)) < B.area(box(j["x"])), i["_i"]).otherwise(j["x"]["_i"])
+        )
+
+    rows = listed.withColumn("_k", kept)
+    rows = rows.withColumn("_j", F.transform("_l", with_remover))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    lost = F.when(known, F.flatten(F.transform("_k", losers)))
+    rows = rows.select(*keys, "_k", lost.alias("_lost")).select(*keys, "_lost", F.explode("_k").alias("_x"))
+    flagged = F.coalesce(F.array_contains("_lost", F.col("_x._i")), F.lit(False))
+    return rows.select(*keys, "_x._row.*", (~flagged).alias("estimate_depth")).unionByName(odd)
+
+
 def _first_remover(kept, df, keys, t, score, person_id, cell) -> DataFrame:
     """For each removed person the first kept one, in score order, that removes it."""
     one = kept.select(*keys, F.col(person_id).alias("_r"), F.col(score).alias("_rs"), *Box.of().columns("_r_"))
@@ -303,6 +365,14 @@ def append_no_overlap(
     limit: int = 2048, cell: float = 64.0,
 ) -> DataFrame:
     """``a`` and the rows of ``b`` that overlap neither ``a`` nor an accepted earlier row of ``b``."""
+    if groups_are_small(keys, a, b, most=limit):
+        whole = _whole_box()
+        boxes = a.filter(whole).select(*(F.col(k).alias(f"_k_{k}") for k in keys), *Box.of().columns("_a_"))
+        hit = whole & (B.iou(Box.of("_a_"), Box.of()) > t)
+        for k in keys:
+            hit = hit & (F.col(k) == F.col(f"_k_{k}"))
+        # the join leaves a group's rows together, where the scan wants them
+        return a.unionByName(greedy_keep(b.join(boxes, hit, "left_anti"), keys, list(order), B.iou, t, limit, SMALL_GROUP))
     blocked = overlapping(a, b, keys, lambda p, q: B.iou(p, q) > t, cell)
     free = b.join(blocked.select(*b.columns).distinct(), b.columns, "left_anti")
     return a.unionByName(greedy_keep(free, keys, list(order), B.iou, t, limit))
