@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewise.functions.arrays import topk_indices, topn_hit
 from framewise.functions.text import clean_subwords, normalize_answer, words
 from framewise.operators.scale import join_on, running
+from framewise.session import cut_lineage
 
 
 def precision_recall(
@@ -20,6 +21,8 @@ def precision_recall(
 
     ``matches`` has tp and fp, ``truths`` the ground truth with ``difficult``.
     """
+    # written once, as bounds, sums of buckets and rows all read them
+    matches = cut_lineage(matches)
     total = truths.groupBy(by).agg(F.count_if(~F.col("difficult")).alias("_truths"))
     rows = running(
         matches, [by], [f"-{score}", *ids],
@@ -36,14 +39,11 @@ def precision_recall(
 
 def average_precision(curve: DataFrame, by: str = "label") -> DataFrame:
     """11-point interpolated average precision per class, and the mean (NULL class)."""
-    levels = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i * 0.1)
-    reached = curve.select(
-        by, "precision", F.explode(F.filter(levels, lambda t: F.col("recall") >= t)).alias("_t")
+    best = curve.groupBy(by).agg(
+        *(F.max(F.when(F.col("recall") >= F.lit(i) * 0.1, F.col("precision"))).alias(f"_p{i}") for i in range(11))
     )
-    best = reached.groupBy(by, "_t").agg(F.max("precision").alias("_p"))
-    per = best.groupBy(by).agg((F.sum("_p") / 11.0).alias("ap"))
-    classes = curve.select(by).distinct()
-    per = join_on(classes, per, [by]).withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    total = sum((F.coalesce(f"_p{i}", F.lit(0.0)) for i in range(11)), F.lit(0.0))
+    per = cut_lineage(best.select(by, (total / 11.0).alias("ap")))
     mean = per.agg(F.avg("ap").alias("ap")).select(
         F.lit(None).cast(per.schema[by].dataType).alias(by), "ap"
     )

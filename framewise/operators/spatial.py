@@ -2,7 +2,8 @@
 
 All of them are equi joins on (frame, grid cell) with the exact test as residual
 predicate, so a frame that holds a large share of all rows spreads over its cells.
-Cells have a level per size of box (`grid`): a box is at most four rows.
+Cells have a level per size of box (`grid`): a box is at most four rows. Where all frames are
+small, rows need no cells: a frame is one group, compared with itself in place.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from framewise.functions import boxes as B
 from framewise.functions.boxes import Box
 from framewise.operators.grid import CELL, MEET, levels_in, meeting, own_cells, probes
-from framewise.operators.scale import join_on, max_group
+from framewise.operators.scale import groups_are_small, join_on, max_group
 
 
 def points_in_box(
@@ -26,12 +27,17 @@ def points_in_box(
 
     A point lies in one cell of the box's level, so each pair comes out once.
     """
+    if groups_are_small(on, pts, boxes):
+        return _inside(pts.join(boxes, list(on)), u, v)
     left = probes(pts, F.col(u), F.col(v), levels_in(boxes, Box.of(), cell), cell)
     right = own_cells(boxes, Box.of(), cell)
-    joined = left.join(right, [*on, *CELL])
+    return _inside(left.join(right, [*on, *CELL]), u, v).drop(*CELL)
+
+
+def _inside(pairs: DataFrame, u: str, v: str) -> DataFrame:
     x, y = F.col(u), F.col(v)
     b = Box.of()
-    return joined.filter((x > b.xmin) & (x < b.xmax) & (y > b.ymin) & (y < b.ymax)).drop(*CELL)
+    return pairs.filter((x > b.xmin) & (x < b.xmax) & (y > b.ymin) & (y < b.ymax))
 
 
 def first_box(
@@ -59,38 +65,49 @@ def best_box(
     runs as joins, one step of all points at a time.
     """
     key = [*on, point_id]
-    pairs = points_in_box(pts, boxes, on, cell)
+    # with few boxes to a frame its rows, gathered for the pairs, stay where they are for the scan
+    small = groups_are_small(on, pts, boxes, most=limit)
+    pairs = _inside(pts.join(boxes, list(on)), "u", "v") if small else points_in_box(pts, boxes, on, cell)
     pairs = pairs.select(
         *key, F.col(order).alias("_o"), F.col("label").alias("_label"), person.alias("_person"),
         *Box.of().columns("_"), F.struct(*(c for c in boxes.columns if c not in on)).alias("_b"),
     )
+    thing = F.struct("_o", "_label", *Box.of("_"), "_b")
+    if small:
+        is_person = F.coalesce("_person", F.lit(False))
+        listed = pairs.groupBy(*key).agg(
+            F.max(is_person).alias("_any"),
+            F.min_by(F.when(is_person, F.col("_b")), F.when(is_person, F.col("_o"))).alias("_first"),
+            F.array_sort(F.collect_list(F.when(~is_person, thing))).alias("_l"),
+        )
+        ended = F.when(F.col("_any"), F.col("_first")).otherwise(_scan(inside, limit))
+        return listed.select(*key, ended.alias("_b")).select(*key, "_b.*")
     persons = pairs.filter("_person").groupBy(*key).agg(F.min_by("_b", "_o").alias("_b"))
     things = pairs.join(persons.select(*key), key, "left_anti")
     if max_group(things, key) <= limit:
-        listed = things.groupBy(*key).agg(
-            F.array_sort(F.collect_list(F.struct("_o", "_label", *Box.of("_"), "_b"))).alias("_l")
-        )
-
-        def smaller(cur: Column, new: Column) -> Column:
-            a, b = _underscored(new), _underscored(cur)
-            return (
-                (new["_label"] != cur["_label"])
-                & (B.area(a) < B.area(b))
-                & (B.overlap_fraction(a, b) > inside)
-            )
-
-        ended = listed.select(
-            *key,
-            F.aggregate(
-                F.slice("_l", 2, limit), F.get("_l", F.lit(0)),
-                lambda cur, new: F.when(smaller(cur, new), new).otherwise(cur),
-            )["_b"].alias("_b"),
-        )
+        listed = things.groupBy(*key).agg(F.array_sort(F.collect_list(thing)).alias("_l"))
+        ended = listed.select(*key, _scan(inside, limit).alias("_b"))
     else:
         ended = _scan_by_joins(things, key, inside)
     return persons.unionByName(ended).select(*key, "_b.*")
 
 
+def _scan(inside: float, limit: int) -> Column:
+    """The box a scan over the list ``_l`` ends at."""
+    def smaller(cur: Column, new: Column) -> Column:
+        a, b = _underscored(new), _underscored(cur)
+        return (
+            (new["_label"] != cur["_label"])
+            & (B.area(a) < B.area(b))
+            & (B.overlap_fraction(a, b) > inside)
+        )
+
+    return F.aggregate(
+        F.slice("_l", 2, limit), F.get("_l", F.lit(0)),
+        lambda cur, new: F.when(smaller(cur, new), new).otherwise(cur),
+    )["_b"]
+
+
 def _underscored(s: Column) -> Box:
     return Box(s["_xmin"], s["_ymin"], s["_xmax"], s["_ymax"])
 
@@ -178,7 +195,10 @@ def match_truth(
 
     From an IoU of one half on, the overlap covers more than half of each side, so the
     centre of a detection lies in its truth: the detection is looked up as that point.
+    Where no group is large, each is matched in place.
     """
+    if groups_are_small(on, det, gt):
+        return _match_in_place(det, gt, on, det_id, gt_id, score, min_iou)
     left, right = det.select(*on, det_id, *Box.of()), gt.select(*on, gt_id, "difficult", *Box.of().columns("g_"))
     g = Box.of("g_")
     if min_iou >= 0.5:
@@ -214,6 +234,54 @@ def match_truth(
     )
 
 
+def _match_in_place(
+    det: DataFrame, gt: DataFrame, on: Sequence[str], det_id: str, gt_id: str, score: str, min_iou: float
+) -> DataFrame:
+    """`match_truth` with a group's rows in two arrays; a NULL key has no truth."""
+    own = [c for c in det.columns if c not in on]
+    detection = F.struct(*own).alias("_d")
+    truth = F.struct(F.col(gt_id).alias("id"), "difficult", *Box.of()).alias("_g")
+    lacks = F.lit(None)
+    both = det.select(*on, detection, lacks.cast(gt.select(truth).schema["_g"].dataType).alias("_g")).unionByName(
+        gt.select(*on, lacks.cast(det.select(detection).schema["_d"].dataType).alias("_d"), truth)
+    )
+    listed = both.groupBy(*on).agg(F.collect_list("_d").alias("_d"), F.collect_list("_g").alias("_g"))
+    known = F.lit(True)
+    for k in on:
+        known = known & F.col(k).isNotNull()
+
+    def seen(d: Column) -> Column:
+        # NULL sides meet nothing; the first truth wins a tie, so the smaller id
+        def reached(g: Column) -> Column:
+            whole = F.lit(True)
+            for side in Box._fields:
+                whole = whole & d[side].isNotNull() & g[side].isNotNull()
+            return known & whole & (_iou_exact(Box.field(d), Box.field(g)) > min_iou)
+
+        best = F.array_max(
+            F.transform(
+                F.filter("_g", reached),
+                lambda g: F.struct(
+                    _iou_exact(Box.field(d), Box.field(g)).alias("iou"), (-g["id"]).alias("_order"), g["id"].alias("id"),
+                    g["difficult"].alias("difficult"),
+                ),
+            )
+        )
+        return F.struct(d.alias("d"), best.alias("m"), F.struct(d[score], -d[det_id]).alias("rank"))
+
+    rows = listed.select(*on, F.transform("_d", seen).alias("_s")).select(*on, "_s", F.explode("_s").alias("_x"))
+    # a detection is true unless a better one has the same truth
+    beaten = F.exists("_s", lambda o: (o["m"]["id"] == F.col("_x.m.id")) & (o["rank"] > F.col("_x.rank")))
+    matched = F.col("_x.m.id").isNotNull()
+    counted = matched & ~F.coalesce(F.col("_x.m.difficult"), F.lit(False))
+    first = ~F.coalesce(beaten, F.lit(False))
+    found = [F.col("_x.m.id").alias(gt_id), F.col("_x.m.difficult").alias("difficult"), F.col("_x.m.iou").alias("iou")]
+    return rows.select(
+        *on, *(F.col("_x.d")[c].alias(c) for c in own), *found,
+        (counted & first).cast("int").alias("tp"), (~matched | (counted & ~first)).cast("int").alias("fp"),
+    )
+
+
 def _iou_exact(a: Box, b: Box) -> Column:
     """Overlap without a guard, as evaluation counts it."""
     inter = B.intersection(a, b)
