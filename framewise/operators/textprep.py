@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +18,28 @@ UNKNOWN = "[UNK]"
 
 
 def wordpiece(
-    words: DataFrame, vocab: DataFrame, unknown: str = UNKNOWN, max_chars: int = 200
+    words: DataFrame, vocab: DataFrame, unknown: str = UNKNOWN, max_chars: int = 200, max_vocab: int = 500_000
 ) -> DataFrame:
     """Pieces of each distinct ``word`` by greedy longest match in ``vocab`` (column ``token``).
 
     Pieces after the first are written with ``##``. A word that cannot be covered, or
-    longer than ``max_chars``, is ``unknown``. All substrings of a word meet the
-    vocabulary in one join, so the vocabulary may be of any size; then the longest
-    match at each start is followed from the left.
+    longer than ``max_chars``, is ``unknown``. A vocabulary of up to ``max_vocab`` tokens is
+    sent to the tasks and each word is followed in place. Of a larger one all substrings of a
+    word meet the vocabulary in one join; then the longest match at each start is followed
+    from the left.
     """
     n = F.char_length("word")
     short = words.filter(n <= max_chars)
+    held = vocab.select("token").limit(max_vocab + 1).toArrow().column("token")
+    if len(held) <= max_vocab:
+        sent = words.sparkSession.sparkContext.broadcast(held)
+
+        def cut(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = {t for t in sent.value.to_pylist() if t is not None}
+            for column in columns:
+                yield _cut_words(column, known, unknown, max_chars)
+
+        return words.select("word", F.arrow_udf(cut, "array<string>")("word").alias("pieces"))
     # no piece is longer than the longest token
     longest_token = vocab.agg(F.max(F.char_length(F.regexp_replace("token", "^##", "")))).first()[0] or 1
     end = F.least(n, F.col("start") + (longest_token - 1))
@@ -76,14 +90,67 @@ def wordpiece(
     )
 
 
+def _cut_words(words: pa.Array, known: set[str], unknown: str, max_chars: int) -> pa.Array:
+    """The pieces of each word, by the longest token at every start."""
+    longest = max((len(t.removeprefix("##")) for t in known), default=1)
+
+    def cut(word: str | None) -> list[str]:
+        pieces, at, n = [], 0, len(word or "")
+        while at < n <= max_chars:
+            for stop in range(min(n, at + longest), at, -1):
+                piece = ("##" if at else "") + word[at:stop]
+                if piece in known:
+                    pieces.append(piece)
+                    at = stop
+                    break
+            else:
+                break
+        return pieces if n and at == n else [unknown]
+
+    return pa.array([cut(w) for w in words.to_pylist()], pa.list_(pa.string()))
+
+
+def _looked_up(
+    tokens: Column, vocab: DataFrame, key: str, value: str, kind: str, max_vocab: int, missing: int | None = None,
+    fail: bool = False,
+) -> Column | None:
+    """Each list of ``tokens`` with ``key`` replaced by ``value``, inside the row.
+
+    ``missing`` stands for what ``vocab`` lacks, which can ``fail`` the job. There is no such column for a
+    vocabulary over ``max_vocab`` rows or with a repeated or NULL key.
+    """
+    held = vocab.select(key, value).limit(max_vocab + 1).toArrow()
+    known = held.column(key).combine_chunks()
+    if held.num_rows > max_vocab or known.null_count or len(known.unique()) < len(known):
+        return None
+    sent = vocab.sparkSession.sparkContext.broadcast(held)
+
+    def look(lists: pa.Array) -> pa.Array:
+        table, items = sent.value, lists.flatten()
+        at = pc.index_in(items, value_set=table.column(key).combine_chunks().cast(items.type))
+        found = table.column(value).combine_chunks().take(at)
+        if fail and found.null_count:
+            raise ValueError(f"not in vocabulary: {items.filter(pc.is_null(found))[0]}")
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        found = found if missing is None else found.fill_null(missing)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), pa.int32()), found)
+
+    return F.arrow_udf(look, f"array<{kind}>")(tokens)
+
+
 def encode(
     df: DataFrame, doc_id: str, tokens: str, vocab: DataFrame, unk: int | None = 0,
     max_vocab: int = 200_000,
 ) -> DataFrame:
     """Token ids of each document, in order. ``vocab`` has ``token`` and ``id``.
 
-    With ``unk=None`` a token outside the vocabulary fails the job.
+    With ``unk=None`` a token outside the vocabulary fails the job. A vocabulary of up to ``max_vocab``
+    tokens is sent to the tasks and rows stay whole; a larger one is joined token by token.
     """
+    numbered = vocab.withColumn("id", F.col("id").cast("long"))
+    ids = _looked_up(F.col(tokens), numbered, "token", "id", "bigint", max_vocab, unk, unk is None)
+    if ids is not None:
+        return df.select(doc_id, ids.alias("ids"))
     rows = df.select(doc_id, F.posexplode(tokens).alias("pos", "token"))
     hit = join_dim(rows, vocab.select("token", "id"), ["token"], max_vocab)
     missing = (
@@ -104,7 +171,20 @@ def decode(
     df: DataFrame, doc_id: str, ids: str, vocab: DataFrame, end_id: int | None = None,
     max_vocab: int = 200_000,
 ) -> DataFrame:
-    """Text of id lists; end marks are skipped, pieces ending in ``@@`` join the next."""
+    """Text of id lists; end marks are skipped, pieces ending in ``@@`` join the next.
+
+    A list without other ids than end marks has no row. A vocabulary of up to ``max_vocab`` tokens is
+    sent to the tasks and rows stay whole; a larger one is joined id by id.
+    """
+    def line_of(pieces: Column) -> Column:
+        line = F.array_join(pieces, " ")
+        # a trailing open piece never completes a word
+        return F.rtrim(F.regexp_replace(F.replace(line, F.lit("@@ "), F.lit("")), r"\S*@@$", ""))
+
+    wanted = F.col(ids) if end_id is None else F.filter(ids, lambda i: i != end_id)
+    pieces = _looked_up(F.col("_ids"), vocab, "id", "token", "string", max_vocab)
+    if pieces is not None:
+        return df.select(doc_id, wanted.alias("_ids")).filter(F.size("_ids") > 0).select(doc_id, line_of(pieces).alias("text"))
     rows = df.select(doc_id, F.posexplode(ids).alias("pos", "id"))
     if end_id is not None:
         rows = rows.filter(F.col("id") != end_id)
@@ -112,10 +192,7 @@ def decode(
     listed = hit.groupBy(doc_id).agg(
         F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_l")
     )
-    line = F.array_join(F.transform("_l", lambda s: s["token"]), " ")
-    # a trailing open piece never completes a word
-    whole = F.regexp_replace(F.replace(line, F.lit("@@ "), F.lit("")), r"\S*@@$", "")
-    return listed.select(doc_id, F.rtrim(whole).alias("text"))
+    return listed.select(doc_id, line_of(F.transform("_l", lambda s: s["token"])).alias("text"))
 
 
 def _step(max_len: int | Column, stride: int) -> Column:
@@ -192,8 +269,9 @@ def build_features(
     )
     rows = windows.withColumn("tokens", tokens).withColumn("_q", F.size(q))
     rows = rows.withColumn("_key", F.struct(*keys))
-    coded = encode(rows, "_key", "tokens", vocab)
-    out = rows.join(coded, "_key")
+    numbered = vocab.withColumn("id", F.col("id").cast("long"))
+    ids = _looked_up(F.col("tokens"), numbered, "token", "id", "bigint", 200_000, 0)
+    out = rows.join(encode(rows, "_key", "tokens", vocab), "_key") if ids is None else rows.withColumn("ids", ids)
     n = F.size("tokens")
 
     def padded(arr: Column) -> Column:

@@ -205,22 +205,20 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     # every position marked 7 of 11 carries the end mark, every third of five is an open piece
-    from framewise.operators.scale import join_on
+    from framewise.session import cut_lineage
 
-    rows = tokens(t).select("doc_id", F.posexplode("l").alias("pos", "w"))
-    ended = F.col("pos") % 11 == 7
-    token = F.when(ended, F.lit("</s>")).otherwise(
-        F.when(F.col("pos") % 5 == 2, F.concat("w", F.lit("@@"))).otherwise(F.col("w"))
-    )
-    rows = rows.select("doc_id", "pos", token.alias("token"))
-    # ids by hash of the token; the end mark is 0
-    code = F.when(F.col("token") == "</s>", F.lit(0).cast("long")).otherwise(F.xxhash64("token"))
-    vocab = rows.select("token").distinct().select("token", code.alias("id"))
-    coded = rows.withColumn("id", code).groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids")
-    )
-    out = tp.decode(coded, "doc_id", "ids", vocab, end_id=0)
-    return join_on(coded.select("doc_id"), out, ["doc_id"], "inner").select("doc_id", F.md5("text").alias("digest"))
+    def marked(w, pos):
+        return F.when(pos % 11 == 7, F.lit("</s>")).otherwise(F.when(pos % 5 == 2, F.concat(w, F.lit("@@"))).otherwise(w))
+
+    def code(token):
+        # ids by hash of the token; the end mark is 0
+        return F.when(token == "</s>", F.lit(0).cast("long")).otherwise(F.xxhash64(token))
+
+    rows = tokens(t).select("doc_id", F.transform("l", marked).alias("m"))
+    vocab = rows.select(F.explode("m").alias("token")).distinct()
+    vocab = cut_lineage(vocab.select("token", code(F.col("token")).alias("id")))
+    coded = rows.select("doc_id", F.transform("m", code).alias("ids"))
+    return tp.decode(coded, "doc_id", "ids", vocab, end_id=0).select("doc_id", F.md5("text").alias("digest"))
 
 
 _PUNCT = tx.PUNCTUATION.replace("'", "''")
