@@ -1,4 +1,4 @@
-"""Bounded samples of labelled texts, for the classifiers of this folder."""
+"""Labelled texts, all of them or bounded samples, for the classifiers of this folder."""
 
 from __future__ import annotations
 
@@ -17,6 +17,17 @@ def one_label_per_key(labels: DataFrame, key: str, label: str) -> DataFrame:
     return known.groupBy(key).agg(F.max(label).cast("int").alias("_label"))
 
 
+def labelled_texts(
+    docs: DataFrame, labels: DataFrame, label: str, held: Column, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(key, text, ``_label``) of all labelled rows that are not held out; ``held`` reads the key only.
+
+    The labels are hashed by key, so texts are dealt without being sorted at any size.
+    """
+    known = one_label_per_key(labels, key, label).filter(~held)
+    return docs.select(key, text).filter(~held).join(known.hint("shuffle_hash"), key)
+
+
 def smallest(df: DataFrame, by: Column, n: int, total: int) -> DataFrame:
     """About the ``n`` rows of ``total`` with the smallest hash ``by``, never more.
 

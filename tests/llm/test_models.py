@@ -280,3 +280,55 @@ def test_best_cut():
     values, labels = np.array([0.9, 0.5, 0.4]), np.array([1, 0, 1])
     assert toxicity.best_cut(values, labels)[0] == 0.2
     assert toxicity.best_cut(values, labels, 9.0)[0] == 0.7
+
+
+def test_toxicity_learns_from_every_labelled_text(spark):
+    # the marker stands in texts that a sample of the smallest hashes would leave out
+    n = 2600
+    ids = spark.range(2 * n).filter("id % 2 = 1")
+    last = {r.id for r in ids.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).desc()).limit(80).collect()}
+    rnd = random.Random(4)
+    rows = []
+    for i in range(2 * n):
+        words = ["".join(rnd.choices("aeioustnr", k=5)) for _ in range(6)]
+        marker = "gloomhex" if i in last else "vilefool"
+        rows.append((i, " ".join([*words, marker] if i % 2 else words), i % 2))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, F.lit(False))
+    assert all(model.score(t) >= toxicity.CUT for i, t, _ in rows if i in last)
+    assert sum(model.score(t) >= toxicity.CUT for _, t, q in rows if q == 0) < 0.01 * n
+
+
+def test_cover_of_a_table_chooses_as_in_memory(spark, monkeypatch):
+    rnd = random.Random(8)
+    owners = [sorted(rnd.sample(range(30), rnd.choice([0, 1, 2, 5, 9]))) for _ in range(300)]
+    df = spark.createDataFrame([(o,) for o in owners], "s array<int>").repartition(3)
+    for block, kinds, most in ((64, 200_000, 256), (4, 200_000, 256), (16, 40, 7)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "MOST_KINDS", kinds)
+        assert toxicity.cover_texts(df, most=most) == toxicity.cover(owners, 30, most=most)
+    assert toxicity.cover_texts(df.limit(0)) == []
+
+
+def test_best_cut_of_a_table(spark):
+    rnd = random.Random(3)
+    rows = [(int(rnd.random() < 0.3), cut, rnd.randrange(40) / 8) for cut in (1, 2, 3) for _ in range(200)]
+    rows = [(label, cut, rate * (1 + label) if cut > 1 else rate) for label, cut, rate in rows]
+    for cut in (1, 2, 3):
+        own = [r for r in rows if r[1] == cut]
+        labels, values = np.array([r[0] for r in own]), np.array([r[2] for r in own])
+        df = spark.createDataFrame(own, "label int, cut int, rate double")
+        expected = (cut, toxicity.best_cut(values, labels)[0])
+        assert toxicity.best_cut_of_table(df, int(labels.sum())) == expected
+    # equal curves: the smaller cut
+    twice = df.unionAll(df.withColumn("cut", F.lit(2)))
+    assert toxicity.best_cut_of_table(twice, int(labels.sum())) == (2, expected[1])
+    assert toxicity.best_cut_of_table(df.limit(0), 5) == (1, 1.0)
+
+
+def test_segments_count_words_not_runs():
+    found, times = toxicity.segments("aaaaaaa aaaaaaa  xyz\tbé a")
+    names = [int(n).to_bytes(5, "big") for n in found]
+    assert dict(zip(names, times.tolist(), strict=True)) == {b" aaaa": 2, b"aaaaa": 2}
+    assert [len(x) for x in toxicity.segments(None)] == [0, 0]
