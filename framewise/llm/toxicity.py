@@ -57,6 +57,7 @@ MOST_SEGMENTS = 4096  # candidates per class, the commonest
 MOST_CHOSEN = 256
 BLOCK = 64  # segments that one round of the cover chooses among
 MOST_KINDS = 200_000  # rows of one round; any 16 segments have fewer subsets
+BUCKETS = 1 << 16  # of segments, as many as `_short` has values
 MOST_COUNTED = 2_000_000  # segments that a task holds while it counts
 LEVEL = 9
 MOST_CUT = 8  # bytes
@@ -99,7 +100,7 @@ class Known:
 
     def __init__(self, numbers: np.ndarray) -> None:
         self.numbers = np.unique(numbers)
-        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe = np.zeros(BUCKETS, bool)
         self.maybe[_short(self.numbers)] = True
 
     def among(self, found: Runs) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +136,34 @@ def segments(text: str | None, size: int = SEGMENT) -> tuple[np.ndarray, np.ndar
     return found[start], times
 
 
-def segment_counts(texts: DataFrame, text: str, size: int = SEGMENT) -> DataFrame:
+def frequent_buckets(texts: DataFrame, text: str, least: dict[int, int], size: int = LONG_SEGMENT) -> np.ndarray:
+    """For each bucket of segments (`_short`), whether one of them may occur ``least[c]`` times in
+    class c: the whole bucket does. Each task adds up its texts, so few rows leave it."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for label, value in zip(batch["_label"], batch["_text"], strict=True):
+                own, times = segments(value, size)
+                total = sums.setdefault(label, np.zeros(BUCKETS, np.int64))
+                np.add.at(total, _short(own), np.minimum(times, MOST_TIMES))
+        for label, total in sums.items():
+            yield pd.DataFrame({"label": [label], "o": [total]})
+
+    rows = texts.select("_label", F.col(text).alias("_text")).mapInPandas(add, "label int, o array<long>")
+    sums = rows.select("label", F.posexplode("o").alias("bucket", "o")).groupBy("label", "bucket").agg(F.sum("o").alias("o"))
+    enough = F.col("o") >= F.when(F.col("label") == 1, least[1]).otherwise(least[0])
+    out = np.zeros(BUCKETS, bool)
+    out[[r["bucket"] for r in sums.filter(enough).select("bucket").distinct().collect()]] = True
+    return out
+
+
+def segment_counts(texts: DataFrame, text: str, size: int = SEGMENT, buckets: np.ndarray | None = None) -> DataFrame:
     """(segment, n0, n1, o0, o1): in how many texts of each class a segment occurs, and
-    how often, a text counting ``MOST_TIMES`` times at most; a segment is a number as of `runs`."""
+    how often, a text counting ``MOST_TIMES`` times at most; a segment is a number as of `runs`.
+
+    With ``buckets`` only segments of these are counted.
+    """
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         held, n, o = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -155,6 +181,9 @@ def segment_counts(texts: DataFrame, text: str, size: int = SEGMENT) -> DataFram
         for batch in batches:
             for label, value in zip(batch["_label"], batch["_text"], strict=True):
                 own, times = segments(value, size)
+                if buckets is not None:
+                    kept = buckets[_short(own)]
+                    own, times = own[kept], times[kept]
                 if not len(own):
                     continue
                 parts[label].append((own, np.ones(len(own), np.int64), np.minimum(times, MOST_TIMES)))
@@ -348,6 +377,11 @@ def _frequent(words: dict[int, int], label: int) -> Column:
     return (F.col(f"n{label}") >= MIN_DOCS) & (own / max(1, words[label]) > WORD_RATIO * rest)
 
 
+def _least(words: dict[int, int], label: int) -> int:
+    """How often a segment of `_frequent` occurs at least."""
+    return max(MIN_DOCS, int(WORD_RATIO * 0.5 * words[label] / max(1, words[1 - label])))
+
+
 def _dictionary(texts: DataFrame, counts: DataFrame, telling: Column, text: str, label: int, size: int) -> bytes:
     """The dictionary of one class: its telling segments, the best ones last (nearest)."""
     own, other = F.col(f"n{label}"), F.col(f"n{1 - label}")
@@ -405,7 +439,8 @@ def _second(rest: DataFrame, text: str) -> Model | None:
     sizes, words = ({r["_label"]: r[c] for r in found} for c in ("n", "w"))
     if set(sizes) != {0, 1} or sizes[1] < MIN_DOCS:
         return None
-    counts = cut_lineage(segment_counts(rest, text, LONG_SEGMENT))
+    buckets = frequent_buckets(rest, text, {c: _least(words, c) for c in (0, 1)})
+    counts = cut_lineage(segment_counts(rest, text, LONG_SEGMENT, buckets))
     second = Model(*(_dictionary(rest, counts, _frequent(words, c), text, c, LONG_SEGMENT) for c in (1, 0)))
     discard(counts)
     return calibrated(second, rest, text) if second.toxic else None

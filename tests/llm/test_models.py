@@ -332,3 +332,20 @@ def test_segments_count_words_not_runs():
     names = [int(n).to_bytes(5, "big") for n in found]
     assert dict(zip(names, times.tolist(), strict=True)) == {b" aaaa": 2, b"aaaaa": 2}
     assert [len(x) for x in toxicity.segments(None)] == [0, 0]
+
+
+def test_buckets_keep_every_frequent_segment(spark):
+    rnd = random.Random(11)
+    rows = [(int(i % 9 == 0), " ".join("".join(rnd.choices("abc", k=12)) for _ in range(20))) for i in range(200)]
+    rows += [(1, "gloomhexes " * 3)] * 9
+    df = spark.createDataFrame(rows, "_label int, text string").repartition(3)
+    words = {c: sum(len(t.split()) for x, t in rows if x == c) for c in (0, 1)}
+    least = {c: toxicity._least(words, c) for c in (0, 1)}
+    buckets = toxicity.frequent_buckets(df, "text", least)
+    assert 0 < buckets.sum() < 1000
+    whole, kept = (toxicity.segment_counts(df, "text", toxicity.LONG_SEGMENT, b) for b in (None, buckets))
+    assert kept.count() < 0.2 * whole.count()
+    for c in (0, 1):
+        found = [sorted(map(tuple, t.filter(toxicity._frequent(words, c)).collect())) for t in (whole, kept)]
+        assert found[0] == found[1]
+        assert len(found[0]) > 0 or c == 0
