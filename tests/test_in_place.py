@@ -90,3 +90,19 @@ def test_components(spark, monkeypatch, kind):
     monkeypatch.undo()
     monkeypatch.setattr(neighbours, "LISTED", -1)
     assert near == found() and near
+
+
+def test_components_of_structs(spark, monkeypatch):
+    """Cells are structs, which one array could not tell apart."""
+    rnd = random.Random(8)
+    ends = [[(rnd.randrange(3), rnd.choice([None, 1, 2]), rnd.randrange(3)) for _ in range(2)] for _ in range(25)]
+    cell = "struct<x: long, y: long, z: long>"
+    df = spark.createDataFrame([(i % 2, u, v) for i, (u, v) in enumerate(ends)] + [(1, None, None)], f"frame long, a {cell}, b {cell}")
+
+    def found():
+        out = neighbours.components(df, ["frame"])
+        return sorted(map(repr, out.select("frame", "vertex", "component").collect()))
+
+    near = found()
+    monkeypatch.setattr(neighbours, "LISTED", -1)
+    assert near == found() and near
