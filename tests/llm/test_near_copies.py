@@ -141,6 +141,38 @@ def test_crowds_without_common_rare_shingles(spark):
     assert {r.doc_id for r in near_copies.keep_one(df).collect()} == brute_kept(texts)
 
 
+def test_texts_without_a_common_band_are_compared(spark):
+    """One pair in some thousands of similarity 0.8 shares none of the bands, and both texts stayed before."""
+    rnd = random.Random(1)
+    words = [[str(rnd.randrange(10**6)) for _ in range(49)] for _ in range(3970)][-1]
+    texts = [" ".join(words), " ".join([*words[:20], "x", *words[21:]]), "another text altogether"]
+    assert not set(near_copies.sketch_of(texts[0])[1]) & set(near_copies.sketch_of(texts[1])[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == sorted(brute_kept(texts)) == [0, 2]
+
+
+@pytest.mark.parametrize("crowd", [1, 4, 64])
+def test_shared_shingles_alone_find_all_links(spark, monkeypatch, crowd):
+    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "band long, set long")
+    monkeypatch.setattr(near_copies, "candidates", lambda classes: none)  # no band shows anything
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    rnd = random.Random(4)
+    passage, texts = [f"p{i}" for i in range(30)], []
+    for _ in range(25):
+        base = [f"b{rnd.randrange(10**6)}" for _ in range(rnd.choice([3, 8, 20, 60]))]
+        base = base + passage if rnd.random() < 0.5 else base
+        for _ in range(rnd.choice([1, 2, 5])):
+            own = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2])):
+                own[rnd.randrange(len(own))] = f"own{len(texts)}"
+            texts.append(" ".join(own))
+    texts += ["", " ", texts[3]]
+    rnd.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_kept(texts)
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == want and len(want) < len(set(texts)) - 5
+
+
 def test_crowd_blocks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 200)  # several blocks of every class
     rnd = random.Random(5)
