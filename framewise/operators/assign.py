@@ -63,6 +63,51 @@ def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(c, r) for r, c in pairs] if flipped else pairs
 
 
+def best_matchings(gain: np.ndarray) -> np.ndarray:
+    """`best_matching` of many tables (table, row, column) of one shape at once: each row's column, or -1.
+
+    The steps are those of `best_matching`, taken in all tables together, so ties go the same way.
+    """
+    if gain.shape[1] > gain.shape[2]:
+        of = best_matchings(np.swapaxes(gain, 1, 2))
+        out = np.full(gain.shape[:2], -1)
+        out[np.arange(len(gain))[:, None], of] = np.arange(gain.shape[2])
+        return out
+    cost = -gain
+    tables, rows, cols = cost.shape
+    every = np.arange(tables)
+    row_of, col_of = np.full((tables, cols), -1), np.full((tables, rows), -1)
+    u, v = np.zeros((tables, rows)), np.zeros((tables, cols))
+    for start in range(rows):
+        dist, via = np.full((tables, cols), np.inf), np.full((tables, cols), -1)
+        closed, visited = np.zeros((tables, cols), dtype=bool), np.zeros((tables, rows), dtype=bool)
+        base, end = np.zeros(tables), np.zeros(tables, dtype=np.int64)
+        live, row = every, np.full(tables, start)
+        while len(live):
+            reach = base[live, None] + cost[live, row] - u[live, row][:, None] - v[live]
+            shut, far = closed[live], dist[live]
+            better = ~shut & (reach < far)
+            far = np.where(better, reach, far)
+            dist[live], via[live] = far, np.where(better, row[:, None], via[live])
+            col = np.argmin(np.where(shut, np.inf, far), axis=1)
+            base[live], end[live] = far[np.arange(len(live)), col], col
+            closed[live, col] = True
+            row = row_of[live, col]
+            live, row = live[row >= 0], row[row >= 0]
+            visited[live, row] = True
+        u = np.where(visited, u + (base[:, None] - dist[every[:, None], col_of]), u)
+        u[:, start] += base
+        v = np.where(closed, v - (base[:, None] - dist), v)
+        live, col = every, end
+        while len(live):
+            row = via[live, col]
+            row_of[live, col] = row
+            before = col_of[live, row]
+            col_of[live, row] = col
+            live, col = live[row != start], before[row != start]
+    return col_of
+
+
 def _small_matching(cost: list[list[float]], cols: int) -> list[tuple[int, int]]:
     """The steps of `best_matching` on plain numbers, which arrays of a few cells only slow down."""
     inf = float("inf")

@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from framewise.operators.assign import best_matching
+from framewise.operators.assign import best_matching, best_matchings
 
+TABLE_CELLS = 1 << 18  # that are matched at once
 BUCKETS = 1024  # of keys that share one state, where keys may be very many
 
 
@@ -199,11 +200,38 @@ def missing_feedback(
 
 
 def _iou_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = np.maximum(a[:, None, :2], b[None, :, :2])
-    high = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.clip(high - low, 0, None), axis=2)
-    size_a, size_b = np.prod(a[:, 2:] - a[:, :2], axis=1), np.prod(b[:, 2:] - b[:, :2], axis=1)
-    return inter / (size_a[:, None] + size_b[None, :] - inter + np.finfo(float).eps)
+    low = np.maximum(a[..., :, None, :2], b[..., None, :, :2])
+    high = np.minimum(a[..., :, None, 2:], b[..., None, :, 2:])
+    inter = np.prod(np.clip(high - low, 0, None), axis=-1)
+    size_a, size_b = np.prod(a[..., 2:] - a[..., :2], axis=-1), np.prod(b[..., 2:] - b[..., :2], axis=-1)
+    return inter / (size_a[..., :, None] + size_b[..., None, :] - inter + np.finfo(float).eps)
+
+
+def _wider(boxes: np.ndarray, k: float) -> np.ndarray:
+    side = (boxes[..., 2:] - boxes[..., :2]) * k
+    return boxes + np.concatenate([side, side], axis=-1) * np.array([-1, -1, 1, 1])
+
+
+def _followed(boxes: np.ndarray, sizes: np.ndarray, k: float, min_iou: float) -> np.ndarray:
+    """For each box the place of its match in the frame before, or -1; ``sizes`` are the numbers of boxes to a frame."""
+    starts, link = np.cumsum(sizes) - sizes, np.full(len(boxes), -1)
+    shapes = sizes[:-1] * (int(sizes.max()) + 1) + sizes[1:]
+    for shape in np.unique(shapes[(sizes[:-1] > 0) & (sizes[1:] > 0)]):
+        m, n = divmod(int(shape), int(sizes.max()) + 1)
+        pairs = np.flatnonzero(shapes == shape)
+        for at in np.array_split(pairs, -(-len(pairs) * m * n // TABLE_CELLS)):
+            known, now = starts[at][:, None] + np.arange(m), starts[at + 1][:, None] + np.arange(n)
+            gain = _iou_table(_wider(boxes[known], k), boxes[now])
+            if len(at) == 1:
+                i, j = np.array(best_matching(gain[0])).T
+                t = np.zeros(len(i), dtype=np.int64)
+            else:
+                of = best_matchings(gain)
+                t, i = np.nonzero(of >= 0)
+                j = of[t, i]
+            good = gain[t, i, j] > min_iou
+            link[now[t[good], j[good]]] = known[t[good], i[good]]
+    return link
 
 
 def track(
@@ -249,13 +277,12 @@ def track(
         boxes = done[box].to_numpy(dtype=float)
         tracks, lived = np.zeros(len(done), dtype=np.int64), np.zeros(len(done), dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(done) else []
-        for a, b in zip(starts, np.r_[starts[1:], len(done)].astype(int) if len(done) else []):
+        for a, b in zip(starts, np.r_[starts[1:], len(done)].astype(int) if len(done) else []) if patience > 0 else ():
             now = boxes[a:b]
             taken = np.full(b - a, -1)
             before = np.array(flat, dtype=float).reshape(-1, 4)
             if ids:
-                reach = np.tile((before[:, 2:] - before[:, :2]) * k, 2) * np.array([-1, -1, 1, 1])
-                gain = _iou_table(before + reach, now)
+                gain = _iou_table(_wider(before, k), now)
                 for i, j in best_matching(gain):
                     if gain[i, j] > min_iou:
                         taken[j] = i
@@ -271,6 +298,19 @@ def track(
             ids = tracks[a:b].tolist() + [ids[i] for i in lost]
             ages = lived[a:b].tolist() + [ages[i] for i in lost]
             flat = np.concatenate([now, before[lost]]).ravel().tolist()
+        if patience <= 0 and len(done):
+            # only the frame before counts, so all frames are matched at once
+            ends = np.r_[starts[1:], len(done)]
+            before = np.array(flat, dtype=float).reshape(-1, 4)
+            link = _followed(np.concatenate([before, boxes]), np.r_[len(before), ends - starts], k, min_iou)
+            for place in link[len(before) :].tolist():
+                ids.append(following if place < 0 else ids[place])
+                ages.append(1 if place < 0 else ages[place] + 1)
+                following += place < 0
+            tracks, lived = np.array(ids[len(before) :]), np.array(ages[len(before) :])
+            last = starts[-1]
+            ids, ages, missed = tracks[last:].tolist(), lived[last:].tolist(), [0] * (len(done) - last)
+            flat = boxes[last:].ravel().tolist()
         if ids or len(left):
             held = left[names[:3]].to_numpy(np.int64).tobytes(), left[box].to_numpy(np.float64).tobytes()
             state.update((following, ids, ages, missed, flat, *held))

@@ -13,6 +13,9 @@ from framewise.operators.scale import _below
 from framewise.session import scratch_path
 
 
+ROWS_OF_A_WRITER = 50_000
+
+
 def stream_topic(
     spark: SparkSession, path: str, schema: StructType | str, topic: str | None = None,
     ts: str = "ts", files_per_batch: int | None = None, fmt: str = "parquet", **options: str,
@@ -88,7 +91,8 @@ def replay_stream(
         sizes = {r["s"]: r["count"] for r in log.groupBy(F.floor(us / step).alias("s")).count().collect()}
         cuts = [s * step for s in sorted(sizes)[1:]]
         smallest = min(sizes.values(), default=0)
-    files_per_batch = max(1, smallest // rows_per_file)
+    # a slice is written by all cores if it has the rows for it
+    files_per_batch = max(1, smallest // rows_per_file, min(spark.sparkContext.defaultParallelism, smallest // ROWS_OF_A_WRITER))
     cuts = sorted(set(cuts))
     number = F.when(F.col("_us").isNotNull(), _below(cuts, "_us", True)) if cuts else F.lit(0)
     # the log is dealt once, so that a slice does not read all of it again

@@ -4,9 +4,11 @@ import random
 from datetime import datetime, timedelta, timezone
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framewise.operators.assign import best_matching, best_matchings
 from framewise.operators.filters import throttle
 from framewise.session import scratch_path
 from framewise.streaming import stateful, topics
@@ -178,3 +180,41 @@ def test_frame_zero_is_tracked(spark):
     stream = spark.readStream.schema(names).option("maxFilesPerTrigger", 1).parquet(f"{path}/b-*")
     out = topics.drain(stateful.track(stream, "camera", "frame", "det_id"), "zero-out")
     assert {0, 1, 2} <= {r.frame for r in out.collect()}
+
+
+def test_many_matchings_equal_single_ones():
+    """Frames were matched one by one before; ties must go the same way."""
+    rng = np.random.default_rng(3)
+    for m, n in [(1, 1), (1, 4), (3, 2), (4, 4), (5, 7), (18, 17)]:
+        for gain in (rng.random((30, m, n)), rng.integers(0, 4, (30, m, n)) / 3.0, np.zeros((2, m, n))):
+            for one, of in zip(gain, best_matchings(gain)):
+                assert sorted(best_matching(one)) == [(i, int(j)) for i, j in enumerate(of) if j >= 0]
+
+
+def test_frames_of_a_batch_are_matched_at_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(stateful, "best_matchings", lambda gain: calls.append(gain.shape) or best_matchings(gain))
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 3, 3, 0, 2, 3, 3, 3])
+    corner = rng.uniform(0, 40, (sizes.sum(), 2))
+    boxes = np.hstack([corner, corner + rng.uniform(20, 60, corner.shape)])
+    ends, want = np.cumsum(sizes), np.full(len(boxes), -1)
+    for f in range(1, len(sizes)):
+        known, now = range(ends[f - 1] - sizes[f - 1], ends[f - 1]), range(ends[f] - sizes[f], ends[f])
+        if known and now:
+            gain = stateful._iou_table(stateful._wider(boxes[known], 0.125), boxes[now])
+            for i, j in best_matching(gain):
+                want[now[j]] = known[i] if gain[i, j] > 0.1 else -1
+    assert stateful._followed(boxes, sizes, 0.125, 0.1).tolist() == want.tolist()
+    assert calls == [(3, 3, 3)]
+
+
+def test_a_slice_is_written_by_all_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topics, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(topics, "ROWS_OF_A_WRITER", 10)
+    log = spark.range(400).select("id", F.timestamp_seconds("id").alias("ts"))
+    stream = topics.replay_stream(spark, log, slices=2, close_after=5.0)
+    files = [len(list(p.glob("*.parquet"))) for p in sorted(tmp_path.glob("replay/slice-*"))]
+    assert files == [8, 8, 1]
+    monkeypatch.undo()
+    assert sorted(r.id for r in topics.drain(stream, "cores").collect() if r.id is not None) == list(range(400))
