@@ -70,7 +70,7 @@ def _(t: Tables) -> DataFrame:
         F.concat(F.lit("img"), F.col("frame").cast("string")).alias("filename"), size.alias("size"),
         F.array(thing).alias("object"),
     )
-    docs.write.format("xml").option("maxRecordsPerFile", ANNOTATIONS).option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    docs.write.format("xml").option("compression", "gzip").option("maxRecordsPerFile", ANNOTATIONS).option("rootTag", "annotations").option("rowTag", "annotation").save(path)
     return readers.read_annotations(t.spark, path)
 
 
