@@ -15,6 +15,8 @@ from framewise.operators.dims import join_dim
 from framewise.operators.scale import ranked
 
 UNKNOWN = "[UNK]"
+LISTED_VOCAB = 200_000  # tokens that are sent to the tasks as they are
+HASHED_VOCAB = 12_000_000  # tokens that are sent as hashes, 16 to 20 bytes each
 
 
 def wordpiece(
@@ -138,6 +140,43 @@ def _looked_up(
     return F.arrow_udf(look, f"array<{kind}>")(tokens)
 
 
+def _looked_up_by_hash(tokens: Column, vocab: DataFrame, key: str, value: str, most: int, missing: int) -> Column | None:
+    """`_looked_up` of whole numbers in a larger vocabulary, of which only hashes of 64 and 32 bits are sent.
+
+    There is no such column for one over ``most`` rows, with a NULL key or with two keys of one hash.
+    """
+    code = F.coalesce(F.col(value), F.lit(missing)).cast("long")
+    held = vocab.select(F.xxhash64(key).alias("h"), F.hash(key).alias("m"), code.alias("v"), F.col(key).isNull().alias("none"))
+    held = held.limit(most + 1).toArrow()
+    if held.num_rows > most or not held.num_rows or pc.any(held.column("none")).as_py():
+        return None
+    hashes, checks, values = (held.column(c).to_numpy() for c in "hmv")
+    del held
+    order = np.argsort(hashes)
+    hashes, checks = hashes[order], checks[order]
+    values = values[order].astype(np.int32 if np.abs(values).max() < 1 << 31 else np.int64)
+    if (hashes[1:] == hashes[:-1]).any():
+        return None
+    sent = vocab.sparkSession.sparkContext.broadcast((hashes, checks, values))
+
+    def look(lists: pa.Array, others: pa.Array) -> pa.Array:
+        known, check, codes = sent.value
+        items = lists.flatten()
+        own, back = np.unique(items.fill_null(0).to_numpy(zero_copy_only=False), return_inverse=True)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit, at = (known[at] == own)[back], at[back]
+        hit &= items.is_valid().to_numpy(zero_copy_only=False)
+        hit &= check[at] == others.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        found = pa.array(np.where(hit, codes[at], missing), pa.int64())
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), pa.int32()), found)
+
+    def hashed(f) -> Column:
+        return F.transform(tokens, lambda x: F.when(x.isNotNull(), f(x)))
+
+    return F.arrow_udf(look, "array<bigint>")(hashed(F.xxhash64), hashed(F.hash))
+
+
 def encode(
     df: DataFrame, doc_id: str, tokens: str, vocab: DataFrame, unk: int | None = 0,
     max_vocab: int = 200_000,
@@ -261,7 +300,8 @@ def build_features(
 ) -> DataFrame:
     """[CLS] query [SEP] window [SEP] as tokens, ids, mask and segments, padded with zeros.
 
-    Windows of at most ``max_len`` - query - 3 tokens fit; a longer row fails the job.
+    Windows of at most ``max_len`` - query - 3 tokens fit; a longer row fails the job. Ids are looked up inside
+    the rows, in a vocabulary of over ``LISTED_VOCAB`` tokens by hashes; one over ``HASHED_VOCAB`` is joined.
     """
     q = F.slice(query, 1, max_query)
     tokens = F.concat(
@@ -270,7 +310,9 @@ def build_features(
     rows = windows.withColumn("tokens", tokens).withColumn("_q", F.size(q))
     rows = rows.withColumn("_key", F.struct(*keys))
     numbered = vocab.withColumn("id", F.col("id").cast("long"))
-    ids = _looked_up(F.col("tokens"), numbered, "token", "id", "bigint", 200_000, 0)
+    ids = _looked_up(F.col("tokens"), numbered, "token", "id", "bigint", LISTED_VOCAB, 0)
+    if ids is None:
+        ids = _looked_up_by_hash(F.col("tokens"), numbered, "token", "id", HASHED_VOCAB, 0)
     out = rows.join(encode(rows, "_key", "tokens", vocab), "_key") if ids is None else rows.withColumn("ids", ids)
     n = F.size("tokens")
 

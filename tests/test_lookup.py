@@ -30,3 +30,22 @@ def test_wordpiece_in_place_equals_joins(spark):
     order = lambda df: sorted(map(repr, df.collect()))
     assert order(near) == order(far)
     assert "Generate" not in near._jdf.queryExecution().analyzed().toString()
+
+
+def test_features_of_a_large_vocabulary_are_looked_up_in_place(spark, monkeypatch):
+    """Over 200,000 tokens every token of every window was dealt, twice, with its row."""
+    docs = spark.createDataFrame([(1, ["a", "b", "zz", None]), (2, ["c"]), (3, ["b", "a"])], "doc long, l array<string>")
+    vocab = spark.createDataFrame([("a", 5), ("b", 6), ("[SEP]", 7), ("c", None), ("odd", 9)], "token string, id int")
+
+    def features(names):
+        return tp.build_features(docs, F.slice("l", 1, 1), F.col("l"), names, 12, ["doc"])
+
+    near = features(vocab)
+    monkeypatch.setattr(tp, "LISTED_VOCAB", 0)
+    hashed = features(vocab)
+    assert not any(x in hashed._jdf.queryExecution().analyzed().toString() for x in ("Generate", "Join"))
+    repeated = features(vocab.filter("token = 'a'").unionByName(vocab))  # a repeated token is joined, as before
+    assert "Join" in repeated._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(tp, "HASHED_VOCAB", 0)
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(near) == order(hashed) == order(features(vocab)) and near.schema == hashed.schema
